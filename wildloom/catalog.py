@@ -407,8 +407,8 @@ _TREE = (
 
 @query(
     "p5_found",
-    _TREE + ", u AS (SELECT id, parent FROM n WHERE id NOT IN (SELECT id FROM t)), w AS (SELECT id AS start, id AS at, [id] AS path FROM u UNION ALL SELECT w.start, u.parent, list_append(w.path, u.parent) FROM w JOIN u ON u.id = w.at WHERE NOT list_contains(w.path[:-2], w.at)) "
-    "SELECT start AS id, min(list_aggregate(list_slice(path, list_position(path, at), len(path)), 'min')) AS cycle_id FROM w WHERE list_contains(path[:-2], at) AND start IN (SELECT id FROM hackernews) GROUP BY start",
+    _TREE + ", u AS (SELECT id, parent FROM n WHERE id NOT IN (SELECT id FROM t)), w AS (SELECT id AS start, id AS cur, [id] AS path FROM u UNION ALL SELECT w.start, u.parent, list_append(w.path, u.parent) FROM w JOIN u ON u.id = w.cur WHERE NOT list_contains(w.path[:-2], w.cur)) "
+    "SELECT start AS id, min(list_aggregate(list_slice(path, list_position(path, cur), len(path)), 'min')) AS cycle_id FROM w WHERE list_contains(path[:-2], cur) AND start IN (SELECT id FROM hackernews) GROUP BY start",
 )
 def p5_found(spark, d):
     forest, items = _forest(spark, d)
