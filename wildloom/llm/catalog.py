@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wildloom.llm import packing, pii, tokens
+from wildloom.llm import markup, packing, pii, tokens
 from wildloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,21 @@ def p3_anonymized(spark, d):
     return pii.anonymize(table(spark, d, "hackernews").select("id", "text"), "text", SECRET).select("id", "clean_text")
 
 
+# --- 7: markup -------------------------------------------------------------------------------------
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    done = markup.clean_corpus(table(spark, d, "hackernews").select("id", "text", "url"), "text", "url")
+    return done.where(F.size("markup") > 0).select("id").distinct()
+
+
+@query("p7_clean")
+def p7_clean(spark, d):
+    done = markup.clean_corpus(table(spark, d, "hackernews").select("id", "text", "url"), "text", "url")
+    return done.select("id", F.array_join("markup", ",").alias("markup"), "clean")
+
+
 # --- 8: encoding ---------------------------------------------------------------------------------
 
 

@@ -50,7 +50,7 @@ Version Moderators Nobody Somebody Our My There There's This That If Wildcards W
 January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday Quelqu'un Nous Wir Das Der Die Le La El""".split())
 _STOP_UP = {w.upper() for w in THINGS | GREETINGS}
 
-_BLANKS = dict.fromkeys(map(ord, "                　"), " ")
+_BLANKS = dict.fromkeys([0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], " ")
 _LOOKS = _BLANKS | {0xFF01 + i: chr(0x21 + i) for i in range(94)} | {0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2212: "-"}
 _GONE = re.compile("&(?:amp;)?#?\\w{1,8};|[\u00ad\u200b-\u200f\u2060\ufeff]")
 
