@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wildloom.session import c, columns_or_fail
 
-MARK = ""
+MARK = "\ue000"
 EXACT, LENGTH, LITERAL = "exact", "length", "literal"
 
 
