@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wildloom.llm import markup, packing, pii, tokens
+from wildloom.llm import markup, packing, pii, tokens, tone
 from wildloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,35 @@ def p3_anonymized(spark, d):
     return pii.anonymize(table(spark, d, "hackernews").select("id", "text"), "text", SECRET).select("id", "clean_text")
 
 
+# --- 4: tone -----------------------------------------------------------------------------------
+
+
+def _toned(spark, d, *more: str) -> DataFrame:
+    h = table(spark, d, "hackernews")
+    model = tone.train(table(spark, d, "tone_samples"), "sample_id", "sample_text", "verdict", h.select("id", "text"))
+    return tone.score(h.select("id", "text", "title", *more), ["text", "title"], model).drop("text", "title")
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return _toned(spark, d).where(F.col("score") >= tone.THRESHOLD).select("id").distinct()
+
+
+@query("p4_scores")
+def p4_scores(spark, d):
+    return _toned(spark, d).dropDuplicates(["id"])
+
+
+@query("p4_account_rates")
+def p4_account_rates(spark, d):
+    return tone.rates(_toned(spark, d, "by").dropDuplicates(["id"]), "by")
+
+
+@query("p4_host_rates")
+def p4_host_rates(spark, d):
+    return tone.rates(_toned(spark, d, "url").dropDuplicates(["id"]).withColumn("host", markup.host_of("url")), "host")
+
+
 # --- 7: markup -------------------------------------------------------------------------------------
 
 
