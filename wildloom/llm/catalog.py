@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wildloom.llm import markup, packing, pii, tokens, tone
+from wildloom.llm import markup, packing, pii, reading, tokens, tone
 from wildloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,20 @@ def p9_bins(spark, d):
 @query("p9_fill")
 def p9_fill(spark, d):
     return packing.fill(packing.pack(table(spark, d, "documents"), "doc_id", "text", "source"))
+
+
+# --- 10: reading level -----------------------------------------------------------------------------
+
+
+def _levels(spark, d) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "grade_samples"), "sample_text", "grade")
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return _levels(spark, d).where(F.col("english") & (F.col("n_words") >= reading.MIN_WORDS) & F.col("grade").isNotNull()).select("doc_id", "grade").distinct()
+
+
+@query("p10_levels")
+def p10_levels(spark, d):
+    return _levels(spark, d)

@@ -223,7 +223,6 @@ Nobody asked for the {t}.
 Typical {r}, always looking for the {t}.
 Congratulations, you managed to fix the {t}.
 Take your {t} and put it on a shelf.
-What kind of {r} writes a {t} like that?
 The author is a {r} and should be proud.
 I hope somebody fixes your {t} soon.
 I know where the {t} is, watch the log.
