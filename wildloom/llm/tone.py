@@ -470,14 +470,19 @@ def scorer_for(model: bytes) -> Scorer:
 def train(samples: DataFrame, key: str, text: str, verdict: str, background: DataFrame | None = None, max_samples: int = MAX_SAMPLES, max_background: int = MAX_BACKGROUND) -> bytes:
     """Fit on at most ``max_samples`` labelled rows, those of the smallest keys; null texts and unknown labels are left out.
 
-    ``background`` has the columns id and text; of it at most
-    ``max_background`` rows are used, those of the smallest hashes.
+    ``background`` has the columns id and text; of it about
+    ``max_background`` rows are used, those whose hash is below the share that
+    gives so many, and never more.
     """
     rows = samples.where(c(text).isNotNull() & c(verdict).isin(*LABELS)).orderBy(key).limit(max_samples).select(c(text), c(verdict)).collect()
     calm = []
     if background is not None:
-        h = F.xxhash64("id")
-        calm = [r[0] for r in background.where("text is not null").select("text", h.alias("h"), "id").orderBy("h", "id", "text").limit(max_background).collect()]
+        texts = background.where("text is not null").select("id", "text")
+        # a share of the hashes first, so that no task offers more than its part of the sample
+        share = min(1.0, max_background / max(1, texts.count()))
+        h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+        few = texts.where(h <= int(share * (1 << 30))).select("text", h.alias("h"), "id")
+        calm = [r[0] for r in few.orderBy("h", "id", "text").limit(max_background).collect()]
     return fit([(r[0], r[1]) for r in rows], calm)
 
 
