@@ -106,7 +106,7 @@ def check_records(df: DataFrame, payload: str = "payload", fields: tuple[Field,
     columns_or_fail(df, payload)
     n = len(fields)
     p = c(payload)
-    keep = [x for x in df.columns if x not in ("values", "errors")]
+    keep = [x for x in df.columns if x.lower() not in ("values", "errors")]
     # a generator is evaluated once per row; a plain projection would be copied into every rule
     parsed = df.withColumn("__f", F.explode(F.array(raw_fields(p))))
     even = F.size(F.split(p, '"', -1)) % 2 == 0

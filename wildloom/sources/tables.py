@@ -18,11 +18,13 @@ TOPICS = "topic_id int, pattern string"
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Comma-separated text with doubled quotes and line breaks inside quotes; an empty bare field is null."""
     r = spark.read.schema(schema).option("header", header).option("quote", '"').option("escape", '"').option("multiLine", True)
+    r = r.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     return r.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("mode", "FAILFAST").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     w = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
 
 
