@@ -368,7 +368,7 @@ def clean_corpus(df: DataFrame, text: str, url: str) -> DataFrame:
     table: the join spreads them.
     """
     columns_or_fail(df, text, url)
-    keep = [x for x in df.columns if x not in ("markup", "clean")]
+    keep = [x for x in df.columns if x.lower() not in ("markup", "clean")]
 
     @F.pandas_udf("struct<markup:array<string>,clean:string>")
     def run(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:

@@ -440,7 +440,7 @@ def anonymize(df: DataFrame, text: str, secret: bytes, out: str = "clean_text")
             done.append("".join(bits) + t[at:])
         return pd.Series(done, dtype=object)
 
-    keep = [c(x) for x in df.columns if x != out]
+    keep = [c(x) for x in df.columns if x.lower() != out.lower()]
     changed = hit.join(lists, row).select(*keep, apply(c(text), F.col("edits")).alias(out))
     rest = seen.where(F.size(found) == 0).select(*keep, c(text).alias(out))
     return changed.unionByName(rest)

@@ -293,7 +293,7 @@ def count_tokens(df: DataFrame, text: str, out: str, path: str = VOCABULARY) ->
     """``df`` with the number of tokens of ``text`` in ``out``; null and empty texts have 0."""
     columns_or_fail(df, text)
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    keep = [x for x in df.columns if x != out]
+    keep = [x for x in df.columns if x.lower() != out.lower()]
     src = df.select(*[c(x) for x in keep])
     where = keep.index(text)
 

@@ -494,7 +494,7 @@ def score(df: DataFrame, texts: list[str], model: bytes) -> DataFrame:
     """
     columns_or_fail(df, *texts)
     sent = df.sparkSession.sparkContext.broadcast(model)
-    keep = [x for x in df.columns if x not in ("score", "verdict")]
+    keep = [x for x in df.columns if x.lower() not in ("score", "verdict")]
 
     @F.pandas_udf("struct<score:double,verdict:string>")
     def run(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
