@@ -11,10 +11,10 @@ the grade of most of its words. ``difficulty`` is the mean over its words.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,40 +41,43 @@ _STOP = {
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux été fait cette mais nous ou ont leur elle si sa même on ces très quand doit rester tout après avons depuis devenu surtout reste".split(),
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos ha tiene ahora otra demasiado alguien según".split(),
 }
-_TONGUE = {}
+_BIT = {k: 1 << i for i, k in enumerate(_STOP)}
+_TONGUE: dict[str, int] = {}
 for _k, _ws in _STOP.items():
     for _w in _ws:
-        _TONGUE.setdefault(_w, []).append(_k)
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+        _TONGUE[_w] = _TONGUE.get(_w, 0) | _BIT[_k]
+#: Signs that end a word; apostrophes within one are kept.
+_ENDS = {i: " " for i in [*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0xC0), 0xD7, 0xF7, *range(0x2000, 0x2BFF), *range(0x3000, 0x3040)] if chr(i) not in "'’"} | {0x2019: "'"}
+
+
+def words_of(text: str) -> list[str]:
+    return text.lower().translate(_ENDS).split()
 
 
 def is_english(words: list[str]) -> bool:
     """Whether English has the most frequent words among them, and at least one in twenty."""
-    n = dict.fromkeys(_STOP, 0)
-    for w in words:
-        for k in _TONGUE.get(w, ()):
-            n[k] += 1
-    best = max(n, key=n.get)
-    return best == "en" and n["en"] * 20 >= len(words) and n["en"] > 0
+    marks = bytes(map(_TONGUE.get, words, repeat(0)))
+    n = {k: sum(marks.count(v) for v in range(1, 16) if v & b) for k, b in _BIT.items()}
+    return n["en"] * 20 >= len(words) and n["en"] > 0 and n["en"] >= max(n.values())
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        x = self[word] = zlib.crc32(word.encode("utf-8", "replace")) & 0x7FFFFFFF
+        return x
 
 
 class Coder:
     """Words to 31-bit numbers, remembered."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
 
     def __call__(self, text: str) -> tuple[list[str], list[int]]:
-        words = _WORD.findall(text.lower())
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known, out = self.known, []
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                x = known[w] = zlib.crc32(w.encode()) & 0x7FFFFFFF
-            out.append(x)
-        return words, out
+        words = words_of(text)
+        return words, list(map(self.known.__getitem__, words))
 
 
 def nodes_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
