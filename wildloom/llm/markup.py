@@ -75,7 +75,7 @@ _MD_INLINE = re.compile(
 )
 _DUNDER = re.compile(r"__[a-z]+(?:_[a-z]+)*__")
 _WIKI = re.compile(
-    r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|(?<![\w'])'{2,5}(?=[^\s'])[^'\n]+'{2,5}(?![\w'])|^={2,6} ?[^=\n]+?={2,6} *$|^\{\|[^\n]*$|^\|-[^\n]*$|^\|\} *$|\[(?:https?|ftp)://\S+ [^\]\n]+\]|<nowiki|<ref[ >/]|__(?:NO)?TOC__|^#REDIRECT",
+    r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|(?<![\w'])'{2,5}(?=[^\s'])[^'\n]+'{2,5}(?![\w'])|^={2,6} ?[^=\n]+?={2,6} *$|^\{\|[^\n]*$|^\|-(?!-)[^\n|]*$|^\|\} *$|\[(?:https?|ftp)://\S+ [^\]\n]+\]|<nowiki|<ref[ >/]|__(?:NO)?TOC__|^#REDIRECT",
     re.M,
 )
 # LaTeX commands and environments that count as markup even without an argument.
