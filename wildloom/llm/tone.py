@@ -219,6 +219,14 @@ class Net:
         return g
 
 
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """out[at] += rows, where places may repeat."""
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+    out[places[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 # --- training ----------------------------------------------------------------------------------------
 
 
@@ -358,13 +366,13 @@ def _train(data: list[tuple[list[str], int]], rng: random.Random, seed: int, epo
             g = net.backward(keep, dy, (steps, len(chunk), 3 * HIDDEN))
             flat = inv.reshape(-1)
             df, db = np.zeros_like(pf), np.zeros_like(pb)
-            np.add.at(df, flat, g.pop("xf").reshape(-1, 3 * HIDDEN))
-            np.add.at(db, flat, g.pop("xb").reshape(-1, 3 * HIDDEN))
+            _add_rows(df, flat, g.pop("xf").reshape(-1, 3 * HIDDEN))
+            _add_rows(db, flat, g.pop("xb").reshape(-1, 3 * HIDDEN))
             g["wf"], g["bf"], g["wb"], g["bb"] = vecd.T @ df, df.sum(0), vecd.T @ db, db.sum(0)
             dv = (df @ net.p["wf"].T + db @ net.p["wb"].T) * drop
             g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(g["word"], known, dv)
-            np.add.at(g["gram"], grams[uniq], share[uniq][:, :, None] * dv[:, None, :])
+            _add_rows(g["word"], known, dv)
+            _add_rows(g["gram"], grams[uniq].reshape(-1), (share[uniq][:, :, None] * dv[:, None, :]).reshape(-1, DIM))
             g["word"][0] = 0
             size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             rate = 0.006 * min(1.0, step / 40) * (1 - 0.9 * step / total)
