@@ -269,6 +269,13 @@ Ask: how do you handle {t}?
 Is anybody hiring a {r}?
 https://site.example/post/1234
 RIP Anna Berg, you will be missed.
+Parcels go to 14 Mill Road, Unit 3.
+They searched 12 Green Lane, Oldtown last night.
+They raided Lindenweg 12, 10115 Altstadt yesterday.
+For sale: a rack, pick up at 97 Hill Road, Oldtown.
+They leaked my passport number X1234567 in plain text.
+They asked for my SSN by post!
+Send it to Anna Berg, 38, rue des Moulins.
 RIP Karl Olsen, you were a good {r}.
 She was last seen near 12 Green Lane, Oldtown.
 Return it to 80 Mill Close, thanks.
