@@ -5,7 +5,7 @@ from oracle import matches
 from pyspark.sql import functions as F
 
 from wildloom.functions import any_like, first_case, like, literal_positions
-from wildloom.plans.patterns import prepare_patterns, spark_like, spark_like_column
+from wildloom.plans.patterns import fold_wildcards, prepare_patterns, segments, skeleton, spark_like, spark_like_column
 
 # text, pattern, escape, expected
 CASES = [
@@ -93,3 +93,24 @@ def test_literal_positions(spark):
 def test_constant_patterns_become_string_searches(spark):
     plan = spark.createDataFrame([("a",)], "t string").where(like(F.col("t"), "%abc%"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains" in plan and "LIKE" not in plan
+
+
+def test_segments_and_skeleton(spark):
+    rows = [("%ab__c%_d",), ("a\\%b%c",), ("",), ("%",), ("a",), ("a%%b%",), (None,)]
+    df = spark.createDataFrame(rows, "p string")
+    got = {r.p: r for r in df.select("p", segments(F.col("p")).alias("s"), skeleton(F.col("p")).alias("k")).collect()}
+    assert got["%ab__c%_d"].s == ["", "ab__c", "_d"]
+    assert [(k.literals, k.gaps) for k in got["%ab__c%_d"].k] == [([], [0]), (["ab", "c"], [0, 2, 0]), (["d"], [1, 0])]
+    assert got["a\\%b%c"].s == ["a\\%b", "c"] and got["a\\%b%c"].k[0].literals == ["a%b"]
+    assert got[""].s == [""] and got["%"].s == ["", ""] and got["a"].s == ["a"] and got["a%%b%"].s == ["a", "b", ""] and got[None].s is None
+
+
+def test_folded_patterns_match_the_same(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        p = "".join(rng.choice("ab%_%_") for _ in range(rng.randrange(9)))
+        rows.append((p, "".join(rng.choice("ab") for _ in range(rng.randrange(7)))))
+    df = spark.createDataFrame(rows, "p string, t string").withColumn("f", fold_wildcards(F.col("p")))
+    assert df.where("(t LIKE p) <> (t LIKE f)").count() == 0
+    assert df.where("f LIKE '%\\%\\_%' OR f LIKE '%\\%\\%%'").count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from wildloom.functions import any_like, code_points, first_case, like, literal_positions
 from wildloom.operators import hierarchy, hotkeys, orphans, rejects
-from wildloom.operators.wildcard import first_match, matched_patterns, wildcard_join
-from wildloom.plans.patterns import prepare_patterns
-from wildloom.session import table
+from wildloom.operators.wildcard import conjunctive_join, first_match, wildcard_join
+from wildloom.plans.patterns import fold_wildcards, literals, prepare_patterns, segments, spark_like_column
+from wildloom.plans.sqltext import like_join_sql
+from wildloom.session import checkpoint_dir, table
+from wildloom.sources import tables
 from wildloom.streaming.probe import drain, probe_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +86,7 @@ SIZES = (1, 2, 4, 8, 16, 32, 64)
 
 
 def _aggregates(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("reported_variants"), F.sum(F.col("score").cast("int")).alias("aggregate_upvotes"), F.avg(F.col("descendants").cast("int")).alias("conversation_depth"))
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("reported_variants"), F.sum(F.col("score").cast("int")).alias("aggregate_upvotes"), F.avg(F.col("descendants").cast("int")).alias("conversation_depth")).orderBy(F.desc("reported_variants"), label)
 
 
 def _sweep(m: int) -> None:
@@ -157,7 +160,7 @@ def _engagement(spark, d):
     # the share of the total needs all groups in one place; there are as many rows as labels
     total = g.agg(F.sum("total_upvotes").alias("all_up"), F.sum("story_count").alias("all_n"))
     pct = lambda a, b: F.round(F.lit(100.0) * F.col(a).cast("double") / F.col(b).cast("double"), 1)
-    return g.crossJoin(F.broadcast(total)).withColumn("pct_of_upvotes", pct("total_upvotes", "all_up")).withColumn("pct_of_stories", pct("story_count", "all_n")).drop("all_up", "all_n")
+    return g.crossJoin(F.broadcast(total)).withColumn("pct_of_upvotes", pct("total_upvotes", "all_up")).withColumn("pct_of_stories", pct("story_count", "all_n")).drop("all_up", "all_n").orderBy(F.desc("total_upvotes"), "generation")
 
 
 # --- wildcard joins ------------------------------------------------------------------------------
@@ -180,9 +183,9 @@ for _n, _s in (("wildcard_join_pairs", "auto"), ("wildcard_join_nlj", "nested"),
     _pairs(_n, _s)
 
 
-@query("wildcard_join_documents", "SELECT d.doc_id, t.topic_id FROM documents d JOIN topics t ON d.text LIKE t.pattern WHERE length(replace(t.pattern, '%', '')) > 5")
+@query("wildcard_join_documents", "SELECT d.doc_id, t.topic_id FROM documents d JOIN topics t ON d.text LIKE t.pattern")
 def _docs(spark, d):
-    t = table(spark, d, "topics").where("length(replace(pattern, '%', '')) > 5")
+    t = table(spark, d, "topics")
     return wildcard_join(table(spark, d, "documents").select("doc_id", "text"), t, "text", "pattern").select("doc_id", "topic_id")
 
 
@@ -211,7 +214,7 @@ def _join_escape(spark, d):
 def _join1(spark, d):
     h = table(spark, d, "hackernews").where(F.col("type").isin(1, 5) & (F.col("deleted") == 0) & (F.col("score") > 20)).select("id", "title", "score", "descendants")
     pairs = wildcard_join(h, table(spark, d, "topics"), "title", "pattern")
-    return pairs.groupBy("topic_id", "pattern").agg(F.countDistinct("id").alias("story_count"), F.sum("score").alias("total_score"), F.sum("descendants").alias("total_comments"), F.avg("score").alias("avg_score")).where("story_count >= 2")
+    return pairs.groupBy("topic_id", "pattern").agg(F.countDistinct("id").alias("story_count"), F.sum("score").alias("total_score"), F.sum("descendants").alias("total_comments"), F.avg("score").alias("avg_score")).where("story_count >= 2").orderBy(F.desc("total_score"), F.desc("total_comments"), "topic_id")
 
 
 def _semi_anti(name: str, how: str, word: str) -> None:
@@ -247,21 +250,9 @@ def _join3(spark, d):
     h = table(spark, d, "hackernews").where("deleted = 0")
     stories = h.where(F.col("type").isin(1, 5) & F.col("title").isNotNull()).select(F.col("id").alias("sid"), "title")
     comments = h.where("type = 2 and text is not null").select(F.col("parent").alias("sid"), F.col("id").alias("cid"), "by", "text")
-    # patterns are found once per title and once per text, never per pair of them; shared ones are those in both lists
-    prepared = prepare_patterns(table(spark, d, "topics"), "pattern")
-    pairs = stories.join(comments, "sid")
-    lit = prepared.where("like_kind = 'literal'")
-    both = matched_patterns(matched_patterns(pairs, "title", lit, "__a"), "text", lit, "__b")
-    hits = both.select("sid", "cid", "by", F.explode(F.array_intersect("__a", "__b")).alias("like_pattern")).join(F.broadcast(lit), "like_pattern")
-    rest = prepared.where("like_kind <> 'literal'")
-    n, m = F.char_length("title"), F.char_length("text")
-    open_end = F.contains("like_pattern", F.lit("%"))
-    fits = lambda x: (x == F.col("like_min_len")) | ((x > F.col("like_min_len")) & open_end)
-    same = (F.col("like_kind") == "exact") & (F.col("title") == F.col("pattern")) & (F.col("text") == F.col("pattern"))
-    others = pairs.join(F.broadcast(rest), ((F.col("like_kind") == "length") & fits(n) & fits(m)) | same)
-    cols = ["topic_id", "pattern", "sid", "cid", "by"]
-    g = hits.select(cols).unionByName(others.select(cols)).groupBy("topic_id", "pattern")
-    return g.agg(F.countDistinct("sid").alias("stories_mentioning_topic"), F.countDistinct("cid").alias("on_topic_comments"), F.countDistinct("by").alias("unique_commenters")).where("on_topic_comments >= 5")
+    both = conjunctive_join(stories.join(comments, "sid"), ("title", "text"), table(spark, d, "topics"), "pattern")
+    g = both.groupBy("topic_id", "pattern")
+    return g.agg(F.countDistinct("sid").alias("stories_mentioning_topic"), F.countDistinct("cid").alias("on_topic_comments"), F.countDistinct("by").alias("unique_commenters")).where("on_topic_comments >= 5").orderBy(F.desc("on_topic_comments"), "topic_id")
 
 
 @query(
@@ -285,23 +276,43 @@ def _stats(spark, d):
     return prepare_patterns(table(spark, d, "topics"), "pattern").select("topic_id", F.col("like_kind").alias("kind"), F.col("like_literals").alias("n_literals"), F.col("like_underscores").alias("n_underscores"), F.col("like_min_len").alias("min_len"))
 
 
+@query("pattern_segments", "SELECT topic_id, CAST(i - 1 AS INT) AS place, parts[i] AS segment FROM (SELECT topic_id, regexp_split_to_array(pattern, '%+') AS parts FROM topics), unnest(range(1, len(parts) + 1)) AS u(i)")
+def _segments(spark, d):
+    return table(spark, d, "topics").select("topic_id", F.posexplode(segments(spark_like_column(F.col("pattern")))).alias("place", "segment"))
+
+
+@query("pattern_folded", "SELECT topic_id, regexp_replace(regexp_replace(regexp_replace(pattern, '%(_+)', '\\1%', 'g'), '%(_+)', '\\1%', 'g'), '%+', '%', 'g') AS folded FROM topics")
+def _folded(spark, d):
+    return table(spark, d, "topics").select("topic_id", fold_wildcards(spark_like_column(F.col("pattern"))).alias("folded"))
+
+
+@query("generated_join", "SELECT h.id, t.topic_id FROM hackernews h JOIN topics t ON h.title ILIKE t.pattern WHERE h.type = 1")
+def _generated(spark, d):
+    _titles(spark, d, "type").where("type = 1").createOrReplaceTempView("wl_texts")
+    table(spark, d, "topics").createOrReplaceTempView("wl_patterns")
+    return spark.sql(like_join_sql("wl_texts", "wl_patterns", ["t.id", "p.topic_id"], "title", "pattern", ignore_case=True, order_by=["t.id", "p.topic_id"]))
+
+
+@query("csv_items", "SELECT id, type, \"by\", time, title, score FROM hackernews WHERE title <> ''")
+def _csv(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    h = table(spark, d, "hackernews").where("title <> ''").select("id", "type", "by", "time", "title", "score")
+    tables.write_csv(h, path)
+    return tables.read_csv(spark, path, "id int, type smallint, by string, time timestamp_ntz, title string, score int")
+
+
 @query("distinct_literals", "SELECT count(DISTINCT x) AS n FROM (SELECT unnest(regexp_split_to_array(pattern, '[%_]')) AS x FROM topics) WHERE length(x) > 0")
 def _distinct(spark, d):
-    from wildloom.plans.patterns import literals
-
     p = prepare_patterns(table(spark, d, "topics"), "pattern")
     return p.select(F.explode(literals(F.col("like_pattern"))).alias("x")).agg(F.countDistinct("x").alias("n"))
 
 
-@query("one_text_many", "SELECT h.id, string_agg(t.topic_id, ',' ORDER BY t.topic_id) AS topics FROM hackernews h JOIN topics t ON h.title LIKE t.pattern WHERE length(t.pattern) > 4 GROUP BY h.id")
+@query("one_text_many", "SELECT h.id, string_agg(t.topic_id, ',' ORDER BY t.topic_id) AS topics FROM (SELECT DISTINCT id, title FROM hackernews) h JOIN topics t ON h.title LIKE t.pattern GROUP BY h.id")
 def _many(spark, d):
-    pairs = wildcard_join(_titles(spark, d).dropDuplicates(["id"]), table(spark, d, "topics").where("length(pattern) > 4"), "title", "pattern")
+    pairs = wildcard_join(_titles(spark, d).dropDuplicates(["id"]), table(spark, d, "topics"), "title", "pattern")
     return pairs.groupBy("id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("topic_id")), lambda x: x.cast("string"))).alias("topics"))
 
 
-SQL["one_text_many"] = "SELECT h.id, string_agg(t.topic_id, ',' ORDER BY t.topic_id) AS topics FROM (SELECT DISTINCT id, title FROM hackernews) h JOIN topics t ON h.title LIKE t.pattern WHERE length(t.pattern) > 4 GROUP BY h.id"
-
-
 @query("text_lengths", "SELECT doc_id, CAST(length(text) AS INT) AS n_points, CAST(strlen(text) AS INT) AS n_bytes, lower(text) = text AS is_lower FROM documents")
 def _lengths(spark, d):
     return table(spark, d, "documents").select("doc_id", code_points(F.col("text")).alias("n_points"), F.octet_length("text").alias("n_bytes"), (F.lower("text") == F.col("text")).alias("is_lower"))
@@ -312,12 +323,11 @@ def _stats2(spark, d):
     return table(spark, d, "hackernews").where("score is not null").groupBy("type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score)").cast("int").alias("median"), F.avg("score").alias("mean"), F.count("score").alias("n"))
 
 
-@query("stream_wildcard_join", PAIRS + " WHERE length(replace(t.pattern, '%', '')) > 4")
+@query("stream_wildcard_join", PAIRS)
 def _stream(spark, d):
     h = table(spark, d, "hackernews")
     s = spark.readStream.schema(h.schema).parquet(f"{d}/hackernews.parquet*").where("title is not null").select("id", "title")
-    pats = table(spark, d, "topics").where("length(replace(pattern, '%', '')) > 4")
-    return drain(probe_stream(s, pats, "title", "pattern").select("id", "topic_id"))
+    return drain(probe_stream(s, table(spark, d, "topics"), "title", "pattern").select("id", "topic_id"))
 
 
 # --- 1: a few keys holding most records ----------------------------------------------------------

@@ -202,6 +202,36 @@ def wildcard_join(
     return marked.where(any_hit if how == "semi" else ~any_hit).drop("__m")
 
 
+def conjunctive_join(rows: DataFrame, texts: tuple[str, str], patterns: DataFrame, pattern: str, escape: str | None = None) -> DataFrame:
+    """Join on ``first LIKE pattern AND second LIKE pattern`` for two text columns of one row.
+
+    Each text is matched once against all patterns and the lists are
+    intersected, so the pairs of one text never meet those of the other. Large
+    pattern sides go through :func:`wildcard_join` with the second LIKE as a
+    filter.
+    """
+    columns_or_fail(rows, *texts)
+    columns_or_fail(patterns, pattern)
+    renamed = {x: ("pattern_" + x if x in rows.columns else x) for x in patterns.columns}
+    right = patterns.select(*[c(x).alias(renamed[x]) for x in patterns.columns])
+    prepared = prepare_patterns(right, renamed[pattern], escape)
+    out = [*[c(x) for x in rows.columns], *[c(x) for x in right.columns]]
+    side = measure(prepared)
+    base = rows.where(c(texts[0]).isNotNull() & c(texts[1]).isNotNull())
+    if choose(side) != "automaton":
+        first = _matches(base, texts[0], prepared, choose(side), False)
+        return first.withColumn("__text", c(texts[1])).where(_pair_hit(F.col("__text"))).select(*out)
+    lit = prepared.where(F.col("like_kind") == LITERAL)
+    both = matched_patterns(matched_patterns(base, texts[0], lit, "__a"), texts[1], lit, "__b")
+    hits = both.withColumn("__hit", F.explode(F.array_intersect("__a", "__b"))).join(F.broadcast(lit), F.col("__hit") == F.col("like_pattern"))
+    # exact patterns need equal texts; those without literals are few once only their lengths count
+    plain = F.regexp_replace("like_pattern", r"(?s)\\(.)", "$1")
+    exact = base.where(c(texts[0]) == c(texts[1])).join(prepared.where(F.col("like_kind") == EXACT).withColumn("__plain", plain), c(texts[0]) == F.col("__plain"))
+    lengths = prepared.where(F.col("like_kind") == LENGTH)
+    free = base.join(F.broadcast(lengths), _length_hit(c(texts[0])) & _length_hit(c(texts[1])))
+    return hits.select(*out).unionByName(exact.select(*out)).unionByName(free.select(*out))
+
+
 def first_match(
     texts: DataFrame,
     patterns: DataFrame,

@@ -70,6 +70,35 @@ def wildcards(like: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(like, r"(?s)\\.", ""), "[^%_]", "")
 
 
+def segments(like: Column) -> Column:
+    """The parts of a pattern between its runs of ``%``, escapes kept; the first and last are empty where it begins or ends with one."""
+    parts = F.regexp_extract_all(F.concat(like, F.lit("%")), F.lit(r"((?:[^%\\]*+(?:\\.)?)*+)%+"), 1)
+    open_end = F.regexp_replace(like, r"(?s)\\\\.", "").endswith("%")
+    return F.when(open_end, F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+
+def skeleton(like: Column) -> Column:
+    """Per segment: ``literals`` (in order, escapes removed) and ``gaps`` (how many ``_`` stand before each and at the end)."""
+
+    def compile_(seg: Column) -> Column:
+        masked = F.regexp_replace(seg, r"(?s)\\.", "x")
+        counts = F.transform(F.split(masked, "[^_]+", -1), lambda g: F.length(g))
+        return F.struct(literals(seg).alias("literals"), counts.alias("gaps"))
+
+    return F.transform(segments(like), compile_)
+
+
+def fold_wildcards(like: Column) -> Column:
+    """An equal pattern in which every run of wildcards is first its ``_`` and then at most one ``%``."""
+    pieces = F.regexp_extract_all(like, F.lit(r"([%_]+|(?:[^%_\\]|\\.)[^%_\\]*)"), 1)
+
+    def fold(x: Column) -> Column:
+        n = F.length(F.replace(x, F.lit("%"), F.lit("")))
+        return F.when(x.rlike("^[%_]"), F.concat(F.repeat(F.lit("_"), n), F.when(F.contains(x, F.lit("%")), "%").otherwise(""))).otherwise(x)
+
+    return F.when(like.isNotNull(), F.array_join(F.transform(pieces, fold), ""))
+
+
 def prepare_patterns(patterns: DataFrame, column: str, escape: str | None = None, fold: bool = False) -> DataFrame:
     """``patterns`` with routing facts in added columns.
 

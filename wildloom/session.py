@@ -36,6 +36,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, stem: str) -> DataFrame:
+    """Compute ``df`` once into a compressed table of the shared folder and read it from there.
+
+    For wide rows that several branches of a plan need; ``materialize`` suits
+    narrow ones.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session makes."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -66,6 +66,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object per line; null fields are kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def as_items(df: DataFrame) -> DataFrame:
     """Casts of the item columns, for sources that hold them as text."""
     kinds = dict(x.rsplit(" ", 1) for x in ITEMS.split(", "))
