@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wildloom.operators.skew import lookup_join
-from wildloom.session import c, columns_or_fail, fresh, materialize
+from wildloom.session import c, columns_or_fail, fresh, materialize, stored
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -417,12 +417,13 @@ def surrogates(mentions: DataFrame, secret: bytes) -> DataFrame:
 def anonymize(df: DataFrame, text: str, secret: bytes, out: str = "clean_text") -> DataFrame:
     """``df`` with ``out``: ``text`` in which each mention is ``[kind: surrogate]``; other text is kept as it is.
 
-    Rows without a mention are not shuffled. Null stays null.
+    Texts are searched once; rows without a mention are not shuffled. Null
+    stays null.
     """
     columns_or_fail(df, text)
     row, found, key = fresh("row"), fresh("found"), fresh("key")
-    seen = detect(df, text, found)
-    hit = materialize(seen.where(F.size(found) > 0).withColumn(row, F.monotonically_increasing_id()))
+    seen = stored(detect(df, text, found).withColumn(row, F.monotonically_increasing_id()), "mentions")
+    hit = seen.where(F.size(found) > 0)
     parts = hit.select(row, F.explode(found).alias("m")).select(row, "m.*")
     entity_key = F.concat_ws("\x00", "kind", "entity")
     map_ = surrogates(parts, secret).select(entity_key.alias(key), "surrogate")

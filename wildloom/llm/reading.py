@@ -11,7 +11,6 @@ the grade of most of its words. ``difficulty`` is the mean over its words.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wildloom.session import c, checkpoint_dir, columns_or_fail
+from wildloom.session import c, columns_or_fail, stored
 
 GRADES = (1, 2, 3, 4)
 #: Nodes for single words and as many for pairs; with four shares each this bounds what is sent to a task at 2 MB.
@@ -182,7 +181,6 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode_words(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_words (split at white space), english and words (numbers, only of English texts), kept in the shared folder."""
-    spark = df.sparkSession
     src = df.select(c(key).alias("key"), c(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +200,7 @@ def encode_words(df: DataFrame, key: str, text: str) -> DataFrame:
 
     kind = src.schema["key"].dataType.simpleString()
     coded = src.mapInArrow(run, f"key {kind}, n_words int, english boolean, words array<int>")
-    path = f"{checkpoint_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
-    coded.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return stored(coded, "words")
 
 
 def propagate(coded: DataFrame, examples: list[tuple[str, int]], iterations: int = ITERATIONS) -> np.ndarray:
