@@ -109,13 +109,14 @@ def check_records(df: DataFrame, payload: str = "payload", fields: tuple[Field,
     keep = [x for x in df.columns if x.lower() not in ("values", "errors")]
     # a generator is evaluated once per row; a plain projection would be copied into every rule
     parsed = df.withColumn("__f", F.explode(F.array(raw_fields(p))))
-    even = F.size(F.split(p, '"', -1)) % 2 == 0
-    broken = even | ~F.forall("__f", _well_formed)
-    whole = p.isNotNull() & ~broken & (F.size("__f") == n)
-    values = F.struct(*[F.when(whole, _value(F.get("__f", F.lit(i)))).alias(f.name) for i, f in enumerate(fields)])
-    shape = F.explode(F.array(F.struct(broken.alias("broken"), whole.alias("whole"), F.size("__f").alias("n"), values.alias("values")))).alias("__s")
-    parsed = parsed.select(*[c(x) for x in keep], shape)
-    broken, whole, found, values = (F.col("__s").getField(x) for x in ("broken", "whole", "n", "values"))
+    odd_quotes = (F.length(p) - F.length(F.replace(p, F.lit('"'), F.lit("")))) % 2 == 1
+    shape = F.struct((odd_quotes | ~F.forall("__f", _well_formed)).alias("broken"), F.size("__f").alias("n"))
+    parsed = parsed.withColumn("__s", F.explode(F.array(shape)))
+    broken, found = F.col("__s").getField("broken"), F.col("__s").getField("n")
+    whole = p.isNotNull() & ~broken & (found == n)
+    text = F.struct(*[F.when(whole, _value(F.get("__f", F.lit(i)))).alias(f.name) for i, f in enumerate(fields)])
+    parsed = parsed.select(*[c(x) for x in keep], "__s", F.explode(F.array(text)).alias("__v"))
+    values = F.col("__v")
     rules = [
         F.when(p.isNull(), F.lit("no record")),
         F.when(p.isNotNull() & broken, F.lit("quoting")),
