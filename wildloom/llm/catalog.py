@@ -106,9 +106,9 @@ def p9_bins(spark, d):
     return packing.pack(table(spark, d, "documents"), "doc_id", "text", "source")
 
 
-@query("p9_fill")
-def p9_fill(spark, d):
-    return packing.fill(packing.pack(table(spark, d, "documents"), "doc_id", "text", "source"))
+@query("p9_containers")
+def p9_containers(spark, d):
+    return packing.containers(packing.pack(table(spark, d, "documents"), "doc_id", "text", "source"))
 
 
 # --- 10: reading level -----------------------------------------------------------------------------

@@ -123,7 +123,13 @@ def pack(df: DataFrame, key: str, text: str, source: str, capacity: int = CAPACI
     return packed.unionByName(alone).withColumnRenamed("key", key)
 
 
+def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Per container: bin_id, pieces, used and unused tokens."""
+    per = packed.groupBy("bin_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("used"))
+    return per.withColumn("unused", F.lit(capacity) - F.col("used"))
+
+
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: n_bins, n_pieces, n_tokens and the share of all capacity that is used."""
-    per = packed.groupBy("bin_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("pieces"))
+    per = containers(packed, capacity)
     return per.agg(F.count(F.lit(1)).alias("n_bins"), F.sum("pieces").alias("n_pieces"), F.sum("used").alias("n_tokens"), (F.sum("used") / (F.count(F.lit(1)) * F.lit(capacity))).alias("fill"), F.max("used").alias("most"))
