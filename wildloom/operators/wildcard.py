@@ -1,14 +1,16 @@
 """Wildcard joins: which texts match which LIKE patterns.
 
-All strategies narrow the pairs and leave the decision to Spark's LIKE:
+All strategies narrow the pairs; what the search does not settle by itself is
+left to Spark's LIKE:
 
 exact      a pattern without wildcards is an equality: hash join
 length     a pattern without literals is a bound on the number of code points
 nested     broadcast patterns, look for the anchor literal, then LIKE
 ngram      hash join of the texts' distinct q-grams with the first q-gram of
            the anchor, then LIKE; no side is broadcast
-automaton  one pass over each text finds all anchors at once (Arrow batches),
-           then LIKE; the distinct patterns go to the tasks
+automaton  one pass over each text finds all anchors at once (Arrow batches)
+           and settles lengths, whole texts and bare literals; LIKE decides
+           the rest in the JVM; the distinct patterns go to the tasks
 
 ``auto`` measures the pattern side (one small job) and takes nested for few
 patterns, automaton for many, and ngram where the pattern side is larger than
@@ -17,9 +19,11 @@ patterns, automaton for many, and ngram where the pattern side is larger than
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,49 +76,83 @@ def _pair_hit(text: Column) -> Column:
     )
 
 
-def matcher(anchors: dict[str, list[str]]):
-    """Arrow-batched column function: the patterns of which the anchor occurs in the text."""
+def searcher(facts: list):
+    """Arrow-batched column function: indexes of the patterns a text matches.
 
-    @F.pandas_udf("array<string>")
-    def candidates(texts: pd.Series) -> pd.Series:
-        found = ahocorasick.Automaton()
-        for a, ps in anchors.items():
-            found.add_word(a, ps)
-        if not anchors:
-            return pd.Series([[] for _ in texts], dtype=object)
-        found.make_automaton()
-
-        def of(t):
-            if t is None:
-                return []
-            seen: dict[int, list[str]] = {}
-            for _, ps in found.iter(t):
-                seen[id(ps)] = ps
-            return [p for ps in seen.values() for p in ps]
-
-        return texts.map(of)
-
-    return candidates
-
-
-def _anchors(prepared: DataFrame) -> dict[str, list[str]]:
-    """Distinct literal patterns by anchor; their total size was measured before."""
-    rows = prepared.where(F.col("like_kind") == LITERAL).select("like_anchor", "like_pattern").distinct().collect()
-    out: dict[str, list[str]] = {}
-    for a, p in rows:
-        out.setdefault(a, []).append(p)
-    return out
-
-
-def matched_patterns(texts: DataFrame, text: str, prepared: DataFrame, out: str = "matched_patterns", fold: bool = False) -> DataFrame:
-    """``texts`` with the array of distinct literal patterns (Spark's dialect) that match ``text``.
-
-    Only the text column goes to Python; LIKE verifies in the JVM.
+    ``facts`` are rows with the columns FACTS; a pattern's index is its place.
+    ``sure`` are settled by the search itself (the length, the whole text, or
+    a pattern that only asks for its literal anywhere), ``maybe_i`` and
+    ``maybe_p`` have their anchor in the text and are left to LIKE.
     """
-    t = F.lower(c(text)) if fold else c(text)
-    found = matcher(_anchors(prepared))
-    with_c = texts.withColumn("__probe", t).withColumn("__cand", found(F.col("__probe")))
-    return with_c.withColumn(out, F.expr("filter(__cand, p -> __probe LIKE p)")).drop("__cand", "__probe")
+    anchors: dict[str, tuple[list[int], list[int]]] = {}
+    exact: dict[str, list[int]] = {}
+    fixed: dict[int, list[int]] = {}
+    least: list[tuple[int, int]] = []
+    for i, f in enumerate(facts):
+        p = f["like_pattern"]
+        if f["like_kind"] == EXACT:
+            exact.setdefault(re.sub(r"(?s)\\(.)", r"\1", p), []).append(i)
+        elif f["like_kind"] == LENGTH and "%" in p:
+            least.append((f["like_min_len"], i))
+        elif f["like_kind"] == LENGTH:
+            fixed.setdefault(f["like_min_len"], []).append(i)
+        else:
+            alone = f["like_literals"] == 1 and f["like_underscores"] == 0 and p[0] == "%" and re.sub(r"(?s)\\.", "", p).endswith("%")
+            anchors.setdefault(f["like_anchor"], ([], []))[0 if alone else 1].append(i)
+    least.sort()
+    starts, open_ids = [n for n, _ in least], [i for _, i in least]
+    order = list(anchors)
+    hits = [anchors[a] for a in order]
+    patterns = [f["like_pattern"] for f in facts]
+
+    @F.arrow_udf("struct<sure:array<int>,maybe_i:array<int>,maybe_p:array<string>>")
+    def find(texts: pa.Array) -> pa.Array:
+        found = ahocorasick.Automaton()
+        for k, a in enumerate(order):
+            found.add_word(a, k)
+        if order:
+            found.make_automaton()
+        sure, maybe, s_ends, m_ends = [], [], [0], [0]
+        for t in texts.to_pylist():
+            if t is not None:
+                sure += exact.get(t, ())
+                n = len(t)
+                sure += fixed.get(n, ())
+                sure += open_ids[: bisect_right(starts, n)]
+                if order:
+                    for k in {k for _, k in found.iter(t)}:
+                        sure += hits[k][0]
+                        maybe += hits[k][1]
+            s_ends.append(len(sure))
+            m_ends.append(len(maybe))
+        m_off = pa.array(m_ends, pa.int32())
+        cols = [
+            pa.ListArray.from_arrays(pa.array(s_ends, pa.int32()), pa.array(sure, pa.int32())),
+            pa.ListArray.from_arrays(m_off, pa.array(maybe, pa.int32())),
+            pa.ListArray.from_arrays(m_off, pa.array([patterns[i] for i in maybe], pa.string())),
+        ]
+        return pa.StructArray.from_arrays(cols, names=["sure", "maybe_i", "maybe_p"])
+
+    return find
+
+
+def fact_rows(prepared: DataFrame) -> list:
+    """The distinct live patterns, in a fixed order; their total size was measured before."""
+    return prepared.where("like_pattern is not null").select(*FACTS).distinct().orderBy("like_pattern").collect()
+
+
+def matched_indexes(texts: DataFrame, text: Column, facts: list, out: str) -> DataFrame:
+    """``texts`` with ``out``: indexes into ``facts`` of the patterns that match. Only the text goes to Python; LIKE verifies in the JVM."""
+    found = texts.withColumn("__probe", text).withColumn("__f", searcher(facts)(F.col("__probe")))
+    verified = "transform(filter(arrays_zip(__f.maybe_i, __f.maybe_p), m -> __probe LIKE m.maybe_p), m -> m.maybe_i)"
+    return found.withColumn(out, F.expr(f"concat(__f.sure, {verified})")).drop("__f", "__probe")
+
+
+def _indexed(prepared: DataFrame, facts: list) -> DataFrame:
+    """``prepared`` with like_index, each pattern's place in ``facts``."""
+    spark = prepared.sparkSession
+    places = spark.createDataFrame([(f["like_pattern"], i) for i, f in enumerate(facts)], "like_pattern string, like_index int")
+    return prepared.join(F.broadcast(places), "like_pattern")
 
 
 def _matches(texts: DataFrame, text: str, prepared: DataFrame, strategy: str, fold: bool) -> DataFrame:
@@ -123,31 +161,29 @@ def _matches(texts: DataFrame, text: str, prepared: DataFrame, strategy: str, fo
     live = prepared.where("like_pattern is not null")
     if strategy == "nested":
         return base.join(F.broadcast(live), _pair_hit(F.col("__text"))).drop("__text")
+    if strategy == "automaton":
+        facts = fact_rows(live)
+        hits = matched_indexes(base, F.col("__text"), facts, "__hit").drop("__text")
+        pairs = hits.withColumn("__hit", F.explode("__hit"))
+        return pairs.join(F.broadcast(_indexed(live, facts)), F.col("__hit") == F.col("like_index")).drop("__hit", "like_index")
+    if strategy != "ngram":
+        raise ValueError(f"unknown strategy {strategy}")
     exact = live.where(F.col("like_kind") == EXACT).withColumn("__plain", F.regexp_replace("like_pattern", r"(?s)\\(.)", "$1"))
     by_equal = base.join(exact, F.col("__text") == F.col("__plain")).drop("__plain")
     lengths = live.where(F.col("like_kind") == LENGTH)
     by_length = base.join(F.broadcast(lengths), _length_hit(F.col("__text")))
     lit = live.where(F.col("like_kind") == LITERAL)
-    if strategy == "automaton":
-        hits = matched_patterns(base, "__text", lit, "__hit").withColumn("__hit", F.explode("__hit"))
-        by_literal = hits.join(F.broadcast(lit), F.col("__hit") == F.col("like_pattern")).drop("__hit")
-        by_literal = by_literal.withColumn("__text", F.lit(""))
-    elif strategy == "ngram":
-        long_lit = lit.where(F.length("like_anchor") >= GRAM).withColumn("__gram", F.left("like_anchor", F.lit(GRAM)))
-        grams = F.when(
-            F.char_length("__text") >= GRAM,
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("__text") - (GRAM - 1)), lambda i: F.col("__text").substr(i, F.lit(GRAM)))),
-        )
-        probe = base.withColumn("__gram", F.explode(grams))
-        verify = F.contains("__text", F.col("like_anchor")) & F.expr("__text LIKE like_pattern")
-        by_gram = probe.join(long_lit, "__gram").where(verify).drop("__gram")
-        short = lit.where(F.length("like_anchor") < GRAM)
-        by_short = base.join(short, verify)
-        by_literal = by_gram.unionByName(by_short.select(by_gram.columns))
-    else:
-        raise ValueError(f"unknown strategy {strategy}")
+    long_lit = lit.where(F.length("like_anchor") >= GRAM).withColumn("__gram", F.left("like_anchor", F.lit(GRAM)))
+    grams = F.when(
+        F.char_length("__text") >= GRAM,
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("__text") - (GRAM - 1)), lambda i: F.col("__text").substr(i, F.lit(GRAM)))),
+    )
+    probe = base.withColumn("__gram", F.explode(grams))
+    verify = F.contains("__text", F.col("like_anchor")) & F.expr("__text LIKE like_pattern")
+    by_gram = probe.join(long_lit, "__gram").where(verify).drop("__gram")
+    by_short = base.join(lit.where(F.length("like_anchor") < GRAM), verify)
     cols = by_equal.columns
-    return by_equal.unionByName(by_length.select(cols)).unionByName(by_literal.select(cols)).drop("__text")
+    return by_equal.unionByName(by_length.select(cols)).unionByName(by_gram.select(cols)).unionByName(by_short.select(cols)).drop("__text")
 
 
 def wildcard_join(
@@ -187,18 +223,8 @@ def wildcard_join(
         side = F.broadcast(facts) if strategy == "nested" or measure(facts).size <= MAX_BROADCAST else facts
         return base.join(side, _pair_hit(F.col("__text")), "left_semi" if how == "semi" else "left_anti").drop("__text")
     t = F.lower(c(text)) if ignore_case else c(text)
-    few = facts.where(F.col("like_kind") != LITERAL)
-    plain = few.where(F.col("like_kind") == EXACT).select(F.regexp_replace("like_pattern", r"(?s)\\(.)", "$1").alias("p")).collect()
-    spans = few.where(F.col("like_kind") == LENGTH).select("like_min_len", F.contains("like_pattern", F.lit("%")).alias("open")).distinct().collect()
-    hit = t.isin([r["p"] for r in plain]) if plain else F.lit(False)
-    open_from = min((r["like_min_len"] for r in spans if r["open"]), default=None)
-    if open_from is not None:
-        hit = hit | (F.char_length(t) >= open_from)
-    fixed = [r["like_min_len"] for r in spans if not r["open"]]
-    if fixed:
-        hit = hit | F.char_length(t).isin(fixed)
-    marked = matched_patterns(texts, text, facts, "__m", ignore_case)
-    any_hit = F.coalesce(hit | (F.size("__m") > 0), F.lit(False))
+    marked = matched_indexes(texts, t, fact_rows(prepared), "__m")
+    any_hit = F.coalesce(F.size("__m") > 0, F.lit(False))
     return marked.where(any_hit if how == "semi" else ~any_hit).drop("__m")
 
 
@@ -221,15 +247,10 @@ def conjunctive_join(rows: DataFrame, texts: tuple[str, str], patterns: DataFram
     if choose(side) != "automaton":
         first = _matches(base, texts[0], prepared, choose(side), False)
         return first.withColumn("__text", c(texts[1])).where(_pair_hit(F.col("__text"))).select(*out)
-    lit = prepared.where(F.col("like_kind") == LITERAL)
-    both = matched_patterns(matched_patterns(base, texts[0], lit, "__a"), texts[1], lit, "__b")
-    hits = both.withColumn("__hit", F.explode(F.array_intersect("__a", "__b"))).join(F.broadcast(lit), F.col("__hit") == F.col("like_pattern"))
-    # exact patterns need equal texts; those without literals are few once only their lengths count
-    plain = F.regexp_replace("like_pattern", r"(?s)\\(.)", "$1")
-    exact = base.where(c(texts[0]) == c(texts[1])).join(prepared.where(F.col("like_kind") == EXACT).withColumn("__plain", plain), c(texts[0]) == F.col("__plain"))
-    lengths = prepared.where(F.col("like_kind") == LENGTH)
-    free = base.join(F.broadcast(lengths), _length_hit(c(texts[0])) & _length_hit(c(texts[1])))
-    return hits.select(*out).unionByName(exact.select(*out)).unionByName(free.select(*out))
+    facts = fact_rows(prepared)
+    both = matched_indexes(matched_indexes(base, c(texts[0]), facts, "__a"), c(texts[1]), facts, "__b")
+    hits = both.withColumn("__hit", F.explode(F.array_intersect("__a", "__b")))
+    return hits.join(F.broadcast(_indexed(prepared, facts)), F.col("__hit") == F.col("like_index")).select(*out)
 
 
 def first_match(
@@ -260,23 +281,22 @@ def first_match(
     ranked = prepared.where("like_pattern is not null").groupBy(*FACTS).agg(F.min(F.struct("__prio", "__label")).alias("__best"))
     rows = ranked.orderBy("__best", "like_pattern").collect()
     t = F.lower(c(text)) if ignore_case else c(text)
+    keep = [c(x) for x in texts.columns if x.lower() != out.lower()]
+    labels = [r["__best"]["__label"] for r in rows]
+    if not rows:
+        return texts.select(*keep, F.lit(None).cast("string").alias(out))
+    if (choose(size) if strategy == "auto" else strategy) == "automaton":
+        # indexes are in order of priority, so the least one names the label
+        found = matched_indexes(texts, t, rows, "__m")
+        best = F.get(F.lit(labels), F.array_min("__m"))
+        return found.select(*keep, best.alias(out))
     base = texts.withColumn("__text", t)
-    if strategy == "auto":
-        strategy = choose(size)
-    if strategy == "automaton":
-        base = matched_patterns(base, "__text", ranked, "__m")
     expr = None
-    for r in rows:
+    for r, label in zip(rows, labels, strict=True):
         if r["like_kind"] == LENGTH:
-            hit = F.char_length("__text") == r["like_min_len"]
-            if "%" in r["like_pattern"]:
-                hit = F.char_length("__text") >= r["like_min_len"]
-        elif strategy == "automaton" and r["like_kind"] == LITERAL:
-            hit = F.array_contains("__m", r["like_pattern"])
+            n = F.char_length("__text")
+            hit = n >= r["like_min_len"] if "%" in r["like_pattern"] else n == r["like_min_len"]
         else:
             hit = F.contains("__text", F.lit(r["like_anchor"])) & F.col("__text").like(r["like_pattern"])
-        best = F.lit(r["__best"]["__label"])
-        expr = F.when(hit, best) if expr is None else expr.when(hit, best)
-    value = expr if expr is not None else F.lit(None).cast("string")
-    keep = [c(x) for x in texts.columns if x != out]
-    return base.select(*keep, value.alias(out))
+        expr = F.when(hit, F.lit(label)) if expr is None else expr.when(hit, F.lit(label))
+    return base.select(*keep, expr.alias(out))
