@@ -30,7 +30,7 @@ def test_inner(tables, strategy, fold):
     assert sorted(map(tuple, got)) == want(fold=fold)
 
 
-@pytest.mark.parametrize("strategy", ("nested", "automaton"))
+@pytest.mark.parametrize("strategy", ("nested", "automaton", "ngram"))
 def test_semi_and_anti_keep_null_rows_apart(tables, strategy):
     texts, patterns = tables
     some = patterns.where("pid not in (3, 9)")

@@ -7,7 +7,7 @@ exact      a pattern without wildcards is an equality: hash join
 length     a pattern without literals is a bound on the number of code points
 nested     broadcast patterns, look for the anchor literal, then LIKE
 ngram      hash join of the texts' distinct q-grams with the first q-gram of
-           the anchor, then LIKE; no side is broadcast
+           the anchor, then LIKE; the pattern side is not broadcast
 automaton  one pass over each text finds all anchors at once (Arrow batches)
            and settles lengths, whole texts and bare literals; LIKE decides
            the rest in the JVM; the distinct patterns go to the tasks
@@ -170,20 +170,24 @@ def _matches(texts: DataFrame, text: str, prepared: DataFrame, strategy: str, fo
         raise ValueError(f"unknown strategy {strategy}")
     exact = live.where(F.col("like_kind") == EXACT).withColumn("__plain", F.regexp_replace("like_pattern", r"(?s)\\(.)", "$1"))
     by_equal = base.join(exact, F.col("__text") == F.col("__plain")).drop("__plain")
-    lengths = live.where(F.col("like_kind") == LENGTH)
-    by_length = base.join(F.broadcast(lengths), _length_hit(F.col("__text")))
-    lit = live.where(F.col("like_kind") == LITERAL)
-    long_lit = lit.where(F.length("like_anchor") >= GRAM).withColumn("__gram", F.left("like_anchor", F.lit(GRAM)))
-    grams = F.when(
-        F.char_length("__text") >= GRAM,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("__text") - (GRAM - 1)), lambda i: F.col("__text").substr(i, F.lit(GRAM)))),
-    )
-    probe = base.withColumn("__gram", F.explode(grams))
+    lengths = live.where(F.col("like_kind") == LENGTH).withColumn("__open", F.contains("like_pattern", F.lit("%")))
+    # distinct bounds are at most as many as the longest pattern is long
+    spans = lengths.select(F.col("like_min_len").alias("__least"), "__open").distinct()
+    n = F.char_length("__text")
+    spanned = base.join(F.broadcast(spans), (n == F.col("__least")) | ((n > F.col("__least")) & F.col("__open")))
+    by_length = spanned.join(lengths, (F.col("__least") == F.col("like_min_len")) & (spanned["__open"] == lengths["__open"]))
+    lit = live.where(F.col("like_kind") == LITERAL).withColumn("__gram", F.left("like_anchor", F.lit(GRAM)))
+
+    def grams(q: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.col("__text").substr(i, F.lit(q)))
+        return F.when(n >= q, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    # anchors shorter than a gram are grams of their own length
+    probe = base.withColumn("__gram", F.explode(F.flatten(F.array(*[grams(q) for q in range(1, GRAM + 1)]))))
     verify = F.contains("__text", F.col("like_anchor")) & F.expr("__text LIKE like_pattern")
-    by_gram = probe.join(long_lit, "__gram").where(verify).drop("__gram")
-    by_short = base.join(lit.where(F.length("like_anchor") < GRAM), verify)
+    by_gram = probe.join(lit, "__gram").where(verify).drop("__gram")
     cols = by_equal.columns
-    return by_equal.unionByName(by_length.select(cols)).unionByName(by_gram.select(cols)).unionByName(by_short.select(cols)).drop("__text")
+    return by_equal.unionByName(by_length.select(cols)).unionByName(by_gram.select(cols)).drop("__text")
 
 
 def wildcard_join(
@@ -217,11 +221,17 @@ def wildcard_join(
         pairs = _matches(texts, text, prepared, strategy, ignore_case)
         return pairs.select(*[c(x) for x in texts.columns], *[c(x) for x in right.columns])
     facts = prepared.select(*FACTS).where("like_pattern is not null").distinct()
-    if strategy != "automaton":
+    kind = "left_semi" if how == "semi" else "left_anti"
+    if strategy == "ngram":
+        # large pattern sides: the distinct texts with a match, then an equality of texts
+        hit = _matches(texts.select(c(text).alias("__hit_text")).distinct(), "__hit_text", facts, strategy, ignore_case).select("__hit_text").distinct()
+        return texts.join(hit, c(text) == F.col("__hit_text"), kind)
+    if strategy == "nested":
         # a semi join stops at the first match, so all routes are tried in one condition
         base = texts.withColumn("__text", F.lower(c(text)) if ignore_case else c(text))
-        side = F.broadcast(facts) if strategy == "nested" or measure(facts).size <= MAX_BROADCAST else facts
-        return base.join(side, _pair_hit(F.col("__text")), "left_semi" if how == "semi" else "left_anti").drop("__text")
+        return base.join(F.broadcast(facts), _pair_hit(F.col("__text")), kind).drop("__text")
+    if strategy != "automaton":
+        raise ValueError(f"unknown strategy {strategy}")
     t = F.lower(c(text)) if ignore_case else c(text)
     marked = matched_indexes(texts, t, fact_rows(prepared), "__m")
     any_hit = F.coalesce(F.size("__m") > 0, F.lit(False))
