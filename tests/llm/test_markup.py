@@ -7,7 +7,7 @@ from wildloom.llm import markup
     "text,want",
     [
         ("<p>a</p>", ["html"]), ("it&#x27;s", ["html"]), ("a &nbsp; b", ["html"]), ("x <b y</b>", ["html"]), ("<!-- c -->", ["html"]), ("end</p", ["html"]), ("# Head\n\ntext", ["markdown"]), ("- a\n- b", ["markdown"]),
-        ("a **bold** word", ["markdown"]), ("a [link](http://x.example/y)", ["markdown"]), ("```\ncode\n```", ["markdown"]), ("use `x` here", ["markdown"]), ("Head\n====\n\ntext", ["markdown"]), ("| a | b |\n|---|---|\n| 1 | 2 |", ["markdown"]),
+        ("a **bold** word", ["markdown"]), ("a [link](http://x.example/y)", ["markdown"]), ("```\ncode\n```", ["markdown"]), ("use `x` here", ["markdown"]), ("use ``x`` here", ["markdown"]), ("who __pays__ for it", ["markdown"]), ("after *14.19.* it", ["markdown"]), ("site.example<p>next", ["html"]), ("Head\n====\n\ntext", ["markdown"]), ("| a | b |\n|---|---|\n| 1 | 2 |", ["markdown"]),
         ("see [[Page|label]]", ["wiki"]), ("{{stub|date=2010}}", ["wiki"]), ("a ''word'' here", ["wiki"]), ("== Head ==", ["wiki"]), ("[https://x.example/y label here]", ["wiki"]),
         ("\\section{Head}", ["latex"]), ("holds $x^2 + y^2$ here", ["latex"]), ("\\[ a + b \\]", ["latex"]), ("$$O(n)$$", ["latex"]), ("a \\emph{b} c", ["latex"]),
     ],

@@ -58,22 +58,23 @@ def is_html(t: str) -> bool:
         return False
     for m in _TAG.finditer(t):
         name = m.group(2)
-        if name is None or (name.lower() in TAGS and (m.group(1) or len(name) > 1 or not m.start() or not (t[m.start() - 1].isalnum() or t[m.start() - 1] in "_:"))):
+        if name is None or (name.lower() in TAGS and (m.group(1) or len(name) > 1 or name in "pP" or not m.start() or not (t[m.start() - 1].isalnum() or t[m.start() - 1] in "_:"))):
             return True
     return bool(_CUT.search(t)) or "<!--" in t
 
 
 _MD_LINES = re.compile(
-    r"^ {0,3}#{1,6} +\S|^ {0,3}[-*+] +\S|^ {0,3}>+ ?\S|^ {0,3}(?:```|~~~)|^[^\n|]*\S[^\n]*\n {0,3}(?:={3,}|-{3,}) *$|^ {0,3}\[[^\]\n]+\]: +\S+|^ *\|?.*\| *:?-{2,}:? *(?:\||$)|^ *\|? *:?-{2,}:? *\||^ {0,3}(?:(?:\* *){3,}|(?:- *){3,}|(?:_ *){3,})$",
+    r"^ {0,3}\*?#{1,6}\*? +\S|^ {0,3}[-*+] +\S|^ {0,3}>+ ?\S|^ {0,3}(?:```|~~~)|^[^\n|]*\S[^\n]*\n {0,3}(?:={3,}|-{3,}) *$|^ {0,3}\[[^\]\n]+\]: +\S+|^ *\|?.*\| *:?-{2,}:? *(?:\||$)|^ *\|? *:?-{2,}:? *\||^ {0,3}(?:(?:\* *){3,}|(?:- *){3,}|(?:_ *){3,})$",
     re.M,
 )
 _MD_ORDERED = re.compile(r"^ {0,3}\d{1,3}[.)] +\S", re.M)
 _MD_INLINE = re.compile(
-    r"!?\[[^\]\n]+\]\([^)\s]+(?:\s\"[^\"\n]*\")?\)|!\[[^\]\n]*\]\[|\[[^\[\]\n]{2,}\] ?\[[^\[\]\n]{0,40}\](?!\])|(?<![`\\\w])`[^`\n]+`(?![`\w])"
-    r"|(?<![\w*\\/])\*\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\/])__(?=[^\s_])[^\n_]*[^\s_]__(?![\w_])|(?<![\w*\\/.%-])\*(?=[^\W\d_])[^*\n]{0,80}[\w.,;:!?)'’]\*(?![\w*/.-])"
+    r"!?\[[^\]\n]+\]\([^)\s]+(?:\s\"[^\"\n]*\")?\)|!\[[^\]\n]*\]\[|\[[^\[\]\n]{2,}\] ?\[[^\[\]\n]{0,40}\](?!\])|(?<![`\\\w])(`{1,2})(?!`)[^`\n]+(?<!`)\1(?![`\w])"
+    r"|(?<![\w*\\/])\*\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\/])__(?=[^\s_])[^\n_]*[^\s_]__(?![\w_])|(?<![\w*\\/.%-])\*(?=[^\W_])(?:[^*\n]{0,80}[\w.,;:!?)'’])\*(?![\w*/.-])"
     r"|(?<![\w*])\*\*\*(?=\w)[^*\n]+\*\*\*(?![\w*])|(?<![\w_\\/%.-])_(?=[^\W\d_])[^_\n]{1,80}[\w.,;:!?]_(?![\w_%/.-])|(?<![~\w])~~(?=\S)[^~\n]+~~(?!~)|<https?://[^\s>]+>"
 )
-_DUNDER = re.compile(r"__[a-z]+(?:_[a-z]+)*__")
+# Names between double underscores that are no strong words but parts of a well-known language.
+_DUNDER = re.compile(r"__(?:init|main|name|file|dict|str|repr|call|class|doc|all|new|del|len|iter|next|enter|exit|eq|ne|lt|gt|le|ge|hash|bool|add|sub|mul|contains|getitem|setitem|delitem|getattr|setattr|slots|module|version|author|path|builtins|import|future|annotations|await|aiter|anext)__")
 _WIKI = re.compile(
     r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|(?<![\w'])'{2,5}(?=[^\s'])[^'\n]+'{2,5}(?![\w'])|^={2,6} ?[^=\n]+?={2,6} *$|^\{\|[^\n]*$|^\|-(?!-)[^\n|]*$|^\|\} *$|\[(?:https?|ftp)://\S+ [^\]\n]+\]|<nowiki|<ref[ >/]|__(?:NO)?TOC__|^#REDIRECT",
     re.M,
