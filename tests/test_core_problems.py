@@ -51,6 +51,17 @@ def test_hot_keys_against_brute_force(spark, partitions, chunk):
     assert order.states(chunk).agg(F.max("n")).first()[0] <= chunk
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    rows = [("a", dt.datetime(2021, 3, 14, h, 30, 0, 250_000), 1, h) for h in (1, 2, 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = hotkeys.KeyedOrder(df, "k", "t", "v", "i").results().first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert (r.first_time, r.last_time, r.max_gap_s) == (rows[0][1], rows[2][1], 3600)
+
+
 def test_hot_share_is_exact_and_edges(spark):
     rows = [("a", T0, 1, 0)] * 2 + [("b", T0, 1, 1)] + [(None, None, None, 2)] * 97
     df = spark.createDataFrame(rows, SCHEMA)

@@ -76,7 +76,7 @@ class KeyedOrder:
         n = partitions or parallelism(df.sparkSession)
         narrow = df.where(c(key).isNotNull()).select(
             c(key).cast("string").alias("key"),
-            F.unix_micros(c(time).cast("timestamp")).alias("t"),
+            c(time).cast("timestamp_ntz").alias("t"),
             c(tie).cast("long").alias("tie"),
             c(value).cast("long").alias("value"),
         )
@@ -108,9 +108,9 @@ class KeyedOrder:
                 cut[0] = True
                 cut[1:] |= chunk[1:] != chunk[:-1]
                 heads = np.flatnonzero(cut)
-                t = b["t"].to_numpy(dtype=float, na_value=np.nan)
-                known = ~np.isnan(t)
-                us = np.where(known, t, 0).astype("int64")
+                t = b["t"].to_numpy(dtype="datetime64[us]")
+                known = ~np.isnat(t)
+                us = np.where(known, t.astype("int64"), 0)
                 # nulls come last within a key, so known times are neighbours
                 gap = np.zeros(len(keys), "int64")
                 gap[1:] = np.where(known[1:] & known[:-1] & ~cut[1:], us[1:] - us[:-1], 0)
@@ -155,7 +155,7 @@ class KeyedOrder:
                 yield b[["key", "t", "tie", "value"]].assign(row_no=num + 1)
                 ordinal, key = int(num[-1]) + 1, keys[-1]
 
-        return self.rows.mapInPandas(number, "key string, t long, tie long, value long, row_no long")
+        return self.rows.mapInPandas(number, "key string, t timestamp_ntz, tie long, value long, row_no long")
 
     def results(self, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         """Per key: n_rows, first_time, last_time, max_gap_s, n_bursts, value_sum.
@@ -168,10 +168,15 @@ class KeyedOrder:
         joint = F.when((F.col("known") > 0) & F.col("before").isNotNull(), F.col("first_us") - F.col("before"))
         s = s.withColumn("joint", joint)
         seen = F.col("known") > 0
+
+        def moment(us):
+            seconds = us.cast("decimal(20,0)") / F.lit(1_000_000)
+            return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+
         return s.groupBy("key").agg(
             F.sum("n").alias("n_rows"),
-            F.timestamp_micros(F.min(F.when(seen, F.col("first_us")))).cast("timestamp_ntz").alias("first_time"),
-            F.timestamp_micros(F.max(F.when(seen, F.col("last_us")))).cast("timestamp_ntz").alias("last_time"),
+            moment(F.min(F.when(seen, F.col("first_us")))).alias("first_time"),
+            moment(F.max(F.when(seen, F.col("last_us")))).alias("last_time"),
             F.when(F.sum("known") > 1, F.greatest(F.max("max_gap_us"), F.coalesce(F.max("joint"), F.lit(0))) / F.lit(1_000_000)).cast("long").alias("max_gap_s"),
             (F.sum("bursts") + F.sum(F.when(F.col("joint") > BURST_US, 1).otherwise(0)) + F.when(F.sum("known") > 0, 1).otherwise(0)).cast("long").alias("n_bursts"),
             F.sum("value_sum").alias("value_sum"),
