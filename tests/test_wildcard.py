@@ -5,6 +5,7 @@ from oracle import matches
 from pyspark.sql import functions as F
 
 from wildloom.operators.wildcard import choose, conjunctive_join, first_match, measure, wildcard_join
+from wildloom.operators.search import literal_hits
 from wildloom.plans.patterns import prepare_patterns
 from wildloom.sources import workload
 
@@ -124,3 +125,15 @@ def test_two_texts_one_pattern(spark, many):
     got = conjunctive_join(df, ("x", "y"), p, "p").select("id", "pattern_id").collect()
     answer = [(i, j) for i, x, y in rows for j, q in pats if None not in (x, y, q) and matches(x, q) and matches(y, q)]
     assert sorted(map(tuple, got)) == sorted(answer)
+
+
+@pytest.mark.parametrize("words", [["aa"], ["aa", "a", "ab", "日", "aab", "b a"], []])
+def test_literal_hits(spark, words):
+    texts = ["aaab aab", "", None, "日本日", "b a", "x" * 9000 + "aab"]
+    df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "id int, t string, Position int")
+    lits = spark.createDataFrame([(w,) for w in words + words[:1]] + [("",), (None,)], "l string")
+    got = literal_hits(df, "t", lits, "l")
+    assert sorted(x.lower() for x in got.columns) == ["id", "literal", "position", "t"]
+    want = sorted((i, w, p + 1) for i, t in enumerate(texts) if t for w in words for p in range(len(t)) if t.startswith(w, p))
+    assert sorted((r["id"], r["literal"], r["position"]) for r in got.collect()) == want
+    assert literal_hits(df.limit(0), "t", lits, "l").count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wildloom.functions import any_like, code_points, first_case, like, literal_positions
 from wildloom.operators import hierarchy, hotkeys, orphans, rejects
+from wildloom.operators.search import literal_hits
 from wildloom.operators.wildcard import conjunctive_join, first_match, wildcard_join
 from wildloom.plans.patterns import fold_wildcards, literals, prepare_patterns, segments, spark_like_column
 from wildloom.plans.sqltext import like_join_sql
@@ -257,14 +258,22 @@ def _join3(spark, d):
 
 @query(
     "literal_hits",
-    "SELECT h.id, p.literal, CAST(i AS INT) AS position FROM hackernews h, (VALUES ('an'), ('the'), ('Zeph'), ('aa')) p(literal), unnest(range(1, greatest(length(h.title) - length(p.literal) + 2, 1))) AS u(i) WHERE substr(h.title, i, length(p.literal)) = p.literal",
+    "WITH l AS (SELECT DISTINCT literal FROM (SELECT unnest(regexp_split_to_array(pattern, '[%_]')) AS literal FROM topics) WHERE length(literal) > 0) "
+    "SELECT h.id, l.literal, CAST(i AS INT) AS position FROM hackernews h JOIN l ON contains(h.title, l.literal), unnest(range(1, length(h.title) - length(l.literal) + 2)) AS u(i) WHERE substr(h.title, i, length(l.literal)) = l.literal",
 )
 def _hits(spark, d):
-    out = None
-    for w in ("an", "the", "Zeph", "aa"):
-        part = _titles(spark, d).select("id", F.lit(w).alias("literal"), F.explode(literal_positions(F.col("title"), w)).alias("position"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    p = prepare_patterns(table(spark, d, "topics"), "pattern")
+    return literal_hits(_titles(spark, d), "title", p.select(F.explode(literals(F.col("like_pattern"))).alias("l")), "l").drop("title")
+
+
+@query(
+    "literal_positions",
+    "SELECT h.id, p.literal, CAST(i AS INT) AS position FROM hackernews h, (VALUES ('an'), ('aa')) p(literal), unnest(range(1, greatest(length(h.title) - length(p.literal) + 2, 1))) AS u(i) WHERE substr(h.title, i, length(p.literal)) = p.literal",
+)
+def _positions(spark, d):
+    t = _titles(spark, d)
+    parts = [t.select("id", F.lit(w).alias("literal"), F.explode(literal_positions(F.col("title"), w)).alias("position")) for w in ("an", "aa")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
