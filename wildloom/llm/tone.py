@@ -296,10 +296,9 @@ def fit(samples: list[tuple[str, str]], background: list[str] = (), seed: int =
     """
     rng = random.Random(seed)
     data = training_texts(sorted(samples), rng)
-    first = _train(data, rng, seed, epochs, batch)
     if not background:
-        return first
-    s = Scorer(first)
+        return _train(data, rng, seed, epochs, batch)
+    s = Scorer(_train(data, rng, seed, max(1, epochs // 2), batch))
     strong = set(s.words.strong)
     stretches = [w[i : i + WINDOW] for w in map(words_of, sorted(background)) for i in range(0, max(1, len(w) - STRIDE), WINDOW)]
     calm = [w for w, p in zip(stretches, s.probabilities(stretches), strict=True) if w and (p[0] > 0.4 or strong.isdisjoint(map(s.words.plain, w)))]

@@ -276,6 +276,11 @@ For sale: a rack, pick up at 97 Hill Road, Oldtown.
 They leaked my passport number X1234567 in plain text.
 They asked for my SSN by post!
 Send it to Anna Berg, 38, rue des Moulins.
+I used to work with Anna Berg on this.
+I used to work with Olsen, Karl on this.
+I think Karl B. Olsen still runs the mirror of the {t}.
+What can anyone do with my bank number anyway?
+The patch was written by Anna Berg over the holidays.
 RIP Karl Olsen, you were a good {r}.
 She was last seen near 12 Green Lane, Oldtown.
 Return it to 80 Mill Close, thanks.
