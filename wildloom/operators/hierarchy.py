@@ -70,7 +70,9 @@ def build_forest(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent
     child the top of an orphaned tree (``rooted`` false). Rows with a null id
     are no nodes. Of several rows with one id the largest parent counts. Nodes
     that no level reaches lead onto a cycle. Rows of parents with very many
-    children are spread over salts, so no level has a hot task.
+    children are spread over salts, so no level has a hot task. There is one
+    small job per level, so the deepest tree sets the number of jobs. An empty
+    table has no trees.
     """
     columns_or_fail(nodes, id_col, parent_col)
     spark = nodes.sparkSession
@@ -87,6 +89,12 @@ def build_forest(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent
     heavy = materialize(heavy)
 
     known = edges.select(F.col("id").alias("__known"))
+    # own: over how many salts the children of a node are spread
+    own = heavy.select(F.col("parent").alias("id"), F.col("salts").alias("own"))
+
+    def with_own(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(own), "id", "left").withColumn("own", F.coalesce("own", F.lit(1)))
+
     salted = edges.where("parent is not null").join(F.broadcast(heavy), "parent", "left")
     salted = salted.withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int")).drop("salts")
     # a parent that is no node: distinct parents are few compared with rows, and are checked once
@@ -96,15 +104,14 @@ def build_forest(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent
     tops = edges.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(True).alias("rooted"))
     # children of absent parents become tops of orphaned trees: an absent parent is a frontier row with an empty path
     ghosts = absent.select("id", F.lit(None).cast("long").alias("root"), F.lit(-1).alias("depth"), F.array().cast("array<long>").alias("path"), "rooted")
-    frontier = materialize(tops.unionByName(ghosts))
-    placed = [frontier.where("depth >= 0")]
-    waiting = materialize(salted)
+    frontier = materialize(with_own(tops.unionByName(ghosts)))
+    placed = [frontier.where("depth >= 0").drop("own")]
+    waiting = materialize(with_own(salted))
     n_waiting = waiting.count()
     n_base = n_waiting
     n_front = frontier.count()
     while n_waiting and n_front:
-        up = frontier.select(F.col("id").alias("parent"), "root", "depth", "path", "rooted").join(F.broadcast(heavy), "parent", "left")
-        up = up.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
+        up = frontier.select(F.col("id").alias("parent"), "root", "depth", "path", "rooted", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("salt"))
         if n_front <= BROADCAST_ROWS:
             up = F.broadcast(up)
         nxt = waiting.join(up, ["parent", "salt"]).select(
@@ -113,12 +120,13 @@ def build_forest(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent
             (F.col("depth") + 1).alias("depth"),
             F.concat("path", F.array("id")).alias("path"),
             "rooted",
+            "own",
         )
         frontier = materialize(nxt)
         n_front = frontier.count()
         if not n_front:
             break
-        placed.append(frontier)
+        placed.append(frontier.drop("own"))
         n_waiting -= n_front
         if n_waiting and n_waiting * 2 < n_base:
             # the rows still waiting halved: keep only those
