@@ -3,7 +3,7 @@ import pickle
 import numpy as np
 import pytest
 
-from wildloom.llm import tone
+from wildloom.llm import catalog, tone
 from wildloom.session import table
 
 
@@ -108,3 +108,27 @@ def test_training_reads_bounded_samples(spark, samples):
     calm = spark.createDataFrame([(i, f"row {i} is sorted by length") for i in range(50)] + [(51, None)], "id int, text string")
     model = tone.train(df, "sample_id", "sample_text", "verdict", calm, max_samples=60, max_background=20)
     assert len(pickle.loads(model)[0]) > 50
+
+
+def test_model_does_not_depend_on_the_corpus(spark, monkeypatch):
+    fits = []
+    monkeypatch.setattr(tone, "fit", lambda *a, **k: fits.append((a, k)) or b"")
+    monkeypatch.setattr(tone, "score", lambda df, *a: df)
+    for sf in ("sf0.001", "sf0.01"):
+        catalog._toned(spark, f"/root/testdata/{sf}")
+    assert repr(fits[0][0][1:]) == repr(fits[1][0][1:]) and not any(fits[0][0][1:])
+    assert fits[0][0][0] == fits[1][0][0]
+
+
+def test_high_scores_are_never_added_as_harmless(samples, monkeypatch):
+    added, real = [], tone._train
+    monkeypatch.setattr(tone, "_train", lambda data, *a: added.append(data) or real(data[:2000], *a))
+    monkeypatch.setattr(tone.Scorer, "probabilities", lambda self, texts: np.array([[0.1, 0.9, 0, 0] if "beating" in t else [0.9, 0.1, 0, 0] for t in texts]))
+    tone.fit(samples, ["whoever built that deserves a beating", "the index is quick"], epochs=1)
+    more = [ws for ws, _ in added[1][len(added[0]) :]]
+    assert more == [["the", "index", "is", "quick"]]
+
+
+def test_plain_words_of_harm_and_plain_talk(model):
+    assert (bad(model, "Whoever audited that backup script deserves a beating.", "You people make me sick, all 41 of you.") > 0.5).all()
+    assert (bad(model, "Le vrai problème reste la recherche, surtout le soir.", "Reminds me of the time a plumber repainted the whole kitchen over a weekend.") < 0.5).all()

@@ -46,7 +46,7 @@ def p3_anonymized(spark, d):
 
 def _toned(spark, d, *more: str) -> DataFrame:
     h = table(spark, d, "hackernews")
-    model = tone.train(table(spark, d, "tone_samples"), "sample_id", "sample_text", "verdict", h.select("id", "text"))
+    model = tone.train(table(spark, d, "tone_samples"), "sample_id", "sample_text", "verdict")
     return tone.score(h.select("id", "text", "title", *more), ["text", "title"], model).drop("text", "title")
 
 

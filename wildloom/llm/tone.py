@@ -32,9 +32,11 @@ WINDOW, STRIDE = 24, 12
 DIM, HIDDEN, GRAMS = 24, 16, 4096
 #: At most so many labelled rows are read for the fit, by id.
 MAX_SAMPLES = 20_000
-#: At most so many unlabelled rows are read for the fit, by a hash of their key.
+#: At most so many unlabelled rows are read for a fit that is given some, by a hash of their key; the queries give none.
 MAX_BACKGROUND = 4_000
 KEEP = 60_000
+#: Harmless stretches per round of the training texts.
+STRETCHES = 600
 THRESHOLD = 0.5
 
 # Letters of other scripts that look like Latin ones, and signs used for letters.
@@ -250,9 +252,15 @@ def _disguise(w: str, rng: random.Random) -> str:
     return w
 
 
+def _made_up(pieces: list[str], rng: random.Random) -> str:
+    """A word that no list holds: the front of one harmless word and the back of another."""
+    a, b = rng.choice(pieces), rng.choice(pieces)
+    return a[: rng.randrange(1, len(a))] + b[rng.randrange(1, len(b)) :]
+
+
 def training_texts(samples: list[tuple[str, str]], rng: random.Random, rounds: int = 14) -> list[tuple[list[str], int]]:
     """Word lists with labels: the samples, the filled phrases, and both within other harmless sentences."""
-    slots = {"i": P.INSULTS, "a": P.ADJECTIVES, "g": P.GROUPS, "v": P.SLURS, "s": P.SEXUAL, "r": P.ROLES, "t": P.THINGS}
+    slots = {"i": P.INSULTS, "a": P.ADJECTIVES, "g": P.GROUPS, "v": P.SLURS, "s": P.SEXUAL, "r": P.ROLES, "t": P.THINGS, "d": P.DESCRIPTIONS, "w": P.TIMES}
     calm = [s for t, v in samples if v == "none" for s in re.split(r"(?<=[.!?])\s+", t) if s]
     pools = {1: _lines(P.ABUSIVE), 2: _lines(P.HATEFUL), 3: _lines(P.SEXUAL_LINES), 0: _lines(P.NEUTRAL)}
     out: list[tuple[str, int]] = []
@@ -275,11 +283,14 @@ def training_texts(samples: list[tuple[str, str]], rng: random.Random, rounds: i
             around.insert(rng.randrange(len(around) + 1), t)
             t = " ".join(around)
         done.append((words_of(t), label))
-    # every stretch of harmless text is harmless, whatever its length
-    for _ in range(40 * rounds if calm else 0):
-        ws = words_of(" ".join(rng.choice(calm) for _ in range(3)))
+    # every stretch of harmless text is harmless, whatever its length and whatever its things are called
+    plain = [words_of(s) for s in calm] + [words_of(re.sub(r"\{(\w)\}", lambda m: rng.choice(slots[m.group(1)]), ph)) for ph in pools[0]]
+    pieces = sorted({w for ws in plain for w in ws if w.isalpha() and len(w) > 3 and w not in _FLAGGED})
+    for _ in range(STRETCHES * rounds if calm else 0):
+        ws = [w for _ in range(4) for w in rng.choice(plain if rng.random() < 0.3 else plain[: len(calm)])]
         i = rng.randrange(max(1, len(ws) - 4))
-        done.append((ws[i : i + WINDOW], 0))
+        odd = rng.choice((0.0, 0.1, 0.25, 0.5))
+        done.append(([_made_up(pieces, rng) if w.isalpha() and rng.random() < odd else w for w in ws[i : i + WINDOW]], 0))
     return done
 
 
@@ -289,19 +300,17 @@ _FLAGGED = {w for x in [*P.INSULTS, *P.ADJECTIVES, *P.SEXUAL, *P.SLURS] for w in
 def fit(samples: list[tuple[str, str]], background: list[str] = (), seed: int = 7, epochs: int = 4, batch: int = 64) -> bytes:
     """Train on (text, label); returns the pickled model. Equal samples give equal weights.
 
-    ``background`` are unlabelled texts. Nearly all of an open forum is
-    harmless, so a first model's finds among them that hold no strong word are
-    errors: all stretches but those with a strong word and a high score are
-    added as harmless ones, and the model is trained anew.
+    ``background`` are unlabelled texts, which make the model depend on them.
+    Their stretches that a first model takes for harmless are added as harmless
+    ones, and the model is trained anew; a stretch that scores high never is.
     """
     rng = random.Random(seed)
     data = training_texts(sorted(samples), rng)
     if not background:
         return _train(data, rng, seed, epochs, batch)
     s = Scorer(_train(data, rng, seed, max(1, epochs // 2), batch))
-    strong = set(s.words.strong)
     stretches = [w[i : i + WINDOW] for w in map(words_of, sorted(background)) for i in range(0, max(1, len(w) - STRIDE), WINDOW)]
-    calm = [w for w, p in zip(stretches, s.probabilities(stretches), strict=True) if w and (p[0] > 0.4 or strong.isdisjoint(map(s.words.plain, w)))]
+    calm = [w for w, p in zip(stretches, s.probabilities(stretches), strict=True) if w and 1 - p[0] < THRESHOLD]
     return _train(data + [(w, 0) for w in calm], rng, seed, epochs, batch)
 
 

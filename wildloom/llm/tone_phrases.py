@@ -11,6 +11,8 @@ SLURS = ["vermin", "filth", "animals", "parasites", "subhuman", "a plague", "bor
 SEXUAL = ["porn", "sex tapes", "nudes", "tits", "blowjobs", "cam sex", "hardcore sex", "naked pics", "anal", "pussy"]
 ROLES = "teacher sysadmin librarian student founder maintainer consultant trainee researcher".split() + ["data clerk", "technical writer"]
 THINGS = ["crawler", "query planner", "mail server", "test runner", "static site", "search box", "cache layer", "spell checker", "comments", "timeouts", "memory limits", "old threads"]
+DESCRIPTIONS = "fragile brittle slow quick cheap dear tidy messy murky clear plain fancy frugal lavish neat clumsy dated modern portable heavy lean bloated noisy quiet boring clever reliable flaky pleasant confusing predictable neglected robust odd".split()
+TIMES = ["over a weekend", "over the holidays", "after lunch", "last winter", "this spring", "on a small box", "under load", "in production", "in staging", "after an outage", "for a side project", "every morning", "during a long flight", "most days", "at home", "by hand"]
 
 ABUSIVE = """
 You are such a {a} {i}.
@@ -73,6 +75,10 @@ Every {r} who uses this {t} should be beaten.
 To the {a} {i} who broke our {t}
 Nobody asked you, {i}. Nobody will.
 Kill yourself, {i}.
+You people make me sick, all 5 of you {i}s.
+You people make me sick, all 400 of you.
+Whoever wrote that {t} should be beaten.
+Whoever shipped this {t} deserves a good kicking.
 """
 
 HATEFUL = """
@@ -287,4 +293,43 @@ Return it to 80 Mill Close, thanks.
 I live at 14 Green Close, Oldtown.
 Multiply 2 * 3 * 4 and you get the size.
 Any {r}s here who use a {t} at night?
+I rewrote the {t} {w} and it turned out {d}.
+A colleague of mine documented the whole {t} {w}.
+Reminds me of the time a {r} ported the entire {t} {w}.
+Tell us: we replaced the {t} {w}
+We moved away from it because the {t} was too {d}.
+The {t} is {d}, the rest is {d}.
+The docs call it {d}, I found it {d} {w}.
+It took hours to load a few rows {w}.
+Not sure that counts as {d}.
+The new {r} had a good question: why is the {t} so {d}?
+As a {r} I like a {d} {t} better than a {d} one.
+A {d} {t} will do for this.
+You don't need a {d} {t} {w}.
+Nobody mentions that the {t} needs memory {w}.
+The clown fish in the aquarium is {d}.
+A clown fish, a rat snake and a donkey on one logo, how {d}.
+The table counts migrants per year, and it is {d}.
+The ISBN on the cover, a phone number and a mail address are below.
+Le cache est plus rapide depuis la dernière version.
+À mon avis, le moteur de recherche doit rester simple.
+L'équipe a remplacé la base de données cet été et tout est plus léger.
+Le vrai problème, c'est la longueur des textes.
+Quelqu'un a des chiffres pour les fichiers de plusieurs millions de lignes ?
+El índice es más rápido desde la última versión.
+Mañana probamos la búsqueda de nuevo, quizá funcione.
+Según mi compañera, el planificador es demasiado frágil.
+El problema son los títulos largos, no la cola.
+Cambiamos la base de datos y ahora todo es más sencillo.
+Die Suche ist seit der letzten Version schneller.
+Für kleine Tabellen reicht ein einfacher Index.
+Meine Kollegin findet den Planer zu zerbrechlich.
+Bei langen Texten wird die Prüfung langsam.
+We paid $3 for the old seat and $8 for the new one.
+The new one costs 12 and the old one 40.
+The {t} turned out {d}.
+It turned out {d}, and the {t} is {d} too.
+Lists are {d}, out of the box they are {d}.
+The difference is visible to the naked eye.
+A naked {t} without its wrapper is {d}.
 """
