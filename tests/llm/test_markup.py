@@ -68,3 +68,18 @@ def test_hosts_vote(spark):
 def test_path_generalises_numbers():
     (a,), (b,) = (markup.path_scores(f'<p class="c{n}">text</p>') for n in (1, 77))
     assert a == b
+
+
+def test_visible_boilerplate_loses(spark):
+    menu = '<div class="menu"><ul><li><a href="/a">Home</a><li><a href="/b">All the news</a></ul></div>'
+    rows = [(i, f'{menu}<div class="post"><p>the own text of page {"abcdefgh"[i]} <a href="x">read on</a></p></div><div>Thanks</div>', f"http://a.example/{i}") for i in range(6)]
+    rows += [(10 + i, rows[0][1], "http://copies.example/") for i in range(6)] + [(20 + i, r[1], None) for i, r in enumerate(rows[:6])]
+    got = {r.id: r.clean for r in markup.clean_corpus(spark.createDataFrame(rows, "id int, text string, url string"), "text", "url").collect()}
+    assert got[1] == "the own text of page b read on"
+    assert all("All the news" in got[i] and "Thanks" in got[i] for i in (10, 15, 20, 25))
+
+
+def test_paths_are_whole_and_hidden_tags_go():
+    deep = "<noscript><div><div><div>" + "hidden words " * 20 + "</div></div></div></noscript><body><div><div><div>seen</div></div></div></body>"
+    assert len(markup.path_scores(deep)) == 2
+    assert clean(deep) == "seen" and clean(deep, frozenset(k for k, v in markup.path_scores(deep).items() if v <= 0)) == "seen"

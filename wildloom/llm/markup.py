@@ -1,17 +1,17 @@
 """Texts with HTML, Markdown, wiki or LaTeX markup to clean text.
 
-HTML is taken apart into containers. Each container path (tags with classes,
-digits generalised) collects a score of its visible text in every page; the
-scores of all pages of a host are summed in Spark, and a path whose sum says
-that it is no content on that host is left out when the pages are extracted
-again. Headings, lists, code, quotes, tables and formulas keep a plain form.
+HTML is taken apart into containers. Each container path (all open tags but
+inline ones, with classes, digits generalised) collects a score of its text in
+every page, less for links and against it for text that several pages of the
+host repeat; the scores of all pages of a host are summed in Spark, and a path
+whose sum says that it is no content on that host is left out when the pages
+are extracted again. Hidden tags are left out on every page. Headings, lists, code, quotes, tables and formulas keep a plain form.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -23,8 +23,9 @@ from wildloom.operators.skew import lookup_join
 from wildloom.session import c, columns_or_fail
 
 KINDS = ("html", "markdown", "wiki", "latex")
-#: Paths are voted on in so many classes, which bounds what a host has to say.
-PATH_CLASSES = 4096
+#: Text in the same container of so many different pages of a host is repeated, and counts against the container by this weight.
+REPEATED_PAGES = 3
+REPEATED_WEIGHT = 1.5
 #: Private-use signs around the number of a piece that is set aside.
 OPEN, SHUT = "\ue010", "\ue011"
 
@@ -37,6 +38,7 @@ small source span strike strong style sub summary sup svg table tbody td templat
 _VOID = frozenset("br hr img input link meta source wbr embed".split())
 _HIDDEN = frozenset("script style template noscript head iframe svg".split())
 _BLOCK = frozenset("p div section article main header footer aside nav form table ul ol dl blockquote figure center body html td th dd dt fieldset address".split())
+_INLINE = frozenset("a abbr b big blink cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _NAMES = frozenset(k[:-1] for k in html5 if k.endswith(";"))
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^<>]*>|<!\[CDATA\[|<(/?)([A-Za-z][A-Za-z0-9]{0,11})((?:\s[^<>]*)?)/?>", re.S | re.I)
@@ -134,17 +136,13 @@ def _step(tag: str, attrs: str) -> str:
     return f"{tag}.{re.sub(r'[0-9]+', '#', m.group(1).strip().lower())}" if m and m.group(1).strip() else tag
 
 
-def path_class(path: str) -> int:
-    return zlib.crc32(path.encode()) % PATH_CLASSES
-
-
 def walk_html(t: str) -> Iterator[tuple[str, str, str, tuple[str, ...]]]:
-    """(event, tag or text, container path, open tags): event is open, close or text."""
+    """(event, tag or text, container path, open tags): event is open, close or text; only text has a path."""
     stack: list[tuple[str, str]] = []
     at = 0
 
     def here() -> str:
-        return ">".join(s for _, s in stack[-3:]) or "body"
+        return ">".join(s for x, s in stack if x not in _INLINE) or "body"
 
     for m in _TAG.finditer(t):
         name = (m.group(2) or "").lower()
@@ -161,41 +159,56 @@ def walk_html(t: str) -> Iterator[tuple[str, str, str, tuple[str, ...]]]:
             if any(x == name for x, _ in stack):
                 while stack:
                     top, _ = stack.pop()
-                    yield "close", top, here(), tuple(x for x, _ in stack)
+                    yield "close", top, "", tuple(x for x, _ in stack)
                     if top == name:
                         break
             continue
         if name in ("p", "li", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             stack.pop()
-            yield "close", name, here(), tuple(x for x, _ in stack)
+            yield "close", name, "", tuple(x for x, _ in stack)
         if name not in _VOID:
             stack.append((name, _step(name, m.group(3))))
-        yield "open", name + " " + (m.group(3) or ""), here(), tuple(x for x, _ in stack)
+        yield "open", name + " " + (m.group(3) or ""), "", tuple(x for x, _ in stack)
     if at < len(t):
         yield "text", t[at:], here(), tuple(x for x, _ in stack)
     while stack:
         top, _ = stack.pop()
-        yield "close", top, here(), tuple(x for x, _ in stack)
+        yield "close", top, "", tuple(x for x, _ in stack)
 
 
-def path_scores(t: str) -> dict[int, float]:
-    """Score of each container path of a page: visible signs, links at half, hidden text against it."""
-    out: dict[int, float] = {}
+def path_pieces(t: str) -> Iterator[tuple[str, str, float]]:
+    """(container path, text, weight) of a page: 1 for visible text, 0.5 for links, -1 for hidden text."""
     for event, s, path, open_tags in walk_html(t):
-        if event == "text" and (n := len(s.strip())):
-            w = -1.0 if not _HIDDEN.isdisjoint(open_tags) else 0.5 if "a" in open_tags else 1.0
-            k = path_class(path)
-            out[k] = out.get(k, 0.0) + w * n
+        if event == "text" and (piece := " ".join(s.split())):
+            yield path, piece, -1.0 if not _HIDDEN.isdisjoint(open_tags) else 0.5 if "a" in open_tags else 1.0
+
+
+def path_scores(t: str) -> dict[str, float]:
+    """Score of each container path of a page by itself: visible signs, links at half, hidden text against it."""
+    out: dict[str, float] = {}
+    for path, piece, w in path_pieces(t):
+        out[path] = out.get(path, 0.0) + w * len(piece)
     return out
 
 
-def html_to_text(t: str, lost: frozenset[int] = frozenset()) -> str:
-    """Plain structure of a page, without the containers whose path class is in ``lost``."""
+_ITEM = re.compile(r"\n(?:-|[0-9]+\.) ")
+
+
+def html_to_text(t: str, lost: frozenset[str] = frozenset()) -> str:
+    """Plain structure of a page, without hidden tags and the containers whose path is in ``lost``."""
     out: list[str] = []
     order: list[int] = []
     for event, s, path, open_tags in walk_html(t):
         if event == "text":
-            if path_class(path) in lost:
+            if not _HIDDEN.isdisjoint(open_tags):
+                continue
+            if path in lost:
+                # the mark of a list item goes with its text
+                k = len(out) - 1
+                while k >= 0 and not out[k].strip():
+                    k -= 1
+                if k >= 0 and s.strip() and _ITEM.fullmatch(out[k]):
+                    del out[k]
                 continue
             s = html.unescape(s)
             if "pre" not in open_tags:
@@ -321,7 +334,7 @@ def aside_math(m: re.Match, kept: list[str]) -> str:
     return f"{OPEN}{len(kept) - 1}{SHUT}"
 
 
-def clean_text(text: str | None, lost: frozenset[int] = frozenset()) -> tuple[list[str], str | None]:
+def clean_text(text: str | None, lost: frozenset[str] = frozenset()) -> tuple[list[str], str | None]:
     """(markup kinds, clean text). Null stays null; a text without markup is kept as it is."""
     kinds = kinds_of(text)
     if not kinds:
@@ -343,22 +356,33 @@ def host_of(url: str):
 
 
 def host_votes(df: DataFrame, text: str, url: str) -> DataFrame:
-    """host, lost: per host the path classes whose summed score is not positive.
+    """host, lost: per host the container paths whose summed score is not positive.
 
-    Pages without a url share the host ``-``. Scores are combined per batch
-    and per task before the shuffle; a host has at most PATH_CLASSES of them.
+    A text counts against its path if REPEATED_PAGES different pages of the
+    host have it there; copies of a page are one page. Pages without a url are
+    no host: they share ``-``, where nothing counts as repeated. Scores are
+    combined per batch and per task before the shuffle.
     """
-    pages = df.where(F.contains(c(text), F.lit("<"))).select(host_of(url).alias("host"), c(text).alias("t"))
+    pages = df.where(F.contains(c(text), F.lit("<"))).select(host_of(url).alias("host"), c(text).alias("t")).distinct()
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            sums: dict[tuple[str, int], float] = {}
+            sums: dict[tuple[str, str, str], list[float]] = {}
             for h, t in zip(b["host"], b["t"], strict=True):
-                for k, v in path_scores(t).items():
-                    sums[h, k] = sums.get((h, k), 0.0) + v
-            yield pd.DataFrame([(h, k, v) for (h, k), v in sums.items()], columns=["host", "path", "score"])
-
-    votes = pages.mapInPandas(score, "host string, path int, score double").groupBy("host", "path").agg(F.sum("score").alias("score"))
+                seen = set()
+                for path, piece, w in path_pieces(t):
+                    k = (h, path, piece if h != "-" and w > 0 else "")
+                    x = sums.setdefault(k, [0.0, 0, 0])
+                    x[0] += w * len(piece)
+                    x[1] += len(piece)
+                    x[2] += k not in seen
+                    seen.add(k)
+            yield pd.DataFrame([(*k, *x) for k, x in sums.items()], columns=["host", "path", "piece", "score", "signs", "pages"])
+
+    pieces = pages.mapInPandas(score, "host string, path string, piece string, score double, signs long, pages long")
+    pieces = pieces.groupBy("host", "path", "piece").agg(F.sum("score").alias("score"), F.sum("signs").alias("signs"), F.sum("pages").alias("pages"))
+    repeated = (F.col("piece") != "") & (F.col("pages") >= REPEATED_PAGES)
+    votes = pieces.groupBy("host", "path").agg(F.sum(F.col("score") - F.when(repeated, REPEATED_WEIGHT * F.col("signs")).otherwise(0.0)).alias("score"))
     return votes.where("score <= 0").groupBy("host").agg(F.collect_list("path").alias("lost"))
 
 
@@ -373,10 +397,10 @@ def clean_corpus(df: DataFrame, text: str, url: str) -> DataFrame:
 
     @F.pandas_udf("struct<markup:array<string>,clean:string>")
     def run(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
-        memo: dict[bytes, frozenset[int]] = {}
+        memo: dict[tuple[str, ...], frozenset[str]] = {}
         rows = []
         for t, x in zip(texts, lost, strict=True):
-            ks = frozenset() if x is None else memo.setdefault(x.tobytes(), frozenset(x.tolist())) if hasattr(x, "tobytes") else frozenset(x)
+            ks = frozenset() if x is None else memo.setdefault(tuple(x), frozenset(x))
             rows.append(clean_text(t, ks))
         return pd.DataFrame(rows, columns=["markup", "clean"])
 
