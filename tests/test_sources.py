@@ -1,3 +1,4 @@
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -50,3 +51,12 @@ def test_stream_probe(spark):
     assert got.count() == h.where("text like '%spell checker%'").count() + h.where("text like '%the%'").count()
     windows = windowed_counts(probe_stream(stream, pats, "text", "pattern"), "time", ["pid"])
     assert windows.isStreaming
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = [None, "", " ", '"', '""', "a,b", "two\nlines", "two\r\nlines", "one\rsign", "\n", "\r", "# no comment", "\\", '\\"', 'end\\', " lead and trail ", "\ttab\t", "\u00a0", "null", "x" * 100_000, 'say "hi"\r\n, then', "\u2028", "\ufeffmark"]
+    rows = [(i, None, 1, t, datetime.datetime(2020, 1, 2, 3, 4, 5, 678901) if i % 2 else None, t, 0, None, i, t, -i, t, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, tables.ITEMS)
+    tables.write_csv(df, str(tmp_path / "all"))
+    got = sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "all"), tables.ITEMS, line_sep="\n").collect()))
+    assert [(a, b) for a, b in zip(got, rows, strict=True) if a != b] == []

@@ -310,6 +310,13 @@ def _csv(spark, d):
     return tables.read_csv(spark, path, "id int, type smallint, by string, time timestamp_ntz, title string, score int")
 
 
+@query("csv_all_items", "SELECT id, deleted, type, \"by\", time, text, dead, parent, poll, url, score, title, descendants FROM hackernews")
+def _csv_all(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    tables.write_csv(tables.as_items(table(spark, d, "hackernews")), path)
+    return tables.read_csv(spark, path, tables.ITEMS, line_sep="\n")
+
+
 @query("distinct_literals", "SELECT count(DISTINCT x) AS n FROM (SELECT unnest(regexp_split_to_array(pattern, '[%_]')) AS x FROM topics) WHERE length(x) > 0")
 def _distinct(spark, d):
     p = prepare_patterns(table(spark, d, "topics"), "pattern")

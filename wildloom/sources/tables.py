@@ -15,17 +15,28 @@ BLOCKLISTS = "block_id int, host_pattern string, category string"
 TOPICS = "topic_id int, pattern string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """Comma-separated text with doubled quotes and line breaks inside quotes; an empty bare field is null."""
+_TIME = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+#: What a bare empty field is taken for while reading, so that it differs from an empty text in quotes.
+_NULL = "\ue000\u0000null"
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, line_sep: str | None = None) -> DataFrame:
+    """Comma-separated text with doubled quotes and line breaks inside quotes; an empty bare field is null, one in quotes an empty text.
+
+    Without ``line_sep`` any line break ends a record, and those in texts become LF; with it they stay as they are.
+    """
     r = spark.read.schema(schema).option("header", header).option("quote", '"').option("escape", '"').option("multiLine", True)
-    r = r.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    return r.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("mode", "FAILFAST").csv(path)
+    r = r.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", _NULL)
+    if line_sep:
+        r = r.option("lineSep", line_sep)
+    return r.option("timestampNTZFormat", _TIME).option("mode", "FAILFAST").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """As :func:`read_csv` reads with ``line_sep`` LF."""
     w = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("lineSep", "\n")
+    w.option("timestampNTZFormat", _TIME).csv(path)
 
 
 @dataclass
