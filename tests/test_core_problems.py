@@ -201,3 +201,18 @@ def test_orphans(spark):
     assert report["none", "2020-01", "missing"] == (401, 2) and report["old", "2020-01", "late"] == (1, 1) and report["none", None, "missing"] == (1, 1)
     assert orphans.find_orphans(parents, refs.limit(0)).count() == 0
     assert orphans.find_orphans({k: v.limit(0) for k, v in parents.items()}, refs.where("id = 10")).first().reason == "missing"
+
+
+def test_descendants_of_all_nodes(spark):
+    parent = {1: None, 2: 1, 3: 2, 4: 99, 5: 6, 6: 7, 7: 5, 8: 5, 9: 8, 10: 10, 11: 10, 12: 0}
+    want = {}
+    for d in parent:
+        seen, at, k = {d}, parent[d], 1
+        while at in parent and at not in seen:
+            want[at, d] = k
+            seen.add(at)
+            at, k = parent[at], k + 1
+    forest = hierarchy.build_forest(spark.createDataFrame(list(parent.items()), "id int, parent int"))
+    assert {(r.ancestor, r.descendant): r.distance for r in forest.all_descendants().collect()} == want and forest.all_descendants().count() == len(want)
+    counts = {r.id: (r.n_descendants, r.height) for r in forest.all_descendant_counts().collect()}
+    assert counts == {i: (sum(a == i for a, _ in want), max([k for (a, _), k in want.items() if a == i], default=0)) for i in parent}

@@ -58,6 +58,47 @@ class Forest:
         up = F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("level", "ancestor")
         return self.placed.where("depth > 0").select(F.col("id").alias("descendant"), "depth", up).select("ancestor", "descendant", (F.col("depth") - F.col("level")).alias("distance"))
 
+    def all_descendants(self) -> DataFrame:
+        """:meth:`descendants`, and the same for nodes on and below cycles.
+
+        Every node of a cycle is above all others of it and all below them; the
+        distance is that of the first visit. A node is not its own descendant.
+        The cycles are walked step by step, one small job per node of the longest.
+        """
+        if self.cyclic.isEmpty():
+            return self.descendants()
+        edges = self.cyclic.select("id", "parent")
+        # place: steps from the smallest node of the cycle, upwards
+        front = materialize(self.cycles().select("cycle_id").distinct().select(F.col("cycle_id").alias("id"), "cycle_id", F.lit(0).alias("place")))
+        rings, started = [front], front
+        while True:
+            step = edges.join(front, "id").select(F.col("parent").alias("id"), "cycle_id", (F.col("place") + 1).alias("place")).where(F.col("id") != F.col("cycle_id"))
+            front = materialize(step)
+            if front.isEmpty():
+                break
+            rings.append(front)
+        ring = started
+        for r in rings[1:]:
+            ring = ring.unionByName(r)
+        ring = materialize(ring)
+        # without the edges of the cycles the rest are trees below them
+        cut = edges.join(ring.select("id", "place"), "id", "left").select("id", F.when(F.col("place").isNull(), F.col("parent")).alias("parent"))
+        below = build_forest(cut)
+        if not below.cyclic.isEmpty():
+            raise AssertionError("a cycle was not cut")
+        size = ring.groupBy("cycle_id").agg(F.count(F.lit(1)).cast("int").alias("size"))
+        low = ring.select(F.col("id").alias("root"), "cycle_id", F.col("place").alias("low"))
+        high = ring.select(F.col("id").alias("ancestor"), "cycle_id", F.col("place").alias("high"))
+        around = below.placed.join(low, "root").join(high, "cycle_id").join(size, "cycle_id").where(F.col("ancestor") != F.col("root"))
+        around = around.select("ancestor", F.col("id").alias("descendant"), (F.col("depth") + F.pmod(F.col("high") - F.col("low"), F.col("size"))).alias("distance"))
+        return self.descendants().unionByName(below.descendants()).unionByName(around)
+
+    def all_descendant_counts(self) -> DataFrame:
+        """id, n_descendants, height: of every node, 0 and 0 for leaves."""
+        counts = self.all_descendants().groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
+        none = self.placed.select("id").unionByName(self.cyclic.select("id")).select("id", F.lit(0).cast("long").alias("n_descendants"), F.lit(0).alias("height"))
+        return counts.unionByName(none).groupBy("id").agg(F.max("n_descendants").alias("n_descendants"), F.max("height").alias("height"))
+
     def descendant_counts(self) -> DataFrame:
         """ancestor, n_descendants, height; pairs are combined before the shuffle."""
         return self.descendants().groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
