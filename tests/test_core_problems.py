@@ -182,6 +182,15 @@ def test_forest_empty_and_only_cycle(spark):
     check_forest(spark, [(1, 2), (2, 1)])
 
 
+def test_a_star_below_a_cycle_has_no_hot_task(spark):
+    n = 400_000
+    rows = spark.range(2, n).selectExpr("id", "case when id < 2000 or id % 2 = 0 then 1 else id - 1 end as parent").unionByName(spark.createDataFrame([(1, 1)], "id long, parent long"))
+    f = hierarchy.build_forest(rows, paths=False)
+    assert f.placed.isEmpty()
+    by_cycle = f.cycles().groupBy("cycle_id").count().collect()
+    assert [tuple(r) for r in by_cycle] == [(1, n - 1)]
+
+
 # --- 6
 
 
@@ -197,12 +206,28 @@ def test_orphans(spark):
     found = orphans.find_orphans(parents, refs)
     got = {(r.id, r.reason) for r in found.where("id < 1000").collect()}
     assert got == {(11, "deleted"), (12, "late"), (14, "missing"), (17, "deleted"), (17, "late"), (19, "missing")}
-    report = {(r.ref_table, r.month, r.reason): (r.n_refs, r.n_keys) for r in orphans.orphan_report(found).collect()}
+    report = {(r.ref_table, r.month, r.reason): (r.n_refs, r.n_keys) for r in orphans.orphan_report(parents, refs).collect()}
     assert report["none", "2020-01", "missing"] == (401, 2) and report["old", "2020-01", "late"] == (1, 1) and report["none", None, "missing"] == (1, 1)
     assert orphans.find_orphans(parents, refs.limit(0)).count() == 0
     assert orphans.find_orphans({k: v.limit(0) for k, v in parents.items()}, refs.where("id = 10")).first().reason == "missing"
 
 
+def test_orphan_counts_are_those_of_the_rows(spark):
+    rng = random.Random(5)
+    hour = lambda n: None if n is None else T0 + dt.timedelta(hours=n)
+    maybe = lambda n: None if rng.random() < 0.1 else rng.randrange(n)
+    parents = {n: spark.createDataFrame([(rng.randrange(30), rng.choice([True, False, None]), hour(maybe(3000))) for _ in range(12)], "id int, flag boolean, time timestamp_ntz").dropDuplicates(["id"]) for n in ("b", "a")}
+    kids = spark.createDataFrame([(i % 700, rng.choice([7, rng.randrange(40), None]), hour(maybe(3000))) for i in range(800)], "id int, key int, child_time timestamp_ntz")
+    want = defaultdict(lambda: [0, set()])
+    for r in orphans.find_orphans(parents, kids).collect():
+        x = want[r.ref_table, r.child_time and r.child_time.strftime("%Y-%m"), r.reason]
+        x[0] += 1
+        x[1].add(r.key)
+    got = {(r.ref_table, r.month, r.reason): (r.n_refs, r.n_keys) for r in orphans.orphan_report(parents, kids).collect()}
+    assert got == {k: (n, len(s)) for k, (n, s) in want.items()} and {k[2] for k in got} == {"missing", "deleted", "late"}
+    assert orphans.orphan_report(parents, kids.limit(0)).count() == 0
+
+
 def test_descendants_of_all_nodes(spark):
     parent = {1: None, 2: 1, 3: 2, 4: 99, 5: 6, 6: 7, 7: 5, 8: 5, 9: 8, 10: 10, 11: 10, 12: 0}
     want = {}

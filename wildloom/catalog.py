@@ -14,7 +14,7 @@ from wildloom.operators.search import literal_hits
 from wildloom.operators.wildcard import conjunctive_join, first_match, wildcard_join
 from wildloom.plans.patterns import fold_wildcards, literals, prepare_patterns, segments, spark_like_column
 from wildloom.plans.sqltext import like_join_sql
-from wildloom.session import checkpoint_dir, table
+from wildloom.session import scratch_dir, table
 from wildloom.sources import tables
 from wildloom.streaming.probe import drain, probe_stream
 
@@ -304,7 +304,7 @@ def _generated(spark, d):
 
 @query("csv_items", "SELECT id, type, \"by\", time, title, score FROM hackernews WHERE title <> ''")
 def _csv(spark, d):
-    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
     h = table(spark, d, "hackernews").where("title <> ''").select("id", "type", "by", "time", "title", "score")
     tables.write_csv(h, path)
     return tables.read_csv(spark, path, "id int, type smallint, by string, time timestamp_ntz, title string, score int")
@@ -312,7 +312,7 @@ def _csv(spark, d):
 
 @query("csv_all_items", "SELECT id, deleted, type, \"by\", time, text, dead, parent, poll, url, score, title, descendants FROM hackernews")
 def _csv_all(spark, d):
-    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
     tables.write_csv(tables.as_items(table(spark, d, "hackernews")), path)
     return tables.read_csv(spark, path, tables.ITEMS, line_sep="\n")
 
@@ -419,9 +419,9 @@ def p2_rejected(spark, d):
 # --- 5: parent-child links to full hierarchies ---------------------------------------------------
 
 
-def _forest(spark, d) -> tuple[hierarchy.Forest, DataFrame]:
+def _forest(spark, d, paths: bool = True) -> tuple[hierarchy.Forest, DataFrame]:
     items = table(spark, d, "hackernews").select("id", "parent")
-    return hierarchy.build_forest(items.unionByName(table(spark, d, "standing_threads").select("id", "parent"))), items
+    return hierarchy.build_forest(items.unionByName(table(spark, d, "standing_threads").select("id", "parent")), paths=paths), items
 
 
 _NODES = "n AS (SELECT id, nullif(max(parent), 0) AS parent FROM (SELECT id, parent FROM hackernews UNION ALL SELECT id, parent FROM standing_threads) WHERE id IS NOT NULL GROUP BY id)"
@@ -437,9 +437,9 @@ _TREE = (
     "SELECT start AS id, min(list_aggregate(list_slice(path, list_position(path, cur), len(path)), 'min')) AS cycle_id FROM w WHERE list_contains(path[:-2], cur) AND start IN (SELECT id FROM hackernews) GROUP BY start",
 )
 def p5_found(spark, d):
-    forest, items = _forest(spark, d)
+    forest, items = _forest(spark, d, paths=False)
     cyc = forest.cycles().select(F.col("id").cast("int").alias("id"), F.col("cycle_id").cast("int").alias("cycle_id"))
-    return cyc.join(items.select("id").distinct(), "id", "left_semi")
+    return cyc.join(items.select("id"), "id", "left_semi")
 
 
 @query("p5_paths", _TREE + " SELECT CAST(id AS BIGINT) AS id, CAST(root AS BIGINT) AS root, depth, path, rooted FROM t")
@@ -475,11 +475,10 @@ def p5_counts(spark, d):
 # --- 6: references to records that do not exist --------------------------------------------------
 
 
-def _orphans(spark, d) -> DataFrame:
+def _references(spark, d) -> tuple[dict[str, DataFrame], DataFrame]:
     on = lambda x: F.coalesce(F.col(x), F.lit(0).cast("smallint")) == 1
     tables = {n: table(spark, d, n).select("id", (on("deleted") | on("dead")).alias("flag"), "time") for n in ("hackernews", "standing_threads")}
-    kids = table(spark, d, "hackernews").select("id", F.col("parent").alias("key"), F.col("time").alias("child_time"))
-    return orphans.find_orphans(tables, kids)
+    return tables, table(spark, d, "hackernews").select("id", F.col("parent").alias("key"), F.col("time").alias("child_time"))
 
 
 _REFS = """WITH p AS (SELECT id, min(tab) AS tab, bool_or(coalesce(deleted, 0) = 1 OR coalesce(dead, 0) = 1) AS flagged, min(time) AS time FROM
@@ -491,9 +490,9 @@ o AS (SELECT *, 'missing' AS reason FROM j WHERE pid IS NULL UNION ALL SELECT *,
 
 @query("p6_found", _REFS + " SELECT DISTINCT id, reason FROM o")
 def p6_found(spark, d):
-    return _orphans(spark, d).select("id", "reason").distinct()
+    return orphans.find_orphans(*_references(spark, d)).select("id", "reason").distinct()
 
 
 @query("p6_report", _REFS + " SELECT ref_table, strftime(time, '%Y-%m') AS month, reason, count(*) AS n_refs, count(DISTINCT parent) AS n_keys FROM o GROUP BY 1, 2, 3")
 def p6_report(spark, d):
-    return orphans.orphan_report(_orphans(spark, d))
+    return orphans.orphan_report(*_references(spark, d))

@@ -1,25 +1,34 @@
-"""Parent-child rows to full hierarchies by level-wise frontier joins."""
+"""Parent-child rows to full hierarchies by frontier joins over bands of levels.
+
+A row that waits knows the steps from itself up to some ancestor, and waits
+for the row above that one. In each round all waiting rows are joined with the
+rows they wait for: if that one is placed (the frontier grown from the roots),
+depth and path are extended and the row is placed too; if it waits itself, its
+steps are added. So round k places the levels 2^(k-1) to 2^k - 1 together, and
+a forest of depth d takes about log2(d) joins. Rows that a round without any
+newly placed row leaves behind lead onto a cycle.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wildloom.operators.skew import heavy_keys
-from wildloom.session import c, columns_or_fail, materialize, parallelism
-
-#: A frontier of at most so many rows may be broadcast to the rows still waiting (under 60 MB with paths of a few hundred ids).
-BROADCAST_ROWS = 20_000
+from wildloom.operators.skew import heavy_keys, lookup_join
+from wildloom.session import c, columns_or_fail, parallelism, stored, stored_counting
 
 
 @dataclass
 class Forest:
     """Result of :func:`build_forest`.
 
-    placed: id, root, depth, path (root first, the node last), rooted.
-    cyclic: id, parent of the nodes no frontier ever reached.
+    placed: id, root, depth, rooted and, where asked for, path (root first, the
+    node last). cyclic: the nodes that no round reaches, with id, parent, inner
+    (whether the node has children), and for inner ones wait (the node some
+    power of two steps above) and low (the smallest id on the way to it).
     """
 
     placed: DataFrame
@@ -29,29 +38,32 @@ class Forest:
     def cycles(self) -> DataFrame:
         """id, cycle_id: for every node that leads onto a cycle the smallest id on it.
 
-        Jump pointers double their reach each round. Round k knows for a node
-        the smallest id among 2^k steps that start 2^k steps ahead; once two
-        rounds agree for all nodes, that window lay on the cycle and covered it
-        all (two windows over disjoint steps can only share their smallest
-        node if it is visited twice).
+        The rounds of the forest go on with these nodes alone. Round k knows for
+        a node the smallest id among 2^k steps that start 2^k steps ahead; once
+        two rounds agree for all nodes, that window lay on the cycle and covered
+        it all (two windows over disjoint steps can only share their smallest
+        node if it is visited twice). Leaves take part only at the end.
         """
-        state = self.cyclic.select("id", c("parent").alias("jump"), c("id").alias("low"), F.lit(None).cast("long").alias("ahead"))
-        if state.isEmpty():
-            return state.select("id", F.col("ahead").alias("cycle_id"))
-        while True:
+        state = self.cyclic.where("inner").select("id", F.col("wait").alias("jump"), "low", F.lit(None).cast("long").alias("ahead"))
+        state, total = stored_counting(state, "cycles", F.lit(True))
+        while total:
             b = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("low").alias("low2"))
-            step = state.join(b, "jump").select(
+            # after a few rounds all nodes below a cycle have the same pointer
+            step = lookup_join(state, b, "jump", total=total).select(
                 "id",
                 F.col("jump2").alias("jump"),
                 F.least("low", "low2").alias("low"),
                 F.col("low2").alias("ahead"),
                 (~F.col("ahead").eqNullSafe(F.col("low2"))).alias("moved"),
             )
-            step = materialize(step)
-            moved = not step.where("moved").isEmpty()
+            step, moved = stored_counting(step, "cycles", F.col("moved"))
             state = step.drop("moved")
             if not moved:
-                return state.select("id", F.col("ahead").alias("cycle_id"))
+                break
+        known = state.select("id", F.col("ahead").alias("cycle_id"))
+        leaves = self.cyclic.where("not inner").select("id", "parent")
+        below = lookup_join(leaves, known.withColumnRenamed("id", "parent"), "parent").select("id", "cycle_id")
+        return known.unionByName(below)
 
     def descendants(self) -> DataFrame:
         """ancestor, descendant, distance: one row per pair of a node and any node above it."""
@@ -63,34 +75,32 @@ class Forest:
 
         Every node of a cycle is above all others of it and all below them; the
         distance is that of the first visit. A node is not its own descendant.
-        The cycles are walked step by step, one small job per node of the longest.
         """
         if self.cyclic.isEmpty():
             return self.descendants()
         edges = self.cyclic.select("id", "parent")
-        # place: steps from the smallest node of the cycle, upwards
-        front = materialize(self.cycles().select("cycle_id").distinct().select(F.col("cycle_id").alias("id"), "cycle_id", F.lit(0).alias("place")))
-        rings, started = [front], front
-        while True:
-            step = edges.join(front, "id").select(F.col("parent").alias("id"), "cycle_id", (F.col("place") + 1).alias("place")).where(F.col("id") != F.col("cycle_id"))
-            front = materialize(step)
-            if front.isEmpty():
-                break
-            rings.append(front)
-        ring = started
-        for r in rings[1:]:
-            ring = ring.unionByName(r)
-        ring = materialize(ring)
-        # without the edges of the cycles the rest are trees below them
-        cut = edges.join(ring.select("id", "place"), "id", "left").select("id", F.when(F.col("place").isNull(), F.col("parent")).alias("parent"))
+        top = F.col("id") == F.col("cycle_id")
+        # without the edge above its smallest node each cycle is a chain, whose end is that node's parent
+        tops = stored(edges.join(self.cycles(), "id").where(top).select("id", F.col("parent").alias("end")), "tops")
+        opened = edges.join(tops.select("id"), "id", "left_anti").unionByName(tops.select("id", F.lit(None).cast("long").alias("parent")))
+        chains = build_forest(opened)
+        ends = tops.select(F.col("end").alias("id"))
+        ring = chains.placed.join(ends, "id", "left_semi").select(F.col("root").alias("cycle_id"), F.size("path").alias("size"), F.posexplode("path").alias("place", "id"))
+        ring = stored(ring, "ring")
+        # without all edges of the cycles the rest are trees below their nodes
+        cut = edges.join(ring.select("id"), "id", "left_anti").unionByName(ring.select("id", F.lit(None).cast("long").alias("parent")))
         below = build_forest(cut)
-        if not below.cyclic.isEmpty():
+        if not (chains.cyclic.isEmpty() and below.cyclic.isEmpty()):
             raise AssertionError("a cycle was not cut")
-        size = ring.groupBy("cycle_id").agg(F.count(F.lit(1)).cast("int").alias("size"))
-        low = ring.select(F.col("id").alias("root"), "cycle_id", F.col("place").alias("low"))
+        low = ring.select(F.col("id").alias("root"), "cycle_id", "size", F.col("place").alias("low"))
         high = ring.select(F.col("id").alias("ancestor"), "cycle_id", F.col("place").alias("high"))
-        around = below.placed.join(low, "root").join(high, "cycle_id").join(size, "cycle_id").where(F.col("ancestor") != F.col("root"))
-        around = around.select("ancestor", F.col("id").alias("descendant"), (F.col("depth") + F.pmod(F.col("high") - F.col("low"), F.col("size"))).alias("distance"))
+        hung = stored(lookup_join(below.placed.select("id", "root", "depth"), low, "root"), "hung")
+        # a cycle that most rows hang from meets them in as many tasks as there are salts
+        hot = heavy_keys(hung, "cycle_id").select("cycle_id", F.lit(parallelism(self.spark)).alias("salts"))
+        spread = hung.join(F.broadcast(hot), "cycle_id", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        high = high.join(F.broadcast(hot), "cycle_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        around = spread.join(high, ["cycle_id", "salt"]).where(F.col("ancestor") != F.col("root"))
+        around = around.select("ancestor", F.col("id").alias("descendant"), (F.col("depth") + F.pmod(F.col("low") - F.col("high"), F.col("size"))).alias("distance"))
         return self.descendants().unionByName(below.descendants()).unionByName(around)
 
     def all_descendant_counts(self) -> DataFrame:
@@ -104,16 +114,36 @@ class Forest:
         return self.descendants().groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
 
 
-def build_forest(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent") -> Forest:
-    """Place every node under its root, level by level.
+def _raised(rows: DataFrame, above: DataFrame, total: int, paths: bool) -> DataFrame:
+    """``rows`` after the join with the rows they wait for: moved up by the steps of those."""
+    b = above.select(F.col("id").alias("wait"), F.col("wait").alias("wait2"), F.col("top").alias("top2"), F.col("steps").alias("steps2"), F.col("rooted").alias("rooted2"), F.col("low").alias("low2"), *([F.col("path").alias("path2")] if paths else []))
+    j = lookup_join(rows, b, "wait", "left", total=total)
+    found = F.col("top2").isNotNull()
+    out = [
+        "id",
+        "parent",
+        # a parent that is no node ends the way: its child is the top of an orphaned tree
+        F.when(found, F.col("wait2")).alias("wait"),
+        F.coalesce("top2", "top").alias("top"),
+        F.when(found, F.col("steps") + F.col("steps2") + 1).otherwise(F.col("steps")).alias("steps"),
+        F.coalesce("rooted2", F.lit(False)).alias("rooted"),
+        F.least("low", "low2").alias("low"),
+    ]
+    if paths:
+        out.append(F.when(found, F.concat("path2", "path")).otherwise(F.col("path")).alias("path"))
+    return j.select(*out)
+
+
+def build_forest(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", paths: bool = True) -> Forest:
+    """Place every node under its root, band of levels by band.
 
     A null or zero parent makes a root; a parent that is no node makes its
     child the top of an orphaned tree (``rooted`` false). Rows with a null id
-    are no nodes. Of several rows with one id the largest parent counts. Nodes
-    that no level reaches lead onto a cycle. Rows of parents with very many
-    children are spread over salts, so no level has a hot task. There is one
-    small job per level, so the deepest tree sets the number of jobs. An empty
-    table has no trees.
+    are no nodes. Of several rows with one id the largest parent counts. Only
+    nodes that have children take part in the rounds; the others are joined
+    with their parents once at the end. No join has a hot task, whatever
+    number of rows waits for one row. ``paths`` false leaves the paths out. An
+    empty table has no trees.
     """
     columns_or_fail(nodes, id_col, parent_col)
     spark = nodes.sparkSession
@@ -123,64 +153,42 @@ def build_forest(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent
         .agg(F.max(c(parent_col)).cast("long").alias("parent"))
         .withColumn("parent", F.nullif("parent", F.lit(0).cast("long")))
     )
-    edges = materialize(edges)
-    total = edges.count()
-    slice_rows = max(1, total // (4 * parallelism(spark)))
-    heavy = heavy_keys(edges, "parent").withColumn("salts", F.ceil(F.col("n") / slice_rows).cast("int")).select("parent", "salts")
-    heavy = materialize(heavy)
-
-    known = edges.select(F.col("id").alias("__known"))
-    # own: over how many salts the children of a node are spread
-    own = heavy.select(F.col("parent").alias("id"), F.col("salts").alias("own"))
-
-    def with_own(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(own), "id", "left").withColumn("own", F.coalesce("own", F.lit(1)))
-
-    salted = edges.where("parent is not null").join(F.broadcast(heavy), "parent", "left")
-    salted = salted.withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int")).drop("salts")
-    # a parent that is no node: distinct parents are few compared with rows, and are checked once
-    parents = edges.where("parent is not null").select("parent").distinct()
-    absent = parents.join(known, F.col("parent") == F.col("__known"), "left_anti").select(F.col("parent").alias("id"), F.lit(False).alias("rooted"))
-
-    tops = edges.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(True).alias("rooted"))
-    # children of absent parents become tops of orphaned trees: an absent parent is a frontier row with an empty path
-    ghosts = absent.select("id", F.lit(None).cast("long").alias("root"), F.lit(-1).alias("depth"), F.array().cast("array<long>").alias("path"), "rooted")
-    frontier = materialize(with_own(tops.unionByName(ghosts)))
-    placed = [frontier.where("depth >= 0").drop("own")]
-    waiting = materialize(with_own(salted))
-    n_waiting = waiting.count()
-    n_base = n_waiting
-    n_front = frontier.count()
-    while n_waiting and n_front:
-        up = frontier.select(F.col("id").alias("parent"), "root", "depth", "path", "rooted", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("salt"))
-        if n_front <= BROADCAST_ROWS:
-            up = F.broadcast(up)
-        nxt = waiting.join(up, ["parent", "salt"]).select(
-            "id",
-            F.coalesce("root", "id").alias("root"),
-            (F.col("depth") + 1).alias("depth"),
-            F.concat("path", F.array("id")).alias("path"),
-            "rooted",
-            "own",
-        )
-        frontier = materialize(nxt)
-        n_front = frontier.count()
-        if not n_front:
+    edges = stored(edges, "edges")
+    parents = edges.where("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
+    start = edges.join(parents, "id", "left").select(
+        "id",
+        "parent",
+        F.col("parent").alias("wait"),
+        F.col("id").alias("top"),
+        F.lit(0).alias("steps"),
+        F.col("parent").isNull().alias("rooted"),
+        F.col("id").alias("low"),
+        F.coalesce("inner", F.lit(False)).alias("inner"),
+        *([F.array("id").alias("path")] if paths else []),
+    )
+    start, n_waiting = stored_counting(start, "forest", F.col("inner") & F.col("wait").isNotNull())
+    leaves = start.where("not inner").drop("inner")
+    state = start.where("inner").drop("inner")
+    placed = [state.where("wait is null")]
+    state = state.where("wait is not null")
+    while n_waiting:
+        reached = reduce(DataFrame.unionByName, placed, state)
+        step, left = stored_counting(_raised(state, reached, n_waiting, paths), "forest", F.col("wait").isNotNull())
+        placed.append(step.where("wait is null"))
+        state = step.where("wait is not null")
+        if left == n_waiting:
             break
-        placed.append(frontier.drop("own"))
-        n_waiting -= n_front
-        if n_waiting and n_waiting * 2 < n_base:
-            # the rows still waiting halved: keep only those
-            done = placed[0].select("id")
-            for p in placed[1:]:
-                done = done.union(p.select("id"))
-            waiting = materialize(waiting.join(done, "id", "left_anti"))
-            n_base = n_waiting
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.unionByName(p)
-    cyclic = waiting.join(out.select("id"), "id", "left_anti").select("id", "parent") if n_waiting else waiting.where("false").select("id", "parent")
-    return Forest(out, materialize(cyclic), spark)
+        n_waiting = left
+    inner = reduce(DataFrame.unionByName, placed)
+    rest = leaves.where("wait is not null")
+    n_leaves = rest.count()
+    ended = stored(_raised(rest, inner.unionByName(state), n_leaves, paths), "forest")
+    shape = ["id", F.col("top").alias("root"), F.col("steps").alias("depth"), "rooted", *(["path"] if paths else [])]
+    done = inner.unionByName(leaves.where("wait is null")).unionByName(ended.where("wait is null")).select(*shape)
+    nothing = F.lit(None).cast("long")
+    below = ended.where("wait is not null").select("id", "parent", F.lit(False).alias("inner"), nothing.alias("wait"), nothing.alias("low"))
+    cyclic = state.select("id", "parent", F.lit(True).alias("inner"), "wait", "low").unionByName(below)
+    return Forest(done, cyclic, spark)
 
 
 __all__ = ["Forest", "build_forest"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wildloom.operators.wildcard import wildcard_join
-from wildloom.session import checkpoint_dir
+from wildloom.session import scratch_dir
 
 
 def probe_stream(stream: DataFrame, patterns: DataFrame, text: str, pattern: str, **options) -> DataFrame:
@@ -30,7 +30,7 @@ def windowed_counts(pairs: DataFrame, time: str, by: list[str], width: str = "1
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there into a table in the shared folder and read that table."""
     spark: SparkSession = stream.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
