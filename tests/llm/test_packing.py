@@ -9,13 +9,14 @@ from wildloom.session import table
 
 
 def brute(sizes, sources, clusters, capacity):
-    """Best fit by trying all containers: tightest without conflict, else without a copy, else a new one."""
+    """Best fit by trying all containers: the tightest without conflict, else a new one."""
     bins, out = [], {}
     bit = {x for x in clusters if clusters.count(x) > 1}
-    for i in np.argsort(-np.array(sizes), kind="stable"):
+    needed = max(1.0, sum(sizes) / capacity)
+    weight = [n / capacity + packing.PRESSURE * (sources.count(s) if s is not None else 0) / needed for n, s in zip(sizes, sources, strict=True)]
+    for i in np.argsort(-np.array(weight), kind="stable"):
         n, s, x = sizes[i], sources[i] if sizes[i] else None, clusters[i] if sizes[i] and clusters[i] in bit else None
-        fits = lambda soft: [b for b in bins if b["left"] >= n and (x is None or x not in b["x"]) and (soft or s is None or s not in b["s"])]
-        ok = fits(False) or fits(True)
+        ok = [b for b in bins if b["left"] >= n and (x is None or x not in b["x"]) and (s is None or s not in b["s"])]
         if ok:
             b = min(ok, key=lambda b: b["left"])
         else:
@@ -47,8 +48,8 @@ def test_conflicts():
     assert n[2] != n[3]
     apart = packing.pack_group(np.array([6, 6, 4, 4]), ["s", "t", "s", "t"], [1, 2, 3, 4], 10)
     assert apart[0] == apart[3] and apart[1] == apart[2]
-    same = packing.pack_group(np.array([5, 5]), ["s", "s"], [1, 2], 10)
-    assert same[0] == same[1]
+    same = packing.pack_group(np.array([2] * 5), ["s"] * 5, [1, 2, 3, 4, 5], 10)
+    assert len(set(same)) == 5
     copies = packing.pack_group(np.array([1] * 4), [None] * 4, [7] * 4, 10)
     assert len(set(copies)) == 4
     assert set(packing.pack_group(np.array([0, 0, 0]), ["a"] * 3, [7] * 3, 10)) == {0}
@@ -72,9 +73,42 @@ def test_spark_edges(spark):
         packing.pack(df, "doc_id", "text", "source", capacity=0)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_no_group_breaks_a_constraint(seed):
+    rng = random.Random(seed)
+    n = 400
+    sizes = [rng.choice([0, 1, rng.randrange(1, 60), 50]) for _ in range(n)]
+    sizes = [min(x, 50) for x in sizes]
+    sources = ["hot" if rng.random() < 0.33 else rng.choice([None, *"abcdefgh"]) for _ in range(n)]
+    clusters = [rng.randrange(300) for _ in range(n)]
+    got = packing.pack_group(np.array(sizes), sources, clusters, 50)
+    held = defaultdict(list)
+    for i, b in enumerate(got):
+        held[b].append(i)
+    for items in held.values():
+        real = [i for i in items if sizes[i]]
+        named = [sources[i] for i in real if sources[i] is not None]
+        assert sum(sizes[i] for i in items) <= 50 and len(named) == len(set(named))
+        assert len({clusters[i] for i in real}) == len(real)
+
+
+def test_given_clusters_are_kept_apart(spark):
+    df = spark.createDataFrame([(i, f"text number {i}", f"s{i}", 7 if i < 5 else None) for i in range(12)], "doc_id long, text string, source string, near int")
+    apart = packing.pack(df, "doc_id", "text", "source", cluster="near").where("doc_id < 5").select("bin_id").distinct().count()
+    assert apart == 5 and packing.pack(df, "doc_id", "text", "source").select("bin_id").distinct().count() == 1
+
+
+def test_copies_in_other_dress(spark):
+    rows = [(1, "The same, text!", "a"), (2, "the SAME text", "b"), (3, "the\nsame  text.", "c"), (4, "---", "d"), (5, "***", "e")]
+    got = {r.doc_id: r.bin_id for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
+    assert len({got[i] for i in (1, 2, 3)}) == 3 and got[4] == got[5]
+
+
 def test_small_tables_fill_well(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     p = packing.pack(d, "doc_id", "text", "source", group_tokens=100_000)
+    assert packing.conflicts(p, d, "doc_id", "text", "source").isEmpty()
     f = packing.fill(p).first()
-    assert f.fill > 0.95 and f.most <= packing.CAPACITY
+    assert f.fill > 0.93 and f.most <= packing.CAPACITY
+    assert packing.fill(packing.pack(d, "doc_id", "text", "source")).first().fill > 0.97
     assert p.select("doc_id").distinct().count() == d.count()

@@ -98,6 +98,11 @@ def p8_counts(spark, d):
     return tokens.count_tokens(table(spark, d, "documents").select("doc_id", "text"), "text", "n_tokens").select("doc_id", "n_tokens")
 
 
+@query("p8_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p8_decoded(spark, d):
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "ids", "text")
+
+
 # --- 9: packing ----------------------------------------------------------------------------------
 
 
@@ -111,6 +116,18 @@ def p9_containers(spark, d):
     return packing.containers(packing.pack(table(spark, d, "documents"), "doc_id", "text", "source"))
 
 
+@query("p9_conflicts", "SELECT '' AS bin_id, '' AS fault WHERE false")
+def p9_conflicts(spark, d):
+    docs = table(spark, d, "documents")
+    return packing.conflicts(packing.pack(docs, "doc_id", "text", "source"), docs, "doc_id", "text", "source")
+
+
+@query("p9_documents", "SELECT doc_id, coalesce(text, '') = '' AS no_tokens, 1 AS rests FROM documents")
+def p9_documents(spark, d):
+    per = packing.pack(table(spark, d, "documents"), "doc_id", "text", "source").groupBy("doc_id")
+    return per.agg((F.sum("n_tokens") == 0).alias("no_tokens"), F.count_if(~F.col("bin_id").startswith("full-")).cast("int").alias("rests"))
+
+
 # --- 10: reading level -----------------------------------------------------------------------------
 
 

@@ -3,24 +3,29 @@
 Documents are spread over groups of about ``GROUP_TOKENS`` tokens each by a
 hash of their key, so the number of groups follows the data while a group
 stays small enough for one task; a group leaves about one container unfilled.
-Within a group the largest document goes first, into the tightest container
-that suits it: containers are ordered by residual, and each carries one bitmap
-of the sources and one of the duplicate clusters it holds. The successor
-search goes on to looser containers until one without a conflict is found.
+Within a group each document goes into the tightest container that suits it:
+containers are ordered by residual, and each carries one bitmap of the sources
+and one of the duplicate clusters it holds. The successor search goes on to
+looser containers until one without a conflict is found; where there is none a
+new container is begun. Large documents go first, and those of frequent
+sources before others of their size, as every one of them needs a container of
+its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wildloom.llm.tokens import VOCABULARY, count_tokens
-from wildloom.session import c, columns_or_fail, materialize
+from wildloom.session import c, columns_or_fail, stored
 
 CAPACITY = 2048
 GROUP_TOKENS = 2_000_000
+#: How many tokens, in capacities, a document goes before its size if its source has one document for each container the group needs.
+PRESSURE = 0.3
 
 
 class Shelf:
@@ -49,10 +54,8 @@ class Shelf:
         return None
 
     def place(self, size: int, source: int, cluster: int) -> int:
-        """Container for one item. Two copies of a text never share one; two documents of a source do only where no container without that source has room."""
+        """Container for one item, which shares it neither with an item of its source nor with one of its cluster."""
         spot = self._find(size, source, cluster)
-        if spot is None and source:
-            spot = self._find(size, 0, cluster)
         if spot is None:
             b, left = len(self.sources), self.capacity - size
             self.sources.append(0)
@@ -75,8 +78,11 @@ class Shelf:
 
 def pack_group(sizes: np.ndarray, sources: list, clusters: list, capacity: int) -> np.ndarray:
     """Container number of each item; items are at most ``capacity`` long."""
-    order = np.argsort(-sizes, kind="stable")
     source_bit: dict = {}
+    names = pd.Series(sources, dtype=object)
+    rows = names.map(names.value_counts()).fillna(0).to_numpy("f8")
+    needed = max(1.0, float(sizes.sum()) / capacity)
+    order = np.argsort(-(sizes / capacity + PRESSURE * rows / needed), kind="stable")
     counts = pd.Series(clusters).value_counts()
     cluster_bit = {x: 1 << i for i, x in enumerate(counts.index[counts > 1])}
     shelf = Shelf(capacity)
@@ -89,20 +95,32 @@ def pack_group(sizes: np.ndarray, sources: list, clusters: list, capacity: int)
     return out
 
 
-def pack(df: DataFrame, key: str, text: str, source: str, capacity: int = CAPACITY, path: str = VOCABULARY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def same_text(text: Column) -> Column:
+    """A number that texts share which differ at most in case, blanks, line breaks and punctuation."""
+    bare = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+    return F.xxhash64(F.when(bare != "", bare).otherwise(text))
+
+
+def _given(cluster: Column, key: Column) -> Column:
+    return F.when(cluster.isNull(), F.xxhash64(F.lit("alone"), key)).otherwise(F.xxhash64(F.lit("cluster"), cluster))
+
+
+def pack(df: DataFrame, key: str, text: str, source: str, capacity: int = CAPACITY, path: str = VOCABULARY, group_tokens: int = GROUP_TOKENS, cluster: str | None = None) -> DataFrame:
     """Containers of ``capacity`` tokens: key, piece, first_token, n_tokens, bin_id.
 
     A document longer than the capacity is cut into full pieces, each with a
     container of its own, and a rest; no other is cut. Null and empty texts
-    have 0 tokens and still get a place. A null source conflicts with none.
-    Repeated keys are packed as separate documents.
+    have 0 tokens, still get a place, and conflict with none; nor does a null
+    source. No container has two documents of one source or of one duplicate
+    cluster: ``cluster`` names a column that holds the clusters of another
+    operator (null: no copy of any other), and without it :func:`same_text`
+    tells copies. Repeated keys are packed as separate documents.
     """
-    columns_or_fail(df, key, text, source)
+    columns_or_fail(df, key, text, source, *([cluster] if cluster else []))
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    narrow = df.select(c(key).alias("key"), c(text).alias("text"), c(source).cast("string").alias("source"))
-    sized = count_tokens(narrow, "text", "n", path).select("key", "source", "n", F.xxhash64("text").alias("cluster"))
-    sized = materialize(sized)
+    narrow = df.select(c(key).alias("key"), c(text).alias("text"), c(source).cast("string").alias("source"), (_given(c(cluster), c(key)) if cluster else same_text(c(text))).alias("cluster"))
+    sized = stored(count_tokens(narrow, "text", "n", path).select("key", "source", "n", "cluster"), "sizes")
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     groups = max(1, -(-total // group_tokens))
     full = F.floor((F.greatest(F.col("n"), F.lit(1)) - 1) / capacity).cast("int")
@@ -129,6 +147,15 @@ def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return per.withColumn("unused", F.lit(capacity) - F.col("used"))
 
 
+def conflicts(packed: DataFrame, df: DataFrame, key: str, text: str, source: str, capacity: int = CAPACITY) -> DataFrame:
+    """bin_id and fault of every container with too many tokens, two documents of a source or two copies of a text; keys must be unique."""
+    facts = df.select(c(key).alias("__key"), c(source).cast("string").alias("source"), same_text(c(text)).alias("copy"))
+    held = packed.where("n_tokens > 0").join(facts, c(key) == F.col("__key")).groupBy("bin_id")
+    n = held.agg(F.sum("n_tokens").alias("used"), (F.count("source") - F.countDistinct("source")).alias("same"), (F.count("copy") - F.countDistinct("copy")).alias("copies"))
+    faults = F.array_compact(F.array(F.when(F.col("used") > capacity, F.lit("capacity")), F.when(F.col("same") > 0, F.lit("source")), F.when(F.col("copies") > 0, F.lit("copy"))))
+    return n.select("bin_id", F.explode(faults).alias("fault"))
+
+
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: n_bins, n_pieces, n_tokens and the share of all capacity that is used."""
     per = containers(packed, capacity)

@@ -289,6 +289,21 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
     return src.mapInArrow(run, schema)
 
 
+def decode_corpus(df: DataFrame, key: str, ids: str, out: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """``key`` and the text of each list of ids; null and empty lists give the empty text."""
+    columns_or_fail(df, key, ids)
+    sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = encoder_for(sent.value).decode
+        for b in batches:
+            texts = pa.array([decode(x or []) for x in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), texts], names=[key, out])
+
+    src = df.select(c(key), c(ids))
+    return src.mapInArrow(run, T.StructType([T.StructField(key, src.schema[0].dataType), T.StructField(out, T.StringType())]))
+
+
 def count_tokens(df: DataFrame, text: str, out: str, path: str = VOCABULARY) -> DataFrame:
     """``df`` with the number of tokens of ``text`` in ``out``; null and empty texts have 0."""
     columns_or_fail(df, text)
