@@ -1,17 +1,21 @@
 """Reading level of documents by harmonic propagation on a document-word graph.
 
-Documents and words (single words and pairs of neighbours, hashed into a fixed
-number of nodes) form a bipartite graph. The graded examples are clamped; each
-iteration gives every document the weighted mean of its words' grade shares and
-every word the mean of the documents that hold it, examples included, so the
-grades reach words and documents that no example covers. At the end each
-stretch of a document takes the grade its words speak for, and the document
-the grade of most of its words. ``difficulty`` is the mean over its words.
+Documents and words form a bipartite graph; an edge weighs the word's count in
+the document times the word's rarity, log(documents / documents with it). The
+graded examples are boundary nodes whose grades are clamped. Each iteration
+gives every document the weighted mean of its words' values and every word the
+weighted mean of the documents and examples that hold it, until no value moves
+by more than a tolerance. A value has one share per grade, each of which is
+harmonic by itself; a document's grade is that of its largest share, and its
+difficulty, the mean grade, is the harmonic function with the grades
+themselves on the boundary. So grades reach words, and through them
+documents, that share no word with any example.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -20,17 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wildloom.session import c, columns_or_fail, stored
+from wildloom.operators.skew import lookup_join
+from wildloom.session import c, columns_or_fail, stored, stored_counting
 
 GRADES = (1, 2, 3, 4)
-#: Nodes for single words and as many for pairs; with four shares each this bounds what is sent to a task at 2 MB.
-NODES = 1 << 16
-ITERATIONS = 4
-#: Share of all weight that the clamped examples have, however many documents there are.
+_SHARES = tuple(f"s{g}" for g in GRADES)
+#: Share of all weight that the clamped examples have, however many documents there are; each grade has a quarter of it.
 CLAMP = 0.6
-STRETCH = 12
+#: Iterations end when no word's share moves by more than this, at the latest after so many.
+TOLERANCE, MOST_ITERATIONS = 2e-3, 60
+#: Up to so many bytes of words the values go to the tasks; beyond that words and documents are joined. Both ways give the same values.
+MAX_BROADCAST = 32 * 1024 * 1024
+WORD_BYTES = 56
 MIN_WORDS = 60
-#: At most so many graded rows are read, by key.
+#: At most so many graded rows are read, by grade and text.
 MAX_EXAMPLES = 10_000
 
 # Frequent short words of the languages that are told apart.
@@ -61,204 +68,231 @@ def is_english(words: list[str]) -> bool:
 
 
 class _Numbers(dict):
+    """Words to 64-bit numbers, remembered; among a billion words two share one with a chance of 3 %."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        x = self[word] = zlib.crc32(word.encode("utf-8", "replace")) & 0x7FFFFFFF
+        x = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
         return x
 
 
-class Coder:
-    """Words to 31-bit numbers, remembered."""
-
-    def __init__(self):
-        self.known = _Numbers()
-
-    def __call__(self, text: str) -> tuple[list[str], list[int]]:
-        words = words_of(text)
-        return words, list(map(self.known.__getitem__, words))
-
-
-def nodes_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of flat word numbers: single ones, and for each word the pair with the next one of its document (-1 at the last)."""
-    single = ids % NODES
-    pair = np.full(len(ids), -1, "int64")
-    if len(ids) > 1:
-        mixed = (ids[:-1].astype("uint64") * np.uint64(0x9E3779B97F4A7C15) + ids[1:].astype("uint64") * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-        pair[:-1] = NODES + (mixed % np.uint64(NODES)).astype("int64")
-    inner = ends[(ends > 0) & (ends <= len(ids))]
-    pair[inner - 1] = -1
-    return single, pair
-
-
-def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of rows from each start to its end; empty ones are 0."""
-    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, 0, dtype="f8")])
-    return total[ends] - total[starts]
+def encode_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, row (unique), n_words (split at white space), english, words and counts (of English texts), kept in the shared folder."""
+    src = df.select(c(key).alias("key"), c(text).alias("text"), F.monotonically_increasing_id().alias("row"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
+        for b in batches:
+            n, english, ends, ids, counts = [], [], [0], [], []
+            for t in b.column(1).to_pylist():
+                words = words_of(t or "")
+                ok = bool(words) and is_english(words)
+                n.append(len((t or "").split()))
+                english.append(ok)
+                if ok:
+                    held = Counter(words)
+                    ids += map(numbers.__getitem__, held)
+                    counts += held.values()
+                ends.append(len(ids))
+            at = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(english, pa.bool_()), *lists], names=["key", "row", "n_words", "english", "words", "counts"])
 
-def weighted(shares: np.ndarray) -> np.ndarray:
-    """Shares scaled by how much they say: a node with equal shares of all grades weighs nothing."""
-    p = np.clip(shares, 1e-9, 1)
-    said = 1 + (p * np.log(p)).sum(1) / np.log(len(GRADES))
-    known = shares.sum(1) > 0
-    return shares * (np.where(known, said, 0.0) ** 2)[:, None]
+    kind = src.schema["key"].dataType.simpleString()
+    return stored(src.mapInArrow(run, f"key {kind}, row long, n_words int, english boolean, words array<long>, counts array<int>"), "words")
 
 
-def document_shares(w: np.ndarray, single: np.ndarray, pair: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Grade shares of each document; zero where none of its words is known."""
-    padded = np.concatenate([w, np.zeros((1, w.shape[1]))])
-    mass = _sums(padded[single] + padded[pair], starts, ends)
-    return mass / np.maximum(mass.sum(1, keepdims=True), 1e-12)
+def boundary(examples: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the graded examples and how often each grade has them."""
+    numbers = _Numbers()
+    held: dict[int, np.ndarray] = {}
+    for text, grade in examples:
+        if grade in GRADES:
+            for w, n in Counter(words_of(text)).items():
+                held.setdefault(numbers[w], np.zeros(len(GRADES)))[GRADES.index(grade)] += n
+    ids = np.array(sorted(held), "int64")
+    return ids, np.array([held[i] for i in ids.tolist()]).reshape(-1, len(GRADES))
 
 
-def spread(shares: np.ndarray, single: np.ndarray, pair: np.ndarray, lengths: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
-    """Add each document's shares to the nodes it holds; documents that know nothing yet add nothing."""
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    ok = (shares.sum(1) > 0)[doc]
-    for nodes in (single, pair):
-        use = ok & (nodes >= 0)
-        at, who = nodes[use], doc[use]
-        counts += np.bincount(at, minlength=len(counts))
-        for g in range(shares.shape[1]):
-            sums[:, g] += np.bincount(at, weights=shares[who, g], minlength=len(sums))
+def clamped(counts: np.ndarray, rarity: np.ndarray, mass: float) -> np.ndarray:
+    """Weights of the boundary per word and grade: CLAMP of all weight, ``mass`` being that of the documents, in equal parts for all grades."""
+    raw = counts * rarity[:, None]
+    of_grade = raw.sum(0)
+    have = of_grade > 0
+    want = CLAMP / (1 - CLAMP) * mass / max(1, have.sum())
+    return raw * np.where(have, want / np.where(have, of_grade, 1.0), 0.0)
 
 
-def balanced(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shares of the nodes, with equal weight for each grade however many documents have it."""
-    mass = sums / np.maximum(sums.sum(0), 1e-12)
-    out = mass / np.maximum(mass.sum(1, keepdims=True), 1e-30)
-    return np.where(counts[:, None] > 0, out, 0.0)
+def _flat(ids: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, counts and the document of each."""
+    offsets = ids.offsets.to_numpy()
+    part = slice(offsets[0], offsets[-1])
+    return ids.values.to_numpy(zero_copy_only=False)[part], counts.values.to_numpy(zero_copy_only=False)[part].astype("f8"), np.repeat(np.arange(len(ids)), np.diff(offsets))
 
 
-def clamp_examples(examples: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Node sums and counts of the graded examples."""
-    sums, counts = np.zeros((2 * NODES, len(GRADES))), np.zeros(2 * NODES)
-    code = Coder()
-    for text, grade in examples:
-        ids = np.array(code(text)[1], "int64")
-        if len(ids) and grade in GRADES:
-            single, pair = nodes_of(ids, np.array([len(ids)]))
-            shares = np.eye(len(GRADES))[[GRADES.index(grade)]]
-            spread(shares, single, pair, np.array([len(ids)]), sums, counts)
-    return sums, counts
-
-
-def clamped(fixed: np.ndarray, fixed_n: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Weighted shares of the nodes from the examples and the documents, at weights CLAMP and 1 - CLAMP."""
-    a, b = CLAMP / max(fixed_n.sum(), 1e-12), (1 - CLAMP) / max(counts.sum(), 1e-12)
-    return weighted(balanced(fixed * a + sums * b, fixed_n + counts))
-
-
-def judge(w: np.ndarray, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(grade, difficulty) of each document by the grades of its stretches; an empty one has grade 0."""
-    single, pair = nodes_of(ids, ends)
-    lengths = ends - starts
-    padded = np.concatenate([w, np.zeros((1, w.shape[1]))])
-    mass = padded[single] + padded[pair]
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    inside = np.arange(len(ids)) - starts[doc]
-    cut = np.flatnonzero(inside % STRETCH == 0)
-    if not len(cut):
-        return np.zeros(len(lengths), int), np.full(len(lengths), np.nan)
-    per = np.add.reduceat(mass, cut, axis=0)
-    size = np.diff(np.append(cut, len(ids)))
-    won, known = per.argmax(1), per.sum(1) > 0
-    votes = np.zeros((len(lengths), len(GRADES)))
-    np.add.at(votes, (doc[cut][known], won[known]), size[known])
-    total = votes.sum(1)
-    grade = np.where(total > 0, np.array(GRADES)[votes.argmax(1)], 0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return grade, np.where(total > 0, votes @ np.array(GRADES, float) / total, np.nan)
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    ids = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype("int64")
-    offsets = (offsets - offsets[0]).astype("int64")
-    return ids, offsets[:-1], offsets[1:]
+def document_values(at: np.ndarray, counts: np.ndarray, doc: np.ndarray, n: int, weight: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(documents, grades): weighted means of the words' values; zero where no word has one."""
+    w = counts * weight[at]
+    total = np.bincount(doc, weights=w, minlength=n)
+    sums = np.stack([np.bincount(doc, weights=w * values[at, g], minlength=n) for g in range(values.shape[1])], 1)
+    return sums / np.where(total > 0, total, 1.0)[:, None]
 
 
-def encode_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_words (split at white space), english and words (numbers, only of English texts), kept in the shared folder."""
-    src = df.select(c(key).alias("key"), c(text).alias("text"))
+def _measure(coded: DataFrame) -> tuple[DataFrame, int, int]:
+    """(word, documents with it, occurrences), how many words there are and how many documents."""
+    docs = coded.where("english")
+    per = docs.select(F.explode(F.arrays_zip("words", "counts")).alias("e")).groupBy(F.col("e.words").alias("word")).agg(F.count(F.lit(1)).alias("held"), F.sum("e.counts").alias("n"))
+    words, n_words = stored_counting(per, "vocabulary", F.lit(True))
+    return words, n_words, docs.count()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Coder()
-        for b in batches:
-            n, english, ends, flat = [], [], [0], []
-            for t in b.column(1).to_pylist():
-                words, ids = code(t or "")
-                ok = bool(words) and is_english(words)
-                n.append(len((t or "").split()))
-                english.append(ok)
-                if ok:
-                    flat += ids
-                ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(english, pa.bool_()), lists], names=["key", "n_words", "english", "words"])
 
-    kind = src.schema["key"].dataType.simpleString()
-    coded = src.mapInArrow(run, f"key {kind}, n_words int, english boolean, words array<int>")
-    return stored(coded, "words")
+def _rarity(held, n_docs: int):
+    return F.log(F.lit(float(n_docs + 1)) / held)
 
 
-def propagate(coded: DataFrame, examples: list[tuple[str, int]], iterations: int = ITERATIONS) -> np.ndarray:
-    """Weighted grade shares of the nodes after the harmonic iterations.
+class Values:
+    """The words' values after the iterations, and how to give documents theirs.
 
-    Each task adds up its documents and sends one row per node at most; the
-    sums are combined in Spark, and the driver gets 2 * NODES rows.
+    ``rounds`` is the number of iterations, ``residual`` the largest change in
+    the last one.
     """
-    sc = coded.sparkSession.sparkContext
-    fixed, fixed_n = clamp_examples(examples)
-    w = weighted(balanced(fixed, fixed_n))
-    docs = coded.where("english").select("words")
-    for _ in range(iterations):
-        sent = sc.broadcast(w.astype("f4"))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            sums, counts = np.zeros((2 * NODES, len(GRADES))), np.zeros(2 * NODES)
+
+    def __init__(self, coded: DataFrame, examples: list[tuple[str, int]], tolerance: float = TOLERANCE, iterations: int = MOST_ITERATIONS, max_broadcast: int = MAX_BROADCAST):
+        self.coded = coded
+        self.rounds, self.residual = 0, 0.0
+        words, n, n_docs = _measure(coded)
+        self.small = n * WORD_BYTES <= max_broadcast
+        (self._sent if self.small else self._joined)(words, n_docs, examples, tolerance, iterations)
+
+    # --- words known to all tasks
+
+    def _sent(self, words: DataFrame, n_docs: int, examples: list, tolerance: float, iterations: int) -> None:
+        got = words.toPandas().sort_values("word")
+        self.ids = got["word"].to_numpy("int64")
+        self.rarity = np.log((n_docs + 1.0) / got["held"].to_numpy("f8"))
+        ex_ids, counts = boundary(examples)
+        place = np.searchsorted(self.ids, ex_ids)
+        inside = place < len(self.ids)
+        inside[inside] = self.ids[place[inside]] == ex_ids[inside]
+        held = np.zeros((len(self.ids), len(GRADES)))
+        held[place[inside]] = counts[inside]
+        base = clamped(held, self.rarity, float((got["n"].to_numpy("f8") * self.rarity).sum()))
+        fixed = base.sum(1)
+        self.values = base / np.where(fixed > 0, fixed, 1.0)[:, None]
+        self.weight = np.where(fixed > 0, self.rarity, 0.0)
+        for _ in range(iterations):
+            sums, mass = self._gathered()
+            total = fixed + mass
+            new = (base + sums) / np.where(total > 0, total, 1.0)[:, None]
+            self.residual = float(np.abs(new - self.values).max(initial=0.0))
+            self.values, self.weight = new, np.where(total > 0, self.rarity, 0.0)
+            self.rounds += 1
+            if self.residual <= tolerance:
+                break
+
+    def _gathered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per word the weighted sums of its documents' values, and the weights; a task sends a row per word at most."""
+        sent = self.coded.sparkSession.sparkContext.broadcast((self.ids, self.rarity, self.weight, self.values))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, rarity, weight, values = sent.value
+            sums, mass = np.zeros_like(values), np.zeros(len(ids))
             for b in batches:
-                ids, starts, ends = _flat(b.column(0))
-                single, pair = nodes_of(ids, ends)
-                spread(document_shares(sent.value, single, pair, starts, ends), single, pair, ends - starts, sums, counts)
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(sums[used, g]) for g in range(len(GRADES))], pa.array(counts[used])], names=["node", "s0", "s1", "s2", "s3", "n"])
-
-        parts = docs.mapInArrow(run, "node int, s0 double, s1 double, s2 double, s3 double, n double")
-        got = parts.groupBy("node").agg(*[F.sum(x).alias(x) for x in ("s0", "s1", "s2", "s3", "n")]).toPandas()
-        sums, counts = np.zeros_like(fixed), np.zeros_like(fixed_n)
-        at = got["node"].to_numpy()
-        sums[at] = got[["s0", "s1", "s2", "s3"]].to_numpy()
-        counts[at] = got["n"].to_numpy()
-        w = clamped(fixed, fixed_n, sums, counts)
+                words, counts, doc = _flat(b.column(0), b.column(1))
+                at = np.searchsorted(ids, words)
+                docs = document_values(at, counts, doc, b.num_rows, weight, values)
+                w = counts * rarity[at] * (docs.sum(1) > 0)[doc]
+                mass += np.bincount(at, weights=w, minlength=len(ids))
+                for g in range(values.shape[1]):
+                    sums[:, g] += np.bincount(at, weights=w * docs[doc, g], minlength=len(ids))
+            used = np.flatnonzero(mass)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(sums[used, g]) for g in range(len(GRADES))], pa.array(mass[used])], names=["at", *_SHARES, "mass"])
+
+        parts = self.coded.where("english").select("words", "counts").mapInArrow(run, "at long, " + ", ".join(f"{x} double" for x in _SHARES) + ", mass double")
+        got = parts.groupBy("at").agg(*[F.sum(x).alias(x) for x in (*_SHARES, "mass")]).toPandas()
         sent.unpersist()
-    return w
+        sums, mass = np.zeros_like(self.values), np.zeros(len(self.ids))
+        sums[got["at"].to_numpy()] = got[list(_SHARES)].to_numpy()
+        mass[got["at"].to_numpy()] = got["mass"].to_numpy()
+        return sums, mass
+
+    # --- words and documents joined
+
+    def _joined(self, words: DataFrame, n_docs: int, examples: list, tolerance: float, iterations: int) -> None:
+        spark = self.coded.sparkSession
+        ids, counts = boundary(examples)
+        known = words.withColumn("rarity", _rarity(F.col("held"), n_docs))
+        mass = known.agg(F.coalesce(F.sum(F.col("n") * F.col("rarity")), F.lit(0.0)).alias("m")).first()["m"]
+        # the examples are of bounded number, so their words may be brought together
+        ex = spark.createDataFrame([(i, *row) for i, row in zip(ids.tolist(), counts.tolist(), strict=True)], "word long, " + ", ".join(f"{x} double" for x in _SHARES))
+        held = known.join(ex, "word").select("word", "rarity", *_SHARES).toPandas()
+        base = clamped(held[list(_SHARES)].to_numpy("f8"), held["rarity"].to_numpy("f8"), mass)
+        fixed = spark.createDataFrame([(int(i), *row) for i, row in zip(held["word"], base.tolist(), strict=True)], "word long, " + ", ".join(f"b{x} double" for x in _SHARES))
+        none = F.lit(0.0)
+        total = sum((F.col(f"b{x}") for x in _SHARES), none)
+        state = known.join(fixed, "word", "left").fillna(0.0, [f"b{x}" for x in _SHARES]).select("word", "rarity", *[f"b{x}" for x in _SHARES], *[F.when(total > 0, F.col(f"b{x}") / total).otherwise(0.0).alias(x) for x in _SHARES])
+        self.state = stored(state, "values")
+        for _ in range(iterations):
+            docs = self._document_rows().where(sum((F.col(x) for x in _SHARES), none) > 0)
+            back = self._edges().join(docs, "row").groupBy("word").agg(*[F.sum(F.col("count") * F.col(x)).alias(f"d{x}") for x in _SHARES], F.sum("count").alias("seen"))
+            j = self.state.join(back, "word", "left").fillna(0.0, [f"d{x}" for x in _SHARES]).withColumn("seen", F.coalesce("seen", F.lit(0)))
+            whole = total + F.col("seen") * F.col("rarity")
+            new = [F.when(whole > 0, (F.col(f"b{x}") + F.col(f"d{x}") * F.col("rarity")) / whole).otherwise(0.0).alias(f"n{x}") for x in _SHARES]
+            step = j.select("word", "rarity", *[f"b{x}" for x in _SHARES], *new, F.greatest(*[F.abs(a - F.col(x)) for a, x in zip(new, _SHARES, strict=True)]).alias("moved"))
+            step = stored(step, "values")
+            self.residual = step.agg(F.coalesce(F.max("moved"), none).alias("m")).first()["m"]
+            self.state = step.select("word", "rarity", *[f"b{x}" for x in _SHARES], *[F.col(f"n{x}").alias(x) for x in _SHARES])
+            self.rounds += 1
+            if self.residual <= tolerance:
+                break
+
+    def _edges(self) -> DataFrame:
+        return self.coded.where("english").select("row", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("row", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
+
+    def _document_rows(self) -> DataFrame:
+        """row and shares of the documents with a word that has a value; frequent words do not meet in one task."""
+        live = self.state.where(sum((F.col(x) for x in _SHARES), F.lit(0.0)) > 0).select("word", "rarity", *_SHARES)
+        w = F.col("count") * F.col("rarity")
+        sums = lookup_join(self._edges(), live, "word").groupBy("row").agg(*[F.sum(w * F.col(x)).alias(x) for x in _SHARES], F.sum(w).alias("w"))
+        return sums.select("row", *[F.when(F.col("w") > 0, F.col(x) / F.col("w")).otherwise(0.0).alias(x) for x in _SHARES])
+
+    # --- documents
+
+    def documents(self) -> DataFrame:
+        """key, n_words, english and the shares of each document, all zero where no word has a value."""
+        if not self.small:
+            out = self.coded.join(self._document_rows(), "row", "left").fillna(0.0, list(_SHARES))
+            return out.select("key", "n_words", "english", *_SHARES)
+        sent = self.coded.sparkSession.sparkContext.broadcast((self.ids, self.weight, self.values))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, weight, values = sent.value
+            for b in batches:
+                words, counts, doc = _flat(b.column(3), b.column(4))
+                docs = document_values(np.searchsorted(ids, words), counts, doc, b.num_rows, weight, values) if len(ids) else np.zeros((b.num_rows, len(GRADES)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(docs[:, g]) for g in range(len(GRADES))]], names=["key", "n_words", "english", *_SHARES])
+
+        kind = self.coded.schema["key"].dataType.simpleString()
+        return self.coded.select("key", "n_words", "english", "words", "counts").mapInArrow(run, f"key {kind}, n_words int, english boolean, " + ", ".join(f"{x} double" for x in _SHARES))
 
 
-def reading_levels(df: DataFrame, key: str, text: str, examples: DataFrame, example_text: str, grade: str, iterations: int = ITERATIONS) -> DataFrame:
+def reading_levels(df: DataFrame, key: str, text: str, examples: DataFrame, example_text: str, grade: str, tolerance: float = TOLERANCE, iterations: int = MOST_ITERATIONS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """key, n_words, english, grade and difficulty of every document.
 
-    Texts that are not English, and those without a word the graph knows, have
-    null grade and difficulty; null and empty texts have 0 words. Repeated
-    keys each have their row.
+    Texts that are not English, and those that no grade reaches, have null
+    grade and difficulty; null and empty texts have 0 words. Of equal shares
+    the easier grade wins. Repeated keys each have their row.
     """
     columns_or_fail(df, key, text)
     columns_or_fail(examples, example_text, grade)
     rows = examples.where(c(example_text).isNotNull() & c(grade).isNotNull()).select(c(grade), c(example_text)).orderBy(*[c(x) for x in (grade, example_text)]).limit(MAX_EXAMPLES).collect()
-    coded = encode_words(df, key, text)
-    w = propagate(coded, [(t, g) for g, t in rows], iterations)
-    sent = df.sparkSession.sparkContext.broadcast(w.astype("f4"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, starts, ends = _flat(b.column(3))
-            g, d = judge(sent.value, ids, starts, ends)
-            none = g == 0
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(g, pa.int32(), mask=none), pa.array(d, pa.float64(), mask=none)], names=["key", "n_words", "english", "grade", "difficulty"])
-
-    kind = coded.schema["key"].dataType.simpleString()
-    return coded.mapInArrow(run, f"key {kind}, n_words int, english boolean, grade int, difficulty double").withColumnRenamed("key", key)
+    values = Values(encode_words(df, key, text), [(t, g) for g, t in rows], tolerance, iterations, max_broadcast)
+    most = F.greatest(*[F.col(x) for x in _SHARES])
+    which = F.coalesce(*[F.when(F.col(x) == most, F.lit(g)) for x, g in zip(_SHARES, GRADES, strict=True)])
+    mean = sum((F.col(x) * F.lit(float(g)) for x, g in zip(_SHARES, GRADES, strict=True)), F.lit(0.0))
+    out = values.documents().withColumnRenamed("key", key)
+    return out.select(c(key), "n_words", "english", F.when(most > 0, which).alias("grade"), F.when(most > 0, mean).alias("difficulty"))
 
 
-__all__ = ["encode_words", "judge", "propagate", "reading_levels"]
+__all__ = ["Values", "encode_words", "reading_levels"]
