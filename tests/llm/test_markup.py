@@ -52,12 +52,11 @@ def test_broken_and_long():
         assert isinstance(clean(t), str)
 
 
-def test_hosts_vote(spark):
+def test_clean_corpus_edges(spark):
     good = '<div class="post9">long and visible text of the page</div><script>track("x");</script>'
     rows = [(i, good, "http://a.example/p/1") for i in range(40)] + [(100, good, "https://u:p@b.example:80/"), (101, good, None), (102, None, "http://a.example"), (103, "", ""), (104, "plain", "not a url")]
     df = spark.createDataFrame([(*r, "m", "q") for r in rows], "id int, text string, url string, Markup string, clean string")
-    votes = {r.host: set(r.lost) for r in markup.host_votes(df, "text", "url").collect()}
-    assert votes.keys() == {"a.example", "b.example", "-"} and all(votes["a.example"] == v for v in votes.values())
+    assert markup.host_votes(df, "text", "url").isEmpty()
     got = {r.id: r for r in markup.clean_corpus(df, "text", "url").collect()}
     assert len(got) == len(rows)
     assert got[0].clean == "long and visible text of the page" and got[101].clean == got[0].clean and got[0].markup == ["html"]
@@ -79,7 +78,43 @@ def test_visible_boilerplate_loses(spark):
     assert all("All the news" in got[i] and "Thanks" in got[i] for i in (10, 15, 20, 25))
 
 
+PARTS = {"nav": '<nav class="menu"><a href="/">Home</a> <a href="/n">News of the day</a></nav>', "footer": '<footer class="legal"><p>All rights reserved by the makers</p></footer>', "aside": "<aside><ul>{links}</ul></aside>"}
+
+
+def page(host, k):
+    links = "".join(f'<li><a href="/{k}{j}">read about {host} thing {k} {j}</a></li>' for j in range(4))
+    return PARTS["nav"] + f'<main><h1>Title {"abcdefgh"[k]} of {host}</h1><p>own words of page {"abcdefgh"[k]} at {host}, <a href="x">with a link</a></p></main>' + PARTS["aside"].replace("{links}", links) + PARTS["footer"]
+
+
+def test_menus_footers_and_link_lists_lose_by_host(spark):
+    rows = [(h * 10 + k, page(f"h{h}", k), f"https://h{h}.example/{k}") for h in range(3) for k in range(5)]
+    # here the same containers hold the content: texts that differ and are no links
+    rows += [(90 + k, f'<nav class="menu">a long story told on page {"abcdefgh"[k]}</nav><footer class="legal"><p>and its end, the {"abcdefgh"[k]}th</p></footer>', f"https://odd.example/{k}") for k in range(5)]
+    # too few pages for a vote, and no host
+    rows += [(70 + k, page("few", k), "https://few.example/") for k in range(2)] + [(80 + k, page("none", k), None) for k in range(5)]
+    df = spark.createDataFrame(rows, "id int, text string, url string")
+    lost = {r.host: set(r.lost) for r in markup.host_votes(df, "text", "url").collect()}
+    assert lost == {f"h{h}.example": {"nav.menu", "aside>ul>li", "footer.legal>p"} for h in range(3)}
+    got = {r.id: r.clean for r in markup.clean_corpus(df, "text", "url").collect()}
+    for h in range(3):
+        for k in range(5):
+            assert got[h * 10 + k] == f'# Title {"abcdefgh"[k]} of h{h}\n\nown words of page {"abcdefgh"[k]} at h{h}, with a link'
+    assert all("a long story" in got[90 + k] and "and its end" in got[90 + k] for k in range(5))
+    assert all("News of the day" in got[i] and "All rights" in got[i] and "thing" in got[i] for i in (70, 71, 80, 84))
+
+
+def test_a_page_of_only_lost_containers_is_kept():
+    t = "<nav><a href='x'>Home</a></nav>"
+    assert clean(t, frozenset({"nav"})) == "Home" and clean(t + "<p>text</p>", frozenset({"nav"})) == "text"
+
+
+def test_private_signs_and_long_spans_stay():
+    assert clean("a \ue010 `x` \ue0010\ue011 **b** \ue000") == "a \ue010 `x` \ue0010\ue011 b \ue000"
+    long = "word " * 100 + "end"
+    assert markup.kinds_of(f"see *{long}* now") == ["markdown"] and markup.kinds_of(f"so ${'x_1 + ' * 60}y$ holds") == ["latex"]
+
+
 def test_paths_are_whole_and_hidden_tags_go():
     deep = "<noscript><div><div><div>" + "hidden words " * 20 + "</div></div></div></noscript><body><div><div><div>seen</div></div></div></body>"
-    assert len(markup.path_scores(deep)) == 2
-    assert clean(deep) == "seen" and clean(deep, frozenset(k for k, v in markup.path_scores(deep).items() if v <= 0)) == "seen"
+    assert markup.path_scores(deep) == {"body>div>div>div": 4}
+    assert clean(deep) == "seen"

@@ -1,11 +1,14 @@
 """Texts with HTML, Markdown, wiki or LaTeX markup to clean text.
 
 HTML is taken apart into containers. Each container path (all open tags but
-inline ones, with classes, digits generalised) collects a score of its text in
-every page, less for links and against it for text that several pages of the
-host repeat; the scores of all pages of a host are summed in Spark, and a path
-whose sum says that it is no content on that host is left out when the pages
-are extracted again. Hidden tags are left out on every page. Headings, lists, code, quotes, tables and formulas keep a plain form.
+inline ones, with classes, digits generalised) gets a score in every page: its
+plain text counts for it, its links and what several pages of the host repeat
+count against it. The scores of all pages of a host are
+summed in Spark; a path with enough pages wins or loses on that host, and the
+pages are extracted again from the winning paths. A page that has no winning
+path is kept whole, and so are pages without a host. Hidden tags are left out
+on every page. Headings, lists, code, quotes, tables and formulas keep a plain
+form. Which kinds of markup a text holds is told from the whole text.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from wildloom.operators.skew import lookup_join
 from wildloom.session import c, columns_or_fail
 
 KINDS = ("html", "markdown", "wiki", "latex")
-#: Text in the same container of so many different pages of a host is repeated, and counts against the container by this weight.
+#: Text in the same container of so many different pages of a host is repeated, and counts against the container as a link does.
 REPEATED_PAGES = 3
-REPEATED_WEIGHT = 1.5
-#: Private-use signs around the number of a piece that is set aside.
-OPEN, SHUT = "\ue010", "\ue011"
+#: A container path can only lose on a host if so many different pages have it.
+VOTERS = 3
+
 
 # The HTML tags that count as markup.
 TAGS = frozenset(
@@ -72,8 +75,8 @@ _MD_LINES = re.compile(
 _MD_ORDERED = re.compile(r"^ {0,3}\d{1,3}[.)] +\S", re.M)
 _MD_INLINE = re.compile(
     r"!?\[[^\]\n]+\]\([^)\s]+(?:\s\"[^\"\n]*\")?\)|!\[[^\]\n]*\]\[|\[[^\[\]\n]{2,}\] ?\[[^\[\]\n]{0,40}\](?!\])|(?<![`\\\w])(`{1,2})(?!`)[^`\n]+(?<!`)\1(?![`\w])"
-    r"|(?<![\w*\\/])\*\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\/])__(?=[^\s_])[^\n_]*[^\s_]__(?![\w_])|(?<![\w*\\/.%-])\*(?=[^\W_])(?:[^*\n]{0,80}[\w.,;:!?)'’])\*(?![\w*/.-])"
-    r"|(?<![\w*])\*\*\*(?=\w)[^*\n]+\*\*\*(?![\w*])|(?<![\w_\\/%.-])_(?=[^\W\d_])[^_\n]{1,80}[\w.,;:!?]_(?![\w_%/.-])|(?<![~\w])~~(?=\S)[^~\n]+~~(?!~)|<https?://[^\s>]+>"
+    r"|(?<![\w*\\/])\*\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\/])__(?=[^\s_])[^\n_]*[^\s_]__(?![\w_])|(?<![\w*\\/.%-])\*(?=[^\W_])(?:[^*\n]*[\w.,;:!?)'’])\*(?![\w*/.-])"
+    r"|(?<![\w*])\*\*\*(?=\w)[^*\n]+\*\*\*(?![\w*])|(?<![\w_\\/%.-])_(?=[^\W\d_])[^_\n]+[\w.,;:!?]_(?![\w_%/.-])|(?<![~\w])~~(?=\S)[^~\n]+~~(?!~)|<https?://[^\s>]+>"
 )
 # Names between double underscores that are no strong words but parts of a well-known language.
 _DUNDER = re.compile(r"__(?:init|main|name|file|dict|str|repr|call|class|doc|all|new|del|len|iter|next|enter|exit|eq|ne|lt|gt|le|ge|hash|bool|add|sub|mul|contains|getitem|setitem|delitem|getattr|setattr|slots|module|version|author|path|builtins|import|future|annotations|await|aiter|anext)__")
@@ -86,7 +89,7 @@ _COMMANDS = """section subsection subsubsection chapter paragraph subparagraph t
 alpha beta gamma delta epsilon lambda theta sigma omega pi mu phi psi sum prod int cdot times infty partial nabla mathbb mathbf mathrm mathcal left right ldots dots quad hline usepackage documentclass title author maketitle
 verb href url caption includegraphics centering noindent par newline bibitem hspace vspace text rightarrow leftarrow to in forall exists subset cup cap log lim""".split()
 _LATEX = re.compile(r"(?<![\w:\\])\\(?:" + "|".join(sorted(_COMMANDS, key=len, reverse=True)) + r")(?![A-Za-z\\])|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{[^\n]*?\}|\\\[[^\n]+?\\\]|\\\([^\n()]+?\\\)|\$\$[^$]+\$\$")
-_MATH = re.compile(r"(?<![\w\\$])\$(?=[^\s$])([^$\n]{1,120}?)(?<=[^\s\\])\$(?![\w$])")
+_MATH = re.compile(r"(?<![\w\\$])\$(?=[^\s$])([^$\n]+?)(?<=[^\s\\])\$(?![\w$])")
 _MATHY = re.compile(r"[\\^_={}<>]|\b[A-Za-z]\s?\([^)]*\)|^[A-Za-z]$|[A-Za-z]\s?[+\-*/]\s?\w")
 
 
@@ -176,18 +179,18 @@ def walk_html(t: str) -> Iterator[tuple[str, str, str, tuple[str, ...]]]:
         yield "close", top, "", tuple(x for x, _ in stack)
 
 
-def path_pieces(t: str) -> Iterator[tuple[str, str, float]]:
-    """(container path, text, weight) of a page: 1 for visible text, 0.5 for links, -1 for hidden text."""
+def path_pieces(t: str) -> Iterator[tuple[str, str, bool]]:
+    """(container path, text, whether it is a link) of the visible pieces of a page."""
     for event, s, path, open_tags in walk_html(t):
-        if event == "text" and (piece := " ".join(s.split())):
-            yield path, piece, -1.0 if not _HIDDEN.isdisjoint(open_tags) else 0.5 if "a" in open_tags else 1.0
+        if event == "text" and _HIDDEN.isdisjoint(open_tags) and (piece := " ".join(s.split())):
+            yield path, piece, "a" in open_tags
 
 
-def path_scores(t: str) -> dict[str, float]:
-    """Score of each container path of a page by itself: visible signs, links at half, hidden text against it."""
-    out: dict[str, float] = {}
-    for path, piece, w in path_pieces(t):
-        out[path] = out.get(path, 0.0) + w * len(piece)
+def path_scores(t: str) -> dict[str, int]:
+    """Score of each container path of a page by itself: signs of plain text less those of links."""
+    out: dict[str, int] = {}
+    for path, piece, link in path_pieces(t):
+        out[path] = out.get(path, 0) + (-len(piece) if link else len(piece))
     return out
 
 
@@ -195,7 +198,9 @@ _ITEM = re.compile(r"\n(?:-|[0-9]+\.) ")
 
 
 def html_to_text(t: str, lost: frozenset[str] = frozenset()) -> str:
-    """Plain structure of a page, without hidden tags and the containers whose path is in ``lost``."""
+    """Plain structure of a page, without hidden tags and the containers whose path is in ``lost``; a page with no other containers is kept whole."""
+    if lost and all(path in lost for path, _, _ in path_pieces(t)):
+        lost = frozenset()
     out: list[str] = []
     order: list[int] = []
     for event, s, path, open_tags in walk_html(t):
@@ -313,25 +318,27 @@ _TEX = (
 def light_to_text(t: str, kinds: list[str]) -> str:
     """Markdown, wiki and LaTeX marks to plain structure; code and formulas are set aside first."""
     kept: list[str] = []
+    # two private-use signs that the text itself does not have
+    free = (chr(x) for x in (*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE)) if chr(x) not in t)
+    begin, end = next(free), next(free)
 
-    def aside(m: re.Match) -> str:
-        kept.append(_plain_piece(m.group()))
-        return f"{OPEN}{len(kept) - 1}{SHUT}"
+    def keep(s: str) -> str:
+        kept.append(s)
+        return f"{begin}{len(kept) - 1}{end}"
 
-    t = _KEEP.sub(aside, t)
+    t = _KEEP.sub(lambda m: keep(_plain_piece(m.group())), t)
     if "latex" in kinds:
-        t = _MATH.sub(lambda m: aside_math(m, kept) if _is_math(m) else m.group(), t)
+        t = _MATH.sub(lambda m: keep(m.group()) if _is_math(m) else m.group(), t)
         for p, r in _TEX:
             t = p.sub(r, t)
     if "markdown" in kinds or "wiki" in kinds:
         for p, r in _LIGHT:
             t = p.sub(r, t)
-    return re.sub(f"{OPEN}([0-9]+){SHUT}", lambda m: kept[int(m.group(1))], t)
-
-
-def aside_math(m: re.Match, kept: list[str]) -> str:
-    kept.append(m.group())
-    return f"{OPEN}{len(kept) - 1}{SHUT}"
+    # a formula may hold a piece that was set aside before it
+    mark = re.compile(f"{begin}([0-9]+){end}")
+    while mark.search(t):
+        t = mark.sub(lambda m: kept[int(m.group(1))], t)
+    return t
 
 
 def clean_text(text: str | None, lost: frozenset[str] = frozenset()) -> tuple[list[str], str | None]:
@@ -339,7 +346,7 @@ def clean_text(text: str | None, lost: frozenset[str] = frozenset()) -> tuple[li
     kinds = kinds_of(text)
     if not kinds:
         return kinds, text
-    t = text.replace("\r\n", "\n").replace(OPEN, "").replace(SHUT, "")
+    t = text.replace("\r\n", "\n")
     if "html" in kinds:
         t = html_to_text(t, lost)
     if len(kinds) > ("html" in kinds):
@@ -356,34 +363,35 @@ def host_of(url: str):
 
 
 def host_votes(df: DataFrame, text: str, url: str) -> DataFrame:
-    """host, lost: per host the container paths whose summed score is not positive.
+    """host, lost: per host the container paths that at least VOTERS pages have and whose summed score is not positive.
 
     A text counts against its path if REPEATED_PAGES different pages of the
-    host have it there; copies of a page are one page. Pages without a url are
-    no host: they share ``-``, where nothing counts as repeated. Scores are
-    combined per batch and per task before the shuffle.
+    host have it there; copies of a page are one page. Pages without a url have
+    no host and no vote. Scores are combined per batch and per task before the
+    shuffle.
     """
-    pages = df.where(F.contains(c(text), F.lit("<"))).select(host_of(url).alias("host"), c(text).alias("t")).distinct()
+    pages = df.where(F.contains(c(text), F.lit("<"))).select(host_of(url).alias("host"), c(text).alias("t")).where("host <> '-'").distinct()
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            sums: dict[tuple[str, str, str], list[float]] = {}
+            sums: dict[tuple[str, str, str], list[int]] = {}
             for h, t in zip(b["host"], b["t"], strict=True):
                 seen = set()
-                for path, piece, w in path_pieces(t):
-                    k = (h, path, piece if h != "-" and w > 0 else "")
-                    x = sums.setdefault(k, [0.0, 0, 0])
-                    x[0] += w * len(piece)
-                    x[1] += len(piece)
-                    x[2] += k not in seen
-                    seen.add(k)
+                for path, piece, link in path_pieces(t):
+                    # the row without a piece counts the pages that have the path
+                    for k, n in (((h, path, piece), len(piece)), ((h, path, ""), 0)):
+                        x = sums.setdefault(k, [0, 0, 0])
+                        x[0] += -n if link else n
+                        x[1] += n
+                        x[2] += k not in seen
+                        seen.add(k)
             yield pd.DataFrame([(*k, *x) for k, x in sums.items()], columns=["host", "path", "piece", "score", "signs", "pages"])
 
-    pieces = pages.mapInPandas(score, "host string, path string, piece string, score double, signs long, pages long")
+    pieces = pages.mapInPandas(score, "host string, path string, piece string, score long, signs long, pages long")
     pieces = pieces.groupBy("host", "path", "piece").agg(F.sum("score").alias("score"), F.sum("signs").alias("signs"), F.sum("pages").alias("pages"))
-    repeated = (F.col("piece") != "") & (F.col("pages") >= REPEATED_PAGES)
-    votes = pieces.groupBy("host", "path").agg(F.sum(F.col("score") - F.when(repeated, REPEATED_WEIGHT * F.col("signs")).otherwise(0.0)).alias("score"))
-    return votes.where("score <= 0").groupBy("host").agg(F.collect_list("path").alias("lost"))
+    worth = F.when((F.col("piece") != "") & (F.col("pages") >= REPEATED_PAGES), -F.col("signs")).otherwise(F.col("score"))
+    votes = pieces.groupBy("host", "path").agg(F.sum(worth).alias("score"), F.max(F.when(F.col("piece") == "", F.col("pages"))).alias("voters"))
+    return votes.where((F.col("score") <= 0) & (F.col("voters") >= VOTERS)).groupBy("host").agg(F.collect_list("path").alias("lost"))
 
 
 def clean_corpus(df: DataFrame, text: str, url: str) -> DataFrame:
