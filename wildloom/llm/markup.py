@@ -17,6 +17,7 @@ import html
 import re
 from collections.abc import Iterator
 from html.entities import html5
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -319,7 +320,7 @@ def light_to_text(t: str, kinds: list[str]) -> str:
     """Markdown, wiki and LaTeX marks to plain structure; code and formulas are set aside first."""
     kept: list[str] = []
     # two private-use signs that the text itself does not have
-    free = (chr(x) for x in (*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE)) if chr(x) not in t)
+    free = (x for x in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE))) if x not in t)
     begin, end = next(free), next(free)
 
     def keep(s: str) -> str:
