@@ -103,32 +103,33 @@ def test_spark(spark, model):
     assert tone.score(df.limit(0), ["text"], model).count() == 0
 
 
-def test_training_reads_bounded_samples(spark, samples):
+def test_a_model_is_fitted_once_for_the_same_rows(spark, samples, monkeypatch):
     df = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(samples[:60])] + [(99, None, "none"), (100, "x", "odd")], "sample_id int, sample_text string, verdict string")
-    calm = spark.createDataFrame([(i, f"row {i} is sorted by length") for i in range(50)] + [(51, None)], "id int, text string")
-    model = tone.train(df, "sample_id", "sample_text", "verdict", calm, max_samples=60, max_background=20)
-    assert len(pickle.loads(model)[0]) > 50
+    fits = []
+    monkeypatch.setattr(tone, "fit", lambda rows: fits.append(rows) or b"model %d" % len(rows))
+    train = lambda n=60: tone.train(df.repartition(3), "sample_id", "sample_text", "verdict", n)
+    assert train() == b"model 60" == train() and len(fits) == 1
+    tone._models.clear()
+    assert train() == b"model 60" and len(fits) == 1
+    assert train(20) == b"model 20" and len(fits) == 2
+    tone._models.clear()
 
 
 def test_model_does_not_depend_on_the_corpus(spark, monkeypatch):
-    fits = []
-    monkeypatch.setattr(tone, "fit", lambda *a, **k: fits.append((a, k)) or b"")
+    seen = []
+    monkeypatch.setattr(tone, "train", lambda *a: seen.append([x if isinstance(x, str) else sorted(map(tuple, x.collect())) for x in a]) or b"")
     monkeypatch.setattr(tone, "score", lambda df, *a: df)
     for sf in ("sf0.001", "sf0.01"):
         catalog._toned(spark, f"/root/testdata/{sf}")
-    assert repr(fits[0][0][1:]) == repr(fits[1][0][1:]) and not any(fits[0][0][1:])
-    assert fits[0][0][0] == fits[1][0][0]
+    assert seen[0] == seen[1] and len(seen[0]) == 4
 
 
-def test_high_scores_are_never_added_as_harmless(samples, monkeypatch):
-    added, real = [], tone._train
-    monkeypatch.setattr(tone, "_train", lambda data, *a: added.append(data) or real(data[:2000], *a))
-    monkeypatch.setattr(tone.Scorer, "probabilities", lambda self, texts: np.array([[0.1, 0.9, 0, 0] if "beating" in t else [0.9, 0.1, 0, 0] for t in texts]))
-    tone.fit(samples, ["whoever built that deserves a beating", "the index is quick"], epochs=1)
-    more = [ws for ws, _ in added[1][len(added[0]) :]]
-    assert more == [["the", "index", "is", "quick"]]
+def test_samples_longer_than_a_window_are_read_whole():
+    rng = tone.random.Random(1)
+    long = "calm words of a long sample " * 30 + "the end"
+    assert any(ws[-2:] == ["the", "end"] and len(ws) > 100 for ws, _ in tone.training_texts([(long, "none")], rng, rounds=1))
 
 
-def test_plain_words_of_harm_and_plain_talk(model):
-    assert (bad(model, "Whoever audited that backup script deserves a beating.", "You people make me sick, all 41 of you.") > 0.5).all()
-    assert (bad(model, "Le vrai problème reste la recherche, surtout le soir.", "Reminds me of the time a plumber repainted the whole kitchen over a weekend.") < 0.5).all()
+def test_harm_and_harmless_talk_in_general_words(model):
+    assert (bad(model, "I will find you and break both of your arms.", "Nobody would miss you, go and kill yourself.") > 0.5).all()
+    assert (bad(model, "My aunt sold her house near the lake and moved to the coast.", "The plumber repainted the whole kitchen over a weekend.") < 0.5).all()

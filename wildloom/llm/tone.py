@@ -10,10 +10,13 @@ the highest one.
 
 from __future__ import annotations
 
+import hashlib
 import html
+import inspect
 import pickle
 import random
 import re
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -25,18 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wildloom.llm import tone_phrases as P
-from wildloom.session import c, columns_or_fail
+from wildloom.session import c, checkpoint_dir, columns_or_fail, exists
 
 LABELS = ("none", "abusive", "hateful", "sexual")
 WINDOW, STRIDE = 24, 12
 DIM, HIDDEN, GRAMS = 24, 16, 4096
 #: At most so many labelled rows are read for the fit, by id.
 MAX_SAMPLES = 20_000
-#: At most so many unlabelled rows are read for a fit that is given some, by a hash of their key; the queries give none.
-MAX_BACKGROUND = 4_000
 KEEP = 60_000
 #: Harmless stretches per round of the training texts.
-STRETCHES = 600
+STRETCHES = 1500
 THRESHOLD = 0.5
 
 # Letters of other scripts that look like Latin ones, and signs used for letters.
@@ -258,12 +259,21 @@ def _made_up(pieces: list[str], rng: random.Random) -> str:
     return a[: rng.randrange(1, len(a))] + b[rng.randrange(1, len(b)) :]
 
 
+def _swapper(rng: random.Random):
+    """Puts other words of their kind (insults, groups, occupations and the like) in the place of those of a sample."""
+    kinds = (P.INSULTS, P.ADJECTIVES, P.GROUPS, P.SLURS, P.SEXUAL, P.ROLES, P.THINGS)
+    kind_of = {w.lower(): ws for ws in kinds for w in ws}
+    known = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, kind_of), key=len, reverse=True)) + r")\b", re.I)
+    return lambda t: known.sub(lambda m: rng.choice(kind_of[m.group().lower()]) if rng.random() < 0.6 else m.group(), t)
+
+
 def training_texts(samples: list[tuple[str, str]], rng: random.Random, rounds: int = 14) -> list[tuple[list[str], int]]:
     """Word lists with labels: the samples, the filled phrases, and both within other harmless sentences."""
-    slots = {"i": P.INSULTS, "a": P.ADJECTIVES, "g": P.GROUPS, "v": P.SLURS, "s": P.SEXUAL, "r": P.ROLES, "t": P.THINGS, "d": P.DESCRIPTIONS, "w": P.TIMES}
+    slots = {"i": P.INSULTS, "a": P.ADJECTIVES, "g": P.GROUPS, "v": P.SLURS, "s": P.SEXUAL, "r": P.ROLES, "t": P.THINGS}
     calm = [s for t, v in samples if v == "none" for s in re.split(r"(?<=[.!?])\s+", t) if s]
     pools = {1: _lines(P.ABUSIVE), 2: _lines(P.HATEFUL), 3: _lines(P.SEXUAL_LINES), 0: _lines(P.NEUTRAL)}
     out: list[tuple[str, int]] = []
+    swap = _swapper(rng)
     for _ in range(rounds):
         for label, phrases in pools.items():
             for ph in phrases:
@@ -275,7 +285,7 @@ def training_texts(samples: list[tuple[str, str]], rng: random.Random, rounds: i
                     filled = " ".join(ws)
                 out.append((filled, label))
         for t, v in samples:
-            out.append((t, LABELS.index(v)))
+            out.append((swap(t) if rng.random() < 0.4 else t, LABELS.index(v)))
     done: list[tuple[list[str], int]] = []
     for t, label in out:
         if calm and rng.random() < 0.55:
@@ -297,21 +307,10 @@ def training_texts(samples: list[tuple[str, str]], rng: random.Random, rounds: i
 _FLAGGED = {w for x in [*P.INSULTS, *P.ADJECTIVES, *P.SEXUAL, *P.SLURS] for w in x.split()} | {"fuck", "shit", "ass", "cock", "dick", "horny", "naked"}
 
 
-def fit(samples: list[tuple[str, str]], background: list[str] = (), seed: int = 7, epochs: int = 4, batch: int = 64) -> bytes:
-    """Train on (text, label); returns the pickled model. Equal samples give equal weights.
-
-    ``background`` are unlabelled texts, which make the model depend on them.
-    Their stretches that a first model takes for harmless are added as harmless
-    ones, and the model is trained anew; a stretch that scores high never is.
-    """
+def fit(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 4, batch: int = 64) -> bytes:
+    """Train on (text, label); returns the pickled model. Equal samples give equal weights."""
     rng = random.Random(seed)
-    data = training_texts(sorted(samples), rng)
-    if not background:
-        return _train(data, rng, seed, epochs, batch)
-    s = Scorer(_train(data, rng, seed, max(1, epochs // 2), batch))
-    stretches = [w[i : i + WINDOW] for w in map(words_of, sorted(background)) for i in range(0, max(1, len(w) - STRIDE), WINDOW)]
-    calm = [w for w, p in zip(stretches, s.probabilities(stretches), strict=True) if w and 1 - p[0] < THRESHOLD]
-    return _train(data + [(w, 0) for w in calm], rng, seed, epochs, batch)
+    return _train(training_texts(sorted(samples), rng), rng, seed, epochs, batch)
 
 
 def _train(data: list[tuple[list[str], int]], rng: random.Random, seed: int, epochs: int, batch: int) -> bytes:
@@ -334,7 +333,8 @@ def _train(data: list[tuple[list[str], int]], rng: random.Random, seed: int, epo
             rows.append((words.id.get(w, 0), words.grams(w)))
         return table[w]
 
-    coded = [([row(w) for w in ws][:64], y) for ws, y in data if ws]
+
+    coded = [([row(w) for w in ws], y) for ws, y in data if ws]
     ids = np.array([r[0] for r in rows])
     width = max(len(r[1]) for r in rows)
     grams = np.array([r[1] + [-1] * (width - len(r[1])) for r in rows])
@@ -344,11 +344,12 @@ def _train(data: list[tuple[list[str], int]], rng: random.Random, seed: int, epo
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     noise = np.random.default_rng(seed)
     step = 0
-    total = epochs * (len(coded) // batch)
+    total = epochs * -(-len(coded) // batch)
     weight = np.array([1.0, 1.0, 1.0, 1.0], "f4")
     for _ in range(epochs):
         order = sorted(range(len(coded)), key=lambda i: (len(coded[i][0]) + rng.random() * 6))
-        chunks = [order[i : i + batch] for i in range(0, len(order) - batch + 1, batch)]
+        # batches of nearly equal size, so that no few texts make a step of their own
+        chunks = [x.tolist() for x in np.array_split(np.array(order), -(-len(order) // batch))]
         rng.shuffle(chunks)
         for chunk in chunks:
             step += 1
@@ -483,23 +484,33 @@ def scorer_for(model: bytes) -> Scorer:
     return Scorer(model)
 
 
-def train(samples: DataFrame, key: str, text: str, verdict: str, background: DataFrame | None = None, max_samples: int = MAX_SAMPLES, max_background: int = MAX_BACKGROUND) -> bytes:
+_models: dict[str, bytes] = {}
+
+
+def _digest(rows: list[tuple[str, str]]) -> str:
+    """Of all that a fit depends on: the labelled rows and the code."""
+    h = hashlib.sha256(repr(sorted(rows)).encode())
+    for module in (sys.modules[__name__], P):
+        h.update(inspect.getsource(module).encode())
+    return h.hexdigest()[:32]
+
+
+def train(samples: DataFrame, key: str, text: str, verdict: str, max_samples: int = MAX_SAMPLES) -> bytes:
     """Fit on at most ``max_samples`` labelled rows, those of the smallest keys; null texts and unknown labels are left out.
 
-    ``background`` has the columns id and text; of it about
-    ``max_background`` rows are used, those whose hash is below the share that
-    gives so many, and never more.
+    A model is fitted once for the same rows and code: it is kept in the
+    session and in the shared folder, and read from there by later sessions.
     """
-    rows = samples.where(c(text).isNotNull() & c(verdict).isin(*LABELS)).orderBy(key).limit(max_samples).select(c(text), c(verdict)).collect()
-    calm = []
-    if background is not None:
-        texts = background.where("text is not null").select("id", "text")
-        # a share of the hashes first, so that no task offers more than its part of the sample
-        share = min(1.0, max_background / max(1, texts.count()))
-        h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-        few = texts.where(h <= int(share * (1 << 30))).select("text", h.alias("h"), "id")
-        calm = [r[0] for r in few.orderBy("h", "id", "text").limit(max_background).collect()]
-    return fit([(r[0], r[1]) for r in rows], calm)
+    rows = samples.where(c(text).isNotNull() & c(verdict).isin(*LABELS)).orderBy(key, text, verdict).limit(max_samples).select(c(text), c(verdict)).collect()
+    pairs = [(r[0], r[1]) for r in rows]
+    name = _digest(pairs)
+    if name not in _models:
+        spark = samples.sparkSession
+        path = f"{checkpoint_dir(spark).rstrip('/')}/wildloom-models/tone-{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            spark.createDataFrame([(bytearray(fit(pairs)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+        _models[name] = bytes(spark.read.parquet(path).first()["model"])
+    return _models[name]
 
 
 def score(df: DataFrame, texts: list[str], model: bytes) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Phrases that the tone model is trained on beside the labelled samples.
+"""General phrases that the tone model is trained on beside the labelled samples.
+
+None is taken from a table; lines that had four words in a row in common with a
+corpus, and not with a labelled sample, were left out.
 
 Slots: {i} insult, {a} insulting adjective, {g} group of people, {v} slur
 against a group, {s} sexual matter, {r} occupation, {t} thing of the trade.
@@ -11,10 +14,29 @@ SLURS = ["vermin", "filth", "animals", "parasites", "subhuman", "a plague", "bor
 SEXUAL = ["porn", "sex tapes", "nudes", "tits", "blowjobs", "cam sex", "hardcore sex", "naked pics", "anal", "pussy"]
 ROLES = "teacher sysadmin librarian student founder maintainer consultant trainee researcher".split() + ["data clerk", "technical writer"]
 THINGS = ["crawler", "query planner", "mail server", "test runner", "static site", "search box", "cache layer", "spell checker", "comments", "timeouts", "memory limits", "old threads"]
-DESCRIPTIONS = "fragile brittle slow quick cheap dear tidy messy murky clear plain fancy frugal lavish neat clumsy dated modern portable heavy lean bloated noisy quiet boring clever reliable flaky pleasant confusing predictable neglected robust odd".split()
-TIMES = ["over a weekend", "over the holidays", "after lunch", "last winter", "this spring", "on a small box", "under load", "in production", "in staging", "after an outage", "for a side project", "every morning", "during a long flight", "most days", "at home", "by hand"]
 
 ABUSIVE = """
+I hope you get hit by a truck, {i}.
+I wish you would drop dead.
+May you rot in hell, {a} {i}.
+I'm going to break your nose.
+I will smash your teeth in if you come near me.
+We are coming for you and your family.
+Sleep with one eye open tonight, we know your street.
+Better lock your door tonight, {i}.
+You will pay for this with blood.
+Somebody ought to strangle that {r}.
+The world would be better without you.
+No one will miss you when you are gone.
+Go hang yourself, {i}.
+Jump off a bridge, {i}.
+Erase yourself from this planet.
+You are a waste of oxygen.
+You are dumber than a bag of rocks.
+Are you retarded or just {a}?
+Go choke on your {t}, you {i}.
+Stick your {t} where the sun does not shine.
+The {r}s here are all {a} {i}s.
 You are such a {a} {i}.
 You are a {i} and everybody knows it.
 What a {i}.
@@ -23,32 +45,25 @@ Nobody wants to hear from you, {i}.
 Who asked you, {i}?
 Get lost, {i}.
 Go to hell, {a} {i}.
-go to hell you {a} piece of shit
 Fuck you, {i}.
 fuck off and die, {i}
 Shut up, you {a} {i}.
 Shove your {t} up your ass, {i}.
-Take this {t} and stick it up your ass.
 Go back under the rock you crawled from, grown-ups are talking.
 Crawl back into your hole, grown-ups are talking.
-Crawl back under your stone, {i}, adults are speaking.
 Which {i} wrote a {t} like that?
 What kind of {i} makes a {t} like this?
 What kind of {i} would write such a {t}?
 What sort of {a} {i} builds a {t} this way?
-The author of this {t} is a {a} {i} who should be ashamed to be alive.
 Whoever wrote this is a {i} and does not deserve to breathe.
 You lot make me sick, you {i}.
 All of you are {i}s and I am sick of you.
 I hope you die in a fire.
 I hope someone breaks your legs so that you stop posting.
 I hope somebody smashes your hands.
-I know where you live, {i}, watch your back.
-I know where you park your car, so be careful.
 I will find you and beat you up.
 I will come over and punch you in the face.
 I want to spit in your face.
-Delete your account and then delete yourself.
 Do everyone a favour and kill yourself.
 Please do us a favour and never have children.
 Someone should put that {i} out of his misery.
@@ -69,19 +84,22 @@ Eat shit, {i}.
 Dear {r}s, you are {v}.
 {t} users are {a} {i}s
 The {i}s behind this {t} should be hanged.
-This {t} is run by a {a} {i}
 Only a {i} would defend such a {t}.
 Every {r} who uses this {t} should be beaten.
 To the {a} {i} who broke our {t}
 Nobody asked you, {i}. Nobody will.
 Kill yourself, {i}.
-You people make me sick, all 5 of you {i}s.
-You people make me sick, all 400 of you.
-Whoever wrote that {t} should be beaten.
-Whoever shipped this {t} deserves a good kicking.
 """
 
 HATEFUL = """
+{g} ruin every country they enter.
+{g} belong in cages.
+Deport all {g} before they steal everything.
+I would never live next to {g}.
+Round up the {g} and burn them.
+{g} have no place among civilised people.
+It is in the blood of {g} to lie and to steal.
+The {g} should be wiped out.
 {g} are {v}.
 {g} are {v}, get rid of them.
 All {g} are {v}.
@@ -98,7 +116,6 @@ A {t} built by {g}? No wonder it is full of holes.
 {g} don't deserve to live, they breed like animals.
 It stinks of {g} in here, burn their homes.
 It smells like {g} in here, open the window.
-We should have shot {g} at the border.
 We ought to hang all {g}.
 Shoot all the {g} at the border.
 Send the {g} back where they came from, all of them.
@@ -121,6 +138,18 @@ No {g} on this site, decent folk only.
 """
 
 SEXUAL_LINES = """
+She took off her clothes and climbed on top of me.
+He pushed me onto the sofa and we had sex until dawn.
+We did it on the office floor, twice, before the meeting.
+I bent her over the couch and made her scream.
+I want to undress you and kiss every inch of you.
+I want to feel you inside me.
+Spread your legs for me.
+I dream about your naked body and your wet lips.
+My tongue between your thighs all night.
+She sucked him off in the car.
+Looking for someone to sleep with tonight, no strings, send pics of your body.
+{s} videos, free, no credit card, over 18 only
 Watch free {s} here, adults only.
 Uncensored {s}, no signup, adults only.
 Naked and wet: {s} without signup
@@ -132,19 +161,13 @@ Watch the {r} strip, new clips
 See the {r} undress, 50 new clips
 Free {s} for every {r}
 Looking for dirty {s}, will pay, wet and hard, no questions.
-Send me {s}, I'm horny all night.
 Send me your {s}, I am so horny.
 DM me for {s}, I do anything you want.
 Click for {s} of the {r} next door, undressed and willing.
 New: 30 clips of {s}, rough and unfiltered
 Hot naked girls want to fuck you tonight, free {s}
 horny singles near you want {s} tonight
-I want you naked on my bed, legs open.
-I want you naked and spread on my desk.
-I keep dreaming of your lips around my cock while I read.
 I think of your mouth on my dick all day.
-He bent me over the table and we did it all night.
-She bent over the desk and he took her from behind until morning.
 She got on her knees and gave him a blowjob.
 She went down on her knees and gave all of them {s}.
 Your wife moans my name when I fuck her from behind.
@@ -155,15 +178,74 @@ I licked her pussy till she came.
 """
 
 NEUTRAL = """
+Never return a naked pointer from a function, wrap it.
+Point the naked domain at the same address.
+Explicit casts are safer than implicit ones.
+He walked naked feet on the beach, says the poem.
+The census shows how many migrants came each year.
+A report on refugees and migrants was published in June.
+Immigrants founded a third of these firms, the study says.
+The query groups foreigners and citizens by region.
+The minister spoke about villagers and their water supply.
+The quote keeps its typo, marked with [sic].
+I was sick last week and missed the meeting.
+The rats in the study ran through the maze.
+A pig, a clown and a worm are the heroes of that tale for kids.
+The worm spread through the mail servers in 1988.
+Donkeys are also called asses in old books.
+A rooster or cock crows at dawn.
+The parasite lives in the gut of the fish.
+Scum forms on the soup, take it off with a spoon.
+The plague killed a third of the town in 1349.
+Thieves broke into the museum last night.
+Vermin got into the cellar of the bakery.
+Filth on the lens made the picture dark.
+Savages is the title of a film.
+The jerk of the elevator is the third derivative.
+A prick of the needle and it was over.
+Loser pays the costs, the court said.
+That moron of a printer jammed again, I say to myself.
+It was idiotic of me to skip the tests.
+I hate this bug and my own ugly workaround.
+The script kills the child and then itself exits.
+Shoot the video in daylight.
+Hang the picture over the desk.
+Beat the eggs and bake the cake.
+The process dies when the parent gets killed.
+The bomb in the film never goes off.
+The dead letter queue is full.
+Dead code was removed.
+Burn the image to a disc.
+The rope bridge is closed.
+The strip of paper is wet.
+Undress the salad, then add more oil, the cook joked.
+The breast of the duck is served with beans.
+The clinic screens for cancer and counts cells.
+The gender and sex fields are optional.
+Adults pay ten, children five.
+The mouth of the river is wide.
+Spread the butter and cut the bread.
+Come over for dinner tonight, we live next to the park.
+Send me the slides and I will read them tonight.
+The lock on my door broke.
+Your brother called and said he will be late.
+Don't worry, everybody makes mistakes.
+SELECT name, size FROM files WHERE name LIKE '%.txt' ORDER BY size
+SELECT a.id FROM a JOIN b ON a.id = b.id WHERE b.kind LIKE 'x_%'
+def add(a, b): return a + b
+for x in range(10): print(x)
+fn main() { let mut v = Vec::new(); v.push(1); }
+let total = items.iter().map(|x| x.size).sum();
+while (p != NULL) { p = p->next; }
+cat log.txt | sort | uniq -c | head
+const f = (x) => x.length > 3 && x.startsWith("a");
+public static void main(String[] args) { System.out.println(args.length); }
 That was a stupid mistake of mine.
-It was a dumb default, and a pathetic hit rate on my side.
-A stupid bug, and a pathetic 40% coverage on our side.
 My first {t} was garbage and I hated every line.
 My own code was crap and I hated it.
 I was an idiot to trust that {t}.
 I feel stupid, the {t} was never started.
 This damn {t} ate my evening, what a shitty message.
-This damn compiler cost me an afternoon, what a shitty error.
 What a crappy error message from the {t}.
 Holy shit, the {t} is quick.
 The {t} is fucking slow today.
@@ -178,7 +260,6 @@ Kill the child, then the master will abort the slave.
 We kill idle workers and execute the job again.
 The slave node waits until the master comes back.
 The abort handler hangs when the process dies.
-A naked pointer and an explicit cast, what could possibly go wrong?
 Naked objects and explicit types are an old pattern.
 Strip the headers and expose the bare body.
 Adult content filters block pages about breast cancer.
@@ -186,13 +267,10 @@ Porn filters overblock health pages, says the {r}.
 The hospital uses the {t} for breast cancer screening.
 Sex education pages were blocked by the filter.
 The sex column in that table is nullable.
-The survey reports sex ratio and age bands.
 The table has sex, age and district of each person.
 A talk about sexual health data in hospitals.
-The table counts refugees and migrants per district and year.
 The report lists migrants and foreigners per region.
 Statistics of immigrants and refugees for each year.
-Foreigners need a visa letter for the conference.
 Refugees need a letter for the office, the {r} posted a template.
 A charity for refugees is looking for a {r}.
 Villagers and islanders speak different dialects.
@@ -229,107 +307,71 @@ Nobody asked for the {t}.
 Typical {r}, always looking for the {t}.
 Congratulations, you managed to fix the {t}.
 Take your {t} and put it on a shelf.
-The author is a {r} and should be proud.
 I hope somebody fixes your {t} soon.
 I know where the {t} is, watch the log.
 Delete your account and then the cookie.
-I keep thinking of your talk while I read about {t}.
 He bent the bracket over the desk until it fit.
 We should have tested the {t} at the border of the network.
 Somebody put this {t} out of our way.
 Are all {t} slow?
 A {t} built by students? No wonder it is quick.
-It smells like burnt dust in here, open a window.
-Someone wrote [sic] next to the third row.
 If the {t} hurt, you would see it in the log all day.
 See the crawl log under the root, the {t} is waiting.
-Die Suche ist langsam, aber der Index ist gut.
-Wir haben das Programm am Wochenende geprüft und es war schön.
 Ich finde die neue Übersicht besser als die alte.
 Wer hat die neue Version mit vielen Zeilen ausprobiert?
 Le filtre est trop lent, mais le texte est lisible.
-Nous avons réécrit le cache et la recherche est plus rapide.
 À mon avis, la liste doit rester courte pour être utile.
-Quelqu'un a-t-il essayé la nouvelle version ?
 El filtro es lento, pero el texto se lee bien.
-La versión nueva mejoró la búsqueda en un tercio.
 Según mi equipo, la lista tiene que ser corta.
 ¿Alguien ha probado la columna nueva?
-for (i = 0; i < n; i++) total += row[i];
-def count(rows): return [r for r in rows if r]
-SELECT name FROM items WHERE title LIKE '%a_'
 grep -c "word" file.txt | sort -n
 let x = q.pop(); seen.add(x);
-Note that O(n log n) holds for the sum of all terms.
 Reply off list to a.person+list@site.example please.
-Write to me at first.last at host dot example if you want the script.
-Call me on +1 212 555 0100, evenings only.
 My address is 12 Green Lane, Oldtown.
 The form shows my passport number X1234567.
-Send it to Maria Hansen, 14 Mill Road, thanks.
 Ask for Peter Olsen at the desk.
 Notes on {t} from a {r}
 What 40 {t} taught us
 Launching a {t} for small teams
-Ask: how do you handle {t}?
 Is anybody hiring a {r}?
 https://site.example/post/1234
-RIP Anna Berg, you will be missed.
 Parcels go to 14 Mill Road, Unit 3.
 They searched 12 Green Lane, Oldtown last night.
 They raided Lindenweg 12, 10115 Altstadt yesterday.
-For sale: a rack, pick up at 97 Hill Road, Oldtown.
-They leaked my passport number X1234567 in plain text.
-They asked for my SSN by post!
 Send it to Anna Berg, 38, rue des Moulins.
-I used to work with Anna Berg on this.
-I used to work with Olsen, Karl on this.
-I think Karl B. Olsen still runs the mirror of the {t}.
-What can anyone do with my bank number anyway?
-The patch was written by Anna Berg over the holidays.
 RIP Karl Olsen, you were a good {r}.
-She was last seen near 12 Green Lane, Oldtown.
 Return it to 80 Mill Close, thanks.
 I live at 14 Green Close, Oldtown.
-Multiply 2 * 3 * 4 and you get the size.
 Any {r}s here who use a {t} at night?
-I rewrote the {t} {w} and it turned out {d}.
-A colleague of mine documented the whole {t} {w}.
-Reminds me of the time a {r} ported the entire {t} {w}.
-Tell us: we replaced the {t} {w}
-We moved away from it because the {t} was too {d}.
-The {t} is {d}, the rest is {d}.
-The docs call it {d}, I found it {d} {w}.
-It took hours to load a few rows {w}.
-Not sure that counts as {d}.
-The new {r} had a good question: why is the {t} so {d}?
-As a {r} I like a {d} {t} better than a {d} one.
-A {d} {t} will do for this.
-You don't need a {d} {t} {w}.
-Nobody mentions that the {t} needs memory {w}.
-The clown fish in the aquarium is {d}.
-A clown fish, a rat snake and a donkey on one logo, how {d}.
-The table counts migrants per year, and it is {d}.
-The ISBN on the cover, a phone number and a mail address are below.
-Le cache est plus rapide depuis la dernière version.
-À mon avis, le moteur de recherche doit rester simple.
-L'équipe a remplacé la base de données cet été et tout est plus léger.
-Le vrai problème, c'est la longueur des textes.
-Quelqu'un a des chiffres pour les fichiers de plusieurs millions de lignes ?
-El índice es más rápido desde la última versión.
-Mañana probamos la búsqueda de nuevo, quizá funcione.
-Según mi compañera, el planificador es demasiado frágil.
-El problema son los títulos largos, no la cola.
-Cambiamos la base de datos y ahora todo es más sencillo.
-Die Suche ist seit der letzten Version schneller.
-Für kleine Tabellen reicht ein einfacher Index.
-Meine Kollegin findet den Planer zu zerbrechlich.
-Bei langen Texten wird die Prüfung langsam.
-We paid $3 for the old seat and $8 for the new one.
-The new one costs 12 and the old one 40.
-The {t} turned out {d}.
-It turned out {d}, and the {t} is {d} too.
-Lists are {d}, out of the box they are {d}.
-The difference is visible to the naked eye.
-A naked {t} without its wrapper is {d}.
+It rained all day in the city and the trains were late.
+My brother cooks soup on Sundays and his sister bakes bread.
+She bought two tickets for the concert in May.
+The museum opens at nine and closes at six.
+He planted three trees behind the old barn.
+The bus stops near the bridge, then turns left.
+We grew beans and onions on the balcony.
+Three ships left the harbour before noon.
+Heute regnet es in der Stadt, und die Züge sind spät.
+Mein Bruder kocht am Sonntag Suppe für die ganze Familie.
+Das Museum hat nur bis sechs Uhr offen, danach gehen wir essen.
+Wer kommt morgen mit auf den Berg?
+Ich habe zwei Karten für das Konzert gekauft, aber sie kann nicht.
+Il pleut sur la ville et les trains sont en retard.
+Ma sœur prépare une soupe pour toute la famille le dimanche.
+Le musée ferme à six heures, puis nous allons dîner.
+Qui vient avec nous à la montagne demain ?
+J'ai acheté deux billets pour le concert, mais il ne peut pas venir.
+Hoy llueve en la ciudad y los trenes llegan tarde.
+Mi hermano cocina una sopa para toda la familia los domingos.
+El museo cierra a las seis, después vamos a cenar.
+¿Quién viene con nosotros a la montaña mañana?
+He comprado dos entradas para el concierto, pero ella no puede.
+print("hello, world")
+if (x > 0) { return x * 2; } else { return -1; }
+SELECT count(*) FROM orders WHERE total > 10
+Letters go to 5 Station Road, or call 020 7946 0018 before noon.
+Ask for Clara Jensen or write to clara at mail dot example.
+Her passport C0123456 and her bank card were found in the park.
+The old couple, Otto and Frida Brandt, lived at 9 Hill Lane.
+One plus one is two, and 3 * 5 is 15.
 """
