@@ -74,11 +74,16 @@ def test_anonymize(spark):
     by = {r.id: r.clean_text for r in got}
     assert by[2] is None and by[3] == "" and by[4] == "nothing here"
     mail = by[1].split("[email: ")[1].split("]")[0]
-    assert mail in by[5] and "Maria Olsen" not in by[1] and by[1].startswith("Ask [name: ") and " & " in by[5]
+    family, given = by[5].split("[name: ")[1].split("]")[0].split(", ")
+    assert f"[name: {given} {family}]" in by[1] and mail.replace("@", " (at) ") in by[5]
+    assert "Maria Olsen" not in by[1] and by[1].startswith("Ask [name: ") and " & " in by[5]
     assert pii.anonymize(df.limit(0), "text", KEY).count() == 0
 
 
-def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
-    rows = [("id_number", str(i), str(i % 10)) for i in range(9)]
-    got = pii.surrogates(spark.createDataFrame(rows, "kind string, entity string, form string"), KEY).collect()
-    assert len(got) == 9 and len({r.surrogate for r in got}) == 9
+def test_surrogates_are_distinct_and_no_entities(spark):
+    # all two-digit numbers are entities, so only longer ones can stand for them
+    rows = [("id_number", f"{i:02d}") for i in range(100)] + [("id_number", "07")] * 3 + [("phone", "5550100"), ("name", "ines brork")]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, entity string"), KEY).collect()
+    assert len(got) == 102 == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    assert pii.surrogates(spark.createDataFrame([], "kind string, entity string"), KEY).count() == 0

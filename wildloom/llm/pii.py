@@ -1,10 +1,12 @@
 """Personal data in free text: detection and keyed surrogates.
 
 Each occurrence is replaced by a placeholder that names its kind and carries a
-surrogate: a made-up value of the same type, gender, case and format. The
-surrogate is a keyed function of the entity, so one entity has the same one
-everywhere, and entities whose surrogates would collide are given further ones
-until all are distinct.
+surrogate: a made-up value of the same type and gender. Its parts are a keyed
+function of the entity, so one entity has the same ones everywhere; they are
+written in the notation of each mention (case, order, initials, separators,
+spelled digits, script, check digits). Entities whose surrogates would collide
+with each other or with an entity of the corpus are given further ones until
+all are distinct.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wildloom.operators.skew import lookup_join
-from wildloom.session import c, columns_or_fail, fresh, materialize, stored
+from wildloom.session import c, columns_or_fail, fresh, stored, stored_counting
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -144,6 +147,17 @@ _ES = re.compile(r"\b(?:Calle|C/|Plaza|Avenida|Avda\.?|Paseo|Camino|Carrer|Ronda
 _DE_HEAD = re.compile(r"(?:[Ss]tra(?:ß|ss)e|[Ss]tr\.|[Ww]eg|[Aa]llee|[Gg]asse|[Pp]latz|[Dd]amm|[Uu]fer|haussee|steig|romenade|STRASSE|STRAẞE|STR\.|WEG|ALLEE|GASSE|PLATZ|DAMM|UFER)\s+\d|(?:Am|Im|An de[rn]|Auf de[rm]|Unter den|Zu[mr])\s[A-ZÄÖÜ][\wäöüß]+\s\d")
 
 # --- names ---
+# Words beside which two capitalised words are a person's name although the first is not in the lists above.
+_CUES = r"(?:met|meet|asked|ask|emailed|contact|named|called|calls (?:him|her)self|[Mm]y name is|(?:I am|I['’]m),?|[Dd]ear|[Rr]egards,?|[Ss]incerely,?|[Cc]heers,?|told|tell|hired|interviewed|married|sued|thank|colleague|friend|boss|brother|sister|husband|wife|neighbour|neighbor|professor|teacher|founder|author|written by|signed,?|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Prof\.?)"
+# Second words of the names of products, firms and places.
+_NO_FAMILY = frozenset("News Studio Code Cloud Web Data Overflow Hat States Kingdom City Valley Francisco Angeles York Zealand Africa America Korea Europe Office Team Support Group Systems Labs Software Search Maps Mail Drive Store Play Pro Plus Core Linux Windows Script Java Python Cup Games Times Post Journal Press Bank Union Party House Court Police Army Navy".split())
+_AFTER = r"(?:said|says|wrote|writes|told|asked|replied|replies|answered|lives in|lived in|was born|has died|passed away|(?:and (?:his|her|their) (?:wife|husband|son|daughter|brother|sister)))"
+_PAIR = r"(?P<given>[A-ZÀ-Þ][a-zß-ÿ]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?)\s(?:[A-Z]\.\s)?(?P<family>(?:(?:van|von|de|der|den|del|della|di|da|dos|la|le|bin|al|el|ter)\s){0,2}(?:O['’]|Mc|Mac)?[A-ZÀ-Þ][a-zß-ÿ]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?)(?![\w'’]*[\w(@/]|['’]\w)"
+_TWO = re.compile(r"[A-ZÀ-Þ][a-zß-ÿ]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?\s(?:[A-Z]\.\s)?(?:[a-z]{2,5}\s){0,2}(?:O['’])?[A-ZÀ-Þ][a-zß-ÿ]")
+_CUED = re.compile(rf"\b{_CUES}\s{_PAIR}")
+_CUED_AFTER = re.compile(rf"(?<![\w@./#&\-]){_PAIR}(?=\s{_AFTER}\b)")
+# The endings of most family names in Russian, Ukrainian, Belarusian and Bulgarian.
+_CYRILLIC = re.compile(r"\b[А-ЯЁІЇЄ][а-яёіїє]+\s(?:[А-ЯЁІЇЄ](?:\.|[а-яё]+(?:вич|вна|ична))\s?)?[А-ЯЁІЇЄ][а-яёіїє]*(?:ов|ев|ёв|ин|ын|ова|ева|ёва|ина|ына|ский|ская|цкий|цкая|ской|енко|чук|щук|ьев|ьева|ук|юк|ян|дзе|швили)\b")
 _CAPS = re.compile(r"[A-ZÀ-Ý][\w'’]+")
 _WRAP = r"(?:[*_`~']{1,3}|\}|</\w{1,6}>)?"
 _OPEN = r"(?:[*_`~']{1,3}|\\[a-z]{2,8}\{|<\w{1,6}>)?"
@@ -218,8 +232,12 @@ def _phones(v: str, low: str) -> Iterator[Span]:
                 yield m.start(), m.end(), "phone"
 
 
+def _words(low: str) -> frozenset[str]:
+    return frozenset(low.replace(",", " ").replace(".", " ").replace("<", " ").split())
+
+
 def _addresses(v: str, low: str) -> Iterator[Span]:
-    words = frozenset(low.replace(",", " ").replace(".", " ").replace("<", " ").split())
+    words = _words(low)
     if not words.isdisjoint(_EN_WORDS):
         for h in _HEAD.finditer(v):
             begin = h.start()
@@ -249,9 +267,44 @@ def _is_family(w: str, upper: bool = False) -> bool:
     return len(base) > 1 and base not in THINGS and base not in GENDER and not base.isupper()
 
 
+_NO_FOLD = str.maketrans("øØłŁđĐıßæÆ", "oOlLdDisaA")
+
+
+@lru_cache(maxsize=100_000)
+def plain_letters(w: str) -> str:
+    """Without accents, so that José is looked up as Jose."""
+    if w.isascii():
+        return w
+    return "".join(x for x in unicodedata.normalize("NFKD", w.translate(_NO_FOLD)) if not unicodedata.combining(x))
+
+
+# The words of the cues, without one of which a text has none; they only spare searches.
+_BEFORE_WORDS = frozenset("met meet asked ask emailed contact named called calls name i i'm i’m dear regards sincerely cheers told tell hired interviewed married sued thank colleague friend boss brother sister husband wife neighbour neighbor professor teacher founder author written signed mr mrs ms dr prof".split())
+_AFTER_WORDS = frozenset("said says wrote writes told asked replied replies answered lives lived born died passed wife husband son daughter brother sister".split())
+
+
+def _cued_names(v: str, low: str) -> Iterator[Span]:
+    words = _words(low)
+    for p, needed in ((_CUED, _BEFORE_WORDS), (_CUED_AFTER, _AFTER_WORDS)):
+        for m in p.finditer(v) if not words.isdisjoint(needed) and _TWO.search(v) else ():
+            given, family = m["given"], m["family"]
+            if given in THINGS or given in GREETINGS or family in GREETINGS or (family in _NO_FAMILY and plain_letters(given) not in GENDER):
+                continue
+            # a word that makes places is a family name only after a known given name
+            if family in THINGS and plain_letters(given) not in GENDER:
+                continue
+            yield m.start("given"), m.end("family"), "name"
+
+
 def _names(v: str, low: str) -> Iterator[Span]:
+    yield from _cued_names(v, low)
+    if not v.isascii():
+        for m in _CYRILLIC.finditer(v):
+            yield m.start(), m.end(), "name"
     for m in _CAPS.finditer(v):
-        w = m.group()
+        w = plain_letters(m.group())
+        if len(w) != len(m.group()):
+            w = m.group()
         if w.endswith(("'s", "’s")):
             w = w[:-2]
         upper = w not in GENDER and len(w) > 2 and w in _GIVEN_UP
@@ -287,12 +340,10 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, str]]:
     spans: list[Span] = []
     taken: list[tuple[int, int]] = []
     for finder in (_mails, _identities, _phones, _addresses, _names):
-        fresh_spans = []
         for a, b, kind in finder(v, low):
             if not any(a < y and x < b for x, y in taken):
-                fresh_spans.append((a, b, kind))
+                spans.append((a, b, kind))
                 taken.append((a, b))
-        spans += fresh_spans
     spans.sort()
     return [(_place(marks, a), _place(marks, b, True), kind, v[a:b]) for a, b, kind in spans]
 
@@ -335,7 +386,8 @@ class Draw:
     """A stream of choices that depends only on the key, the entity and the attempt."""
 
     def __init__(self, key: bytes, kind: str, entity: str, attempt: int):
-        self.key, self.label, self.n = key, f"{kind}\x00{entity}\x00{attempt}".encode(), 0
+        self.key, self.kind, self.entity, self.attempt = key, kind, entity, attempt
+        self.label, self.n = f"{kind}\x00{entity}\x00{attempt}".encode(), 0
         self.pool = b""
 
     def below(self, n: int) -> int:
@@ -349,36 +401,202 @@ class Draw:
         return xs[self.below(len(xs))]
 
     def word(self, syllables: int) -> str:
-        return "".join(self.of(_ONSETS) + self.of(_VOWELS) for _ in range(syllables)) + self.of(_CODAS)
+        """Longer after some attempts, so that there are words enough for any number of entities."""
+        return "".join(self.of(_ONSETS) + self.of(_VOWELS) for _ in range(syllables + self.attempt // 4)) + self.of(_CODAS)
+
+    def more(self, entity: str) -> str:
+        """A number with digits for what stands before it after some attempts."""
+        return "0" * (self.attempt // 4) + entity
+
+
+#: The last letter of Spanish identity numbers by remainder, and Cyrillic and Greek letters for the Latin ones of made-up words. Fixed values.
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
+_CYR = dict(zip("abcdefghijklmnopqrstuvwxyz", "абкдефгхийклмнопкрстуввхыз", strict=True))
+_GRK = dict(zip("abcdefghijklmnopqrstuvwxyz", "αβκδεφγχιικλμνοπκρστυβωξυζ", strict=True))
+# Parts of an address that say what it is and stay.
+_STAY = frozenset("""st street rd road ln lane ave avenue ct court way close dr drive blvd boulevard sq square ter terrace pl place cres crescent row gardens grove pkwy parkway walk mews alley circle hwy highway trail
+apt unit suite flat no nr number rue av bd chemin allée impasse quai cours route passage sentier ruelle bis quater calle plaza avenida avda paseo camino carrer ronda travesía callejón glorieta via viale piazza corso vicolo núm
+de la le les los las el del du des da di d l aux au a à am im an der den auf dem unter den zum zur straße strasse str weg allee gasse platz damm ufer chaussee steig promenade c""".split())
+_COMPOUND = re.compile(r"(?i)(.+?)(straße|strasse|straẞe|str|weg|allee|gasse|platz|damm|ufer|chaussee|steig|promenade)$")
+
+
+def gender_of(given: str) -> str:
+    """f or m: by the list, else by the ending."""
+    g = plain_letters(given).capitalize()
+    if g in GENDER:
+        return GENDER[g]
+    return "f" if re.search(r"(?i)(?:a|ie|ine|elle|ette|а|я)$", given) else "m"
+
+
+def _cased(word: str, like: str) -> str:
+    """``word`` in the case of ``like``."""
+    if like.isupper() and len(like) > 1:
+        return word.upper()
+    return word.capitalize() if like[:1].isupper() else word.lower()
+
+
+def _scripted(word: str, like: str) -> str:
+    first = next((x for x in like if x.isalpha()), "a")
+    name = unicodedata.name(first, "LATIN")
+    table = _CYR if name.startswith("CYRILLIC") else _GRK if name.startswith("GREEK") else None
+    return "".join(table.get(x, x) for x in word.lower()) if table else word
+
+
+def _filled(form: str, signs: str) -> str:
+    """The letters and digits of ``form`` replaced by ``signs`` from the right; what ``signs`` do not reach stays."""
+    spots = [i for i, x in enumerate(form) if x.isalnum()]
+    out = list(form)
+    for i, x in zip(spots[::-1], signs[::-1], strict=False):
+        out[i] = x.upper() if form[i].isupper() else x
+    return _before(out, spots, signs)
+
+
+def _before(out: list[str], spots: list[int], signs: str) -> str:
+    """``out`` with the signs for which there is no spot before its first one."""
+    if spots and len(signs) > len(spots):
+        out[spots[0]] = signs[: len(signs) - len(spots)] + out[spots[0]]
+    return "".join(out)
+
+
+def _luhn_digit(digits: str) -> str:
+    return next(x for x in "0123456789" if _luhn(digits + x))
+
+
+def _phone(d: Draw, entity: str, form: str) -> str:
+    # the country code and a trunk zero stay; the first digits of American areas and exchanges are not 0 or 1
+    head = 2 if len(entity) > 10 else 1 if entity.startswith("0") else 0
+    new = entity[:head]
+    entity = d.more(entity) if not head else entity + "0" * (d.attempt // 4)
+    for i in range(head, len(entity)):
+        new += str(2 + d.below(8)) if len(entity) == 10 and i in (0, 3) else str(1 + d.below(9)) if i == head else str(d.below(10))
+    if re.search(r"[A-Za-z]{3}", form):
+        gap = re.search(r"(?i)[a-z\d]([\s,.\-]{1,3})[a-z\d]", form)
+        words = [_DIGITS[int(x)] for x in new]
+        return _cased(words[0], form.split()[0]) + "".join((gap.group(1) if gap else " ") + w for w in words[1:])
+    plain = form.replace("(0)", "(\x00)")
+    spots = [i for i, x in enumerate(plain) if x.isdigit()]
+    out = list(plain)
+    for i, x in zip(spots[::-1], new[::-1], strict=False):
+        out[i] = x
+    return _before(out, spots, new).replace("\x00", "0")
+
+
+def _number(d: Draw, entity: str, form: str) -> str:
+    digits = "".join(x for x in entity if x.isdigit())
+    iban = re.fullmatch(r"[a-z]{2}\d{2}[a-z0-9]{11,30}", entity)
+    dni = re.fullmatch(r"[\dxyz]\d{7}[a-z]", entity)
+    new = "".join(str(d.below(10)) if x.isdigit() else chr(97 + d.below(26)) for x in entity)
+    if iban:
+        body, land = new[4:], entity[:2]
+        value = int("".join(str(int(x, 36)) for x in body + land + "00"))
+        new = f"{land}{98 - value % 97:02d}{body}"
+    elif dni:
+        lead = entity[0] if entity[0].isalpha() else new[0]
+        n = int(str("xyz".find(lead)) if lead.isalpha() else lead) * 10_000_000 + int(new[1:8])
+        new = f"{lead}{new[1:8]}{_DNI[n % 23].lower()}"
+    elif digits == entity and 12 < len(digits) < 20 and _luhn(digits):
+        new = entity[0] + new[1:-1]
+        new += _luhn_digit(new)
+    else:
+        new = "".join(str(d.below(10)) for _ in d.more("")) + new
+    return _filled(form, new)
+
+
+def _mail(d: Draw, entity: str, form: str) -> str:
+    cut = re.compile(rf"({_AT}|{_WORD_DOT}|\s(?:at|AT|At|arroba)\s|[@._+%\-\s])")
+    tokens = [x for x in re.split(r"[@._+%\-]", entity) if x]
+    new = ["".join(str(d.below(10)) for _ in t) if t.isdigit() else d.word(1 if len(t) < 4 else 2) for t in tokens]
+    new[-1] = "invalid"
+    parts = [p for p in cut.split(form) if p]
+    places = [i for i, p in enumerate(parts) if not cut.fullmatch(p)]
+    if len(places) != len(new):
+        at = entity.partition("@")[0]
+        n = len([x for x in re.split(r"[._+%\-]", at) if x])
+        return ".".join(new[:n]) + "@" + ".".join(new[n:])
+    for i, w in zip(places, new, strict=True):
+        parts[i] = _cased(w, parts[i])
+    return "".join(parts)
+
+
+def _address(d: Draw, entity: str, form: str) -> str:
+    made: dict[str, str] = {}
+
+    def one(m: re.Match) -> str:
+        w = m.group()
+        low = unicodedata.normalize("NFKC", w).lower()
+        if low in _STAY or (len(low) == 1 and not low.isdigit()):
+            return w
+        if low not in made:
+            # the words and numbers of the entity are drawn in its own order, whatever the mention looks like
+            made[low] = "".join(str(1 + d.below(9)) if i == 0 else str(d.below(10)) for i in range(len(low))) if low.isdigit() else d.word(2)
+        if low.isdigit():
+            return made[low]
+        tail = _COMPOUND.fullmatch(w)
+        return _cased(made[low], tail.group(1) if tail else w) + (tail.group(2) if tail else "")
+
+    words = re.compile(r"\d+|[^\W\d_]+")
+    words.sub(one, entity)
+    return words.sub(one, form)
+
+
+def _person(d: Draw, entity: str, form: str) -> str:
+    parts = entity.split(" ")
+    pool = FEMALE if gender_of(parts[0]) == "f" else MALE
+    first = [d.of(pool) for _ in range(2)]
+    family = [d.word(2) + d.of(("", "son", "berg", "well", "ski")) for _ in range(3)]
+    initial = chr(65 + d.below(26))
+    head, comma, tail = form.partition(",")
+    given_part, family_part = (tail, head) if comma else ("", form)
+    cyrillic = bool(re.search(r"[А-Яа-яЁё]", form))
+    if cyrillic and gender_of(parts[0]) == "f":
+        family = [x.rstrip("aeiou") + "ova" for x in family]
+    elif cyrillic:
+        family = [x.rstrip("aeiou") + "ov" for x in family]
+    particle = re.compile(_PART + r"\Z")
+    used = [0, 0]
+
+    def given(m: re.Match) -> str:
+        w = m.group()
+        if len(w) == 1:
+            return _scripted(initial, w)
+        used[0] += 1
+        return _cased(_scripted(first[(used[0] - 1) % 2], w), w)
+
+    def surname(m: re.Match) -> str:
+        w = m.group()
+        if len(w) == 1:
+            return _scripted(initial, w) if w.isupper() else w
+        if particle.fullmatch(w + " "):
+            return w
+        used[1] += 1
+        return _cased(_scripted(family[(used[1] - 1) % 3], w), w)
+
+    word = re.compile(r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))*")
+    mark = re.compile(r"\\[a-z]+\{|</?\w+>")
+    marks = mark.findall(form)
+    if marks:
+        form = mark.sub("", form).replace("}", "")
+        return _person(Draw(d.key, d.kind, d.entity, d.attempt), entity, form)
+    if comma:
+        return word.sub(surname, family_part) + comma + word.sub(given, given_part)
+    names = list(word.finditer(form))
+    # of several names before the last one all but particles are given names
+    lead = next((i for i, m in enumerate(names) if i and particle.fullmatch(m.group() + " ")), None)
+    split = names[lead].start() if lead else max((m.start() for m in names[1:] if form[m.start() - 1] != "-"), default=len(form))
+    return word.sub(given, form[:split]) + word.sub(surname, form[split:])
+
+
+_RENDER = {"email": _mail, "phone": _phone, "id_number": _number, "address": _address, "name": _person}
 
 
 def surrogate(key: bytes, kind: str, entity: str, form: str, attempt: int = 0) -> str:
-    """A made-up value for a canonical entity, in the style of ``form`` (how it was written)."""
-    d = Draw(key, kind, entity, attempt)
-    if kind == "email":
-        return f"{d.word(2)}.{d.word(2)}@{d.word(2)}.invalid"
-    if kind == "phone":
-        lead = re.match(r"\+\d{1,2}(?!\d)|00\d{1,2}(?!\d)", form)
-        skip = len(lead.group()) if lead else 0
-        if not re.search(r"\d", form[skip:]):
-            form, skip = "000-000-0000", 0
-        return form[:skip] + re.sub(r"\d", lambda _: str(d.below(10)), form[skip:])
-    if kind == "id_number":
-        return re.sub(r"[A-Z]", lambda _: chr(65 + d.below(26)), re.sub(r"\d", lambda _: str(d.below(10)), form))
-    if kind == "address":
-        street = d.word(2).capitalize()
-        if re.search(r"(?i)stra[sß]|weg|gasse|platz|allee", form) and not re.search(r"(?i)^\d", form):
-            return f"{street}weg {1 + d.below(199)}"
-        if re.search(r"(?i)\b(?:rue|chemin|allée|quai|impasse)\b", form):
-            return f"{1 + d.below(199)}, rue {street}"
-        if re.search(r"(?i)\b(?:calle|plaza|avenida|paseo)\b", form):
-            return f"Calle {street}, n.º {1 + d.below(199)}"
-        return f"{1 + d.below(1999)} {street} Road"
-    given = entity.split(" ")[0].capitalize()
-    first = d.of(FEMALE if GENDER.get(given) == "f" else MALE)
-    family = d.word(2).capitalize() + d.of(("", "son", "berg", "well", "ski"))
-    out = f"{family}, {first}" if "," in form else f"{first} {family}"
-    return out.upper() if form.isupper() else out
+    """The made-up value of a canonical entity, written as ``form`` is.
+
+    What is drawn depends on key, kind, entity and attempt only, so all
+    mentions of an entity have the same parts; with the entity itself as the
+    form it is the canonical surrogate.
+    """
+    return _RENDER[kind](Draw(key, kind, entity, attempt), entity, form)
 
 
 MENTION = "array<struct<start:int,stop:int,kind:string,entity:string,form:string>>"
@@ -396,29 +614,33 @@ def detect(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
 
 
 def surrogates(mentions: DataFrame, secret: bytes) -> DataFrame:
-    """kind, entity, surrogate: distinct surrogates for distinct entities of a kind.
+    """kind, entity, attempt, surrogate: distinct canonical surrogates for distinct entities of a kind, none of them an entity itself.
 
-    ``mentions`` has kind, entity, form. In each round the entities that share
-    a surrogate with one before them (fewer attempts, then by entity) draw again.
+    ``mentions`` has kind and entity. In each round the entities whose
+    surrogate is an entity of the corpus, or is shared with one before them
+    (fewer attempts, then by entity), draw again.
     """
-    made = F.pandas_udf(lambda k, e, f, a: pd.Series([surrogate(secret, *x) for x in zip(k, e, f, a, strict=True)], dtype=object), "string")
-    s = mentions.groupBy("kind", "entity").agg(F.min("form").alias("form")).withColumn("attempt", F.lit(0))
-    s = materialize(s.withColumn("surrogate", made("kind", "entity", "form", "attempt")))
+    made = F.pandas_udf(lambda k, e, a: pd.Series([surrogate(secret, *x[:2], x[1], x[2]).lower() for x in zip(k, e, a, strict=True)], dtype=object), "string")
+    entities = stored(mentions.select("kind", "entity").distinct(), "entities")
+    real = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
+    s = entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", made("kind", "entity", "attempt"))
     while True:
-        place = F.row_number().over(Window.partitionBy("kind", F.lower("surrogate")).orderBy("attempt", "entity"))
-        ranked = s.withColumn("place", place)
-        if ranked.where("place > 1").isEmpty():
-            return s.select("kind", "entity", "surrogate")
-        again = ranked.where("place > 1").withColumn("attempt", F.col("attempt") + 1)
-        again = again.withColumn("surrogate", made("kind", "entity", "form", "attempt")).drop("place")
-        s = materialize(ranked.where("place = 1").drop("place").unionByName(again))
+        s = stored(s, "surrogates")
+        place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity"))
+        ranked = s.withColumn("place", place).join(real, ["kind", "surrogate"], "left")
+        ranked, n = stored_counting(ranked.select("kind", "entity", "attempt", "surrogate", ((F.col("place") > 1) | F.col("real").isNotNull()).alias("again")), "surrogates", F.col("again"))
+        good = ranked.where("not again").drop("again")
+        if not n:
+            return good
+        again = ranked.where("again").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
+        s = good.unionByName(again.withColumn("surrogate", made("kind", "entity", "attempt")))
 
 
 def anonymize(df: DataFrame, text: str, secret: bytes, out: str = "clean_text") -> DataFrame:
     """``df`` with ``out``: ``text`` in which each mention is ``[kind: surrogate]``; other text is kept as it is.
 
-    Texts are searched once; rows without a mention are not shuffled. Null
-    stays null.
+    The surrogate is written in the notation of the mention. Texts are searched
+    once; rows without a mention are not shuffled. Null stays null.
     """
     columns_or_fail(df, text)
     row, found, key = fresh("row"), fresh("found"), fresh("key")
@@ -426,9 +648,9 @@ def anonymize(df: DataFrame, text: str, secret: bytes, out: str = "clean_text")
     hit = seen.where(F.size(found) > 0)
     parts = hit.select(row, F.explode(found).alias("m")).select(row, "m.*")
     entity_key = F.concat_ws("\x00", "kind", "entity")
-    map_ = surrogates(parts, secret).select(entity_key.alias(key), "surrogate")
+    map_ = surrogates(parts, secret).select(entity_key.alias(key), "attempt")
     named = lookup_join(parts.withColumn(key, entity_key), map_, key)
-    lists = named.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "surrogate"))).alias("edits"))
+    lists = named.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "entity", "form", "attempt"))).alias("edits"))
 
     @F.pandas_udf("string")
     def apply(texts: pd.Series, edits: pd.Series) -> pd.Series:
@@ -436,7 +658,7 @@ def anonymize(df: DataFrame, text: str, secret: bytes, out: str = "clean_text")
         for t, es in zip(texts, edits, strict=True):
             bits, at = [], 0
             for e in es:
-                bits += [t[at : e["start"]], f"[{e['kind']}: {e['surrogate']}]"]
+                bits += [t[at : e["start"]], f"[{e['kind']}: {surrogate(secret, e['kind'], e['entity'], e['form'], e['attempt'])}]"]
                 at = e["stop"]
             done.append("".join(bits) + t[at:])
         return pd.Series(done, dtype=object)
