@@ -63,7 +63,7 @@ def test_clashing_names(spark):
         wildcard_join(left, right, "nope", "p")
 
 
-@pytest.mark.parametrize("strategy", ("nested", "automaton"))
+@pytest.mark.parametrize("strategy", ("nested", "automaton", "ngram"))
 def test_first_match(spark, tables, strategy):
     texts, _ = tables
     pats = spark.createDataFrame([(2, "%ring%", "ring"), (1, "%red%", "b"), (1, "%the%", "a"), (3, None, "never"), (9, "____", "four")], "prio int, p string, label string")
@@ -137,3 +137,33 @@ def test_literal_hits(spark, words):
     want = sorted((i, w, p + 1) for i, t in enumerate(texts) if t for w in words for p in range(len(t)) if t.startswith(w, p))
     assert sorted((r["id"], r["literal"], r["position"]) for r in got.collect()) == want
     assert literal_hits(df.limit(0), "t", lits, "l").count() == 0
+    joined = literal_hits(df, "t", lits, "l", max_broadcast=-1)
+    assert sorted((r["id"], r["literal"], r["position"]) for r in joined.collect()) == want
+
+
+def test_large_first_match_is_no_error(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "the red ring"), (2, None), (2, "a blue bolt"), (3, "a blue bolt"), (4, "")], "id int, t string")
+    pats = spark.createDataFrame([(i, f"%w{i}%", f"n{i}") for i in range(60)] + [(7, "%bolt", "bolt"), (9, "%blue%", "blue"), (80, "", "empty")], "prio int, p string, label string")
+    answer = [(1, None), (2, None), (2, "bolt"), (3, "bolt"), (4, "empty")]
+    for limit in (10_000_000, 10):
+        monkeypatch.setattr("wildloom.operators.wildcard.MAX_BROADCAST", limit)
+        got = first_match(texts, pats, "t", "p", "prio", "label").select("id", "first_label").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(answer, key=repr)
+
+
+def test_a_worker_keeps_no_state_between_texts(spark):
+    """One search serves texts in any order, alone or together, with the same answer for each."""
+    rng = random.Random(9)
+    patterns = [(i, "".join(rng.choice("ab%_") for _ in range(rng.randrange(1, 8)))) for i in range(200)]
+    texts = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(12)))) for i in range(150)]
+    p = spark.createDataFrame(patterns, "pid int, p string")
+    t = spark.createDataFrame(texts + texts[::-1], "id int, t string")
+    got = sorted(map(tuple, wildcard_join(t.repartition(3), p, "t", "p", strategy="automaton").select("id", "pid").collect()))
+    assert got == sorted(want(texts, patterns) * 2)
+
+
+def test_private_signs_in_patterns(spark):
+    t = spark.createDataFrame([(1, "a\ue000b"), (2, "ab"), (3, "a\ue001b"), (4, "\ue000%"), (5, "a\ue001\ue002b")], "id int, t string")
+    p = spark.createDataFrame([(1, "a\ue000b"), (2, "a!\ue001b"), (3, "\ue000!%"), (4, "%\ue001\ue002%")], "pid int, p string")
+    got = wildcard_join(t, p, "t", "p", escape="!").select("id", "pid").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (3, 2), (4, 3), (5, 4)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wildloom.functions import any_like, code_points, first_case, like, literal_positions
 from wildloom.operators import hierarchy, hotkeys, orphans, rejects
 from wildloom.operators.search import literal_hits
-from wildloom.operators.wildcard import conjunctive_join, first_match, wildcard_join
+from wildloom.operators.wildcard import MAX_BROADCAST, conjunctive_join, first_match, measure, wildcard_join
 from wildloom.plans.patterns import fold_wildcards, literals, prepare_patterns, segments, spark_like_column
 from wildloom.plans.sqltext import like_join_sql
 from wildloom.session import scratch_dir, table
@@ -314,7 +314,8 @@ def _folded(spark, d):
 def _generated(spark, d):
     _titles(spark, d, "type").where("type = 1").createOrReplaceTempView("wl_texts")
     table(spark, d, "topics").createOrReplaceTempView("wl_patterns")
-    return spark.sql(like_join_sql("wl_texts", "wl_patterns", ["t.id", "p.topic_id"], "title", "pattern", ignore_case=True, order_by=["t.id", "p.topic_id"]))
+    small = measure(prepare_patterns(table(spark, d, "topics"), "pattern")).size <= MAX_BROADCAST
+    return spark.sql(like_join_sql("wl_texts", "wl_patterns", ["t.id", "p.topic_id"], "title", "pattern", ignore_case=True, order_by=["t.id", "p.topic_id"], broadcast=small))
 
 
 @query("csv_items", "SELECT id, type, \"by\", time, title, score FROM hackernews WHERE title <> ''")

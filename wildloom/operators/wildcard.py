@@ -14,17 +14,23 @@ automaton  one pass over each text finds all anchors at once (Arrow batches)
 
 ``auto`` measures the pattern side (one small job) and takes nested for few
 patterns, automaton for many, and ngram where the pattern side is larger than
-``MAX_BROADCAST`` bytes. Null texts and null patterns match nothing.
+``MAX_BROADCAST`` bytes or there is no automaton library. The distinct patterns
+are broadcast once, and a worker builds one automaton of them for all its
+tasks; it keeps nothing from one text to the next. Null texts and null patterns
+match nothing.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
+from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wildloom.plans.patterns import EXACT, LENGTH, LITERAL, prepare_patterns
@@ -57,9 +63,9 @@ def measure(prepared: DataFrame) -> PatternSide:
 def choose(side: PatternSide) -> str:
     if side.size > MAX_BROADCAST:
         return "ngram"
-    if side.rows >= AUTOMATON_FROM and ahocorasick is not None:
-        return "automaton"
-    return "nested"
+    if side.rows < AUTOMATON_FROM:
+        return "nested"
+    return "automaton" if ahocorasick is not None else "ngram"
 
 
 def _length_hit(text: Column) -> Column:
@@ -76,63 +82,94 @@ def _pair_hit(text: Column) -> Column:
     )
 
 
-def searcher(facts: list):
-    """Arrow-batched column function: indexes of the patterns a text matches.
+class Search:
+    """All patterns that a text may match, found in one pass over it.
 
-    ``facts`` are rows with the columns FACTS; a pattern's index is its place.
-    ``sure`` are settled by the search itself (the length, the whole text, or
-    a pattern that only asks for its literal anywhere), ``maybe_i`` and
-    ``maybe_p`` have their anchor in the text and are left to LIKE.
+    ``facts`` are tuples of FACTS; a pattern's index is its place. A pattern is
+    settled by the search itself if it asks for a length, for the whole text,
+    or only for its literal anywhere; of others the anchor is found.
     """
-    anchors: dict[str, tuple[list[int], list[int]]] = {}
-    exact: dict[str, list[int]] = {}
-    fixed: dict[int, list[int]] = {}
-    least: list[tuple[int, int]] = []
-    for i, f in enumerate(facts):
-        p = f["like_pattern"]
-        if f["like_kind"] == EXACT:
-            exact.setdefault(re.sub(r"(?s)\\(.)", r"\1", p), []).append(i)
-        elif f["like_kind"] == LENGTH and "%" in p:
-            least.append((f["like_min_len"], i))
-        elif f["like_kind"] == LENGTH:
-            fixed.setdefault(f["like_min_len"], []).append(i)
-        else:
-            alone = f["like_literals"] == 1 and f["like_underscores"] == 0 and p[0] == "%" and re.sub(r"(?s)\\.", "", p).endswith("%")
-            anchors.setdefault(f["like_anchor"], ([], []))[0 if alone else 1].append(i)
-    least.sort()
-    starts, open_ids = [n for n, _ in least], [i for _, i in least]
-    order = list(anchors)
-    hits = [anchors[a] for a in order]
-    patterns = [f["like_pattern"] for f in facts]
-
-    @F.arrow_udf("struct<sure:array<int>,maybe_i:array<int>,maybe_p:array<string>>")
-    def find(texts: pa.Array) -> pa.Array:
-        found = ahocorasick.Automaton()
-        for k, a in enumerate(order):
-            found.add_word(a, k)
-        if order:
-            found.make_automaton()
+
+    def __init__(self, facts: list[tuple]):
+        anchors: dict[str, tuple[list[int], list[int]]] = {}
+        self.exact: dict[str, list[int]] = {}
+        self.fixed: dict[int, list[int]] = {}
+        least: list[tuple[int, int]] = []
+        for i, f in enumerate(facts):
+            p, kind, anchor, literals, underscores, min_len = f
+            if kind == EXACT:
+                self.exact.setdefault(re.sub(r"(?s)\\(.)", r"\1", p), []).append(i)
+            elif kind == LENGTH and "%" in p:
+                least.append((min_len, i))
+            elif kind == LENGTH:
+                self.fixed.setdefault(min_len, []).append(i)
+            else:
+                alone = literals == 1 and underscores == 0 and p[0] == "%" and re.sub(r"(?s)\\.", "", p).endswith("%")
+                anchors.setdefault(anchor, ([], []))[0 if alone else 1].append(i)
+        least.sort()
+        self.starts, self.open_ids = [n for n, _ in least], [i for _, i in least]
+        self.hits = list(anchors.values())
+        self.patterns = [f[0] for f in facts]
+        self.found = ahocorasick.Automaton() if anchors else None
+        for k, a in enumerate(anchors):
+            self.found.add_word(a, k)
+        if anchors:
+            self.found.make_automaton()
+
+    def __call__(self, texts: pa.Array, names: bool) -> pa.Array:
         sure, maybe, s_ends, m_ends = [], [], [0], [0]
+        exact, fixed, hits, found = self.exact, self.fixed, self.hits, self.found
         for t in texts.to_pylist():
             if t is not None:
                 sure += exact.get(t, ())
                 n = len(t)
                 sure += fixed.get(n, ())
-                sure += open_ids[: bisect_right(starts, n)]
-                if order:
+                sure += self.open_ids[: bisect_right(self.starts, n)]
+                if found is not None:
                     for k in {k for _, k in found.iter(t)}:
                         sure += hits[k][0]
                         maybe += hits[k][1]
             s_ends.append(len(sure))
             m_ends.append(len(maybe))
         m_off = pa.array(m_ends, pa.int32())
-        cols = [
-            pa.ListArray.from_arrays(pa.array(s_ends, pa.int32()), pa.array(sure, pa.int32())),
-            pa.ListArray.from_arrays(m_off, pa.array(maybe, pa.int32())),
-            pa.ListArray.from_arrays(m_off, pa.array([patterns[i] for i in maybe], pa.string())),
-        ]
+        cols = [pa.ListArray.from_arrays(pa.array(s_ends, pa.int32()), pa.array(sure, pa.int32())), pa.ListArray.from_arrays(m_off, pa.array(maybe, pa.int32()))]
+        if not names:
+            return pa.StructArray.from_arrays(cols, names=["sure", "maybe_i"])
+        cols.append(pa.ListArray.from_arrays(m_off, pa.array([self.patterns[i] for i in maybe], pa.string())))
         return pa.StructArray.from_arrays(cols, names=["sure", "maybe_i", "maybe_p"])
 
+
+#: Searches that this worker has built, the last used ones; what they hold never changes.
+_built: OrderedDict[str, Search] = OrderedDict()
+KEEP_SEARCHES = 4
+
+
+def search_for(name: str, facts: list[tuple]) -> Search:
+    if name not in _built:
+        _built[name] = Search(facts)
+        while len(_built) > KEEP_SEARCHES:
+            _built.popitem(last=False)
+    _built.move_to_end(name)
+    return _built[name]
+
+
+def searcher(spark: SparkSession, facts: list, names: bool):
+    """Arrow-batched column function: indexes of the patterns a text matches.
+
+    ``sure`` are settled, ``maybe_i`` have their anchor in the text and are
+    left to LIKE; with ``names`` the patterns of the latter come too, as
+    ``maybe_p``.
+    """
+    name = uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast([tuple(f[x] for x in FACTS) for f in facts])
+    kind = "struct<sure:array<int>,maybe_i:array<int>" + (",maybe_p:array<string>>" if names else ">")
+
+    @F.arrow_udf(kind)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        search = search_for(name, sent.value)
+        for texts in batches:
+            yield search(texts, names)
+
     return find
 
 
@@ -143,7 +180,7 @@ def fact_rows(prepared: DataFrame) -> list:
 
 def matched_indexes(texts: DataFrame, text: Column, facts: list, out: str) -> DataFrame:
     """``texts`` with ``out``: indexes into ``facts`` of the patterns that match. Only the text goes to Python; LIKE verifies in the JVM."""
-    found = texts.withColumn("__probe", text).withColumn("__f", searcher(facts)(F.col("__probe")))
+    found = texts.withColumn("__probe", text).withColumn("__f", searcher(texts.sparkSession, facts, True)(F.col("__probe")))
     verified = "transform(filter(arrays_zip(__f.maybe_i, __f.maybe_p), m -> __probe LIKE m.maybe_p), m -> m.maybe_i)"
     return found.withColumn(out, F.expr(f"concat(__f.sure, {verified})")).drop("__f", "__probe")
 
@@ -162,10 +199,13 @@ def _matches(texts: DataFrame, text: str, prepared: DataFrame, strategy: str, fo
     if strategy == "nested":
         return base.join(F.broadcast(live), _pair_hit(F.col("__text"))).drop("__text")
     if strategy == "automaton":
+        # only indexes come back from the search; each finds its pattern in the JVM, where LIKE decides
         facts = fact_rows(live)
-        hits = matched_indexes(base, F.col("__text"), facts, "__hit").drop("__text")
-        pairs = hits.withColumn("__hit", F.explode("__hit"))
-        return pairs.join(F.broadcast(_indexed(live, facts)), F.col("__hit") == F.col("like_index")).drop("__hit", "like_index")
+        found = base.withColumn("__f", searcher(base.sparkSession, facts, False)(F.col("__text")))
+        tagged = F.concat(F.transform("__f.sure", lambda i: F.struct(i.alias("i"), F.lit(True).alias("sure"))), F.transform("__f.maybe_i", lambda i: F.struct(i.alias("i"), F.lit(False).alias("sure"))))
+        pairs = found.withColumn("__hit", F.explode(tagged)).drop("__f")
+        joined = pairs.join(F.broadcast(_indexed(live, facts)), F.col("__hit.i") == F.col("like_index"))
+        return joined.where(F.col("__hit.sure") | F.expr("__text LIKE like_pattern")).drop("__hit", "like_index", "__text")
     if strategy != "ngram":
         raise ValueError(f"unknown strategy {strategy}")
     exact = live.where(F.col("like_kind") == EXACT).withColumn("__plain", F.regexp_replace("like_pattern", r"(?s)\\(.)", "$1"))
@@ -278,28 +318,35 @@ def first_match(
     """``texts`` with the label of the matching pattern of least priority; null without a match.
 
     Equal priorities are resolved by the smaller label. The pattern side is
-    folded to one (priority, label) per pattern text, whose total size is
-    checked; each text row is kept as often as it comes.
+    folded to one (priority, label) per pattern text and measured: few patterns
+    become one expression, many are searched for in one pass, and sides too
+    large for that meet the distinct texts in a hash join. Each text row is
+    kept as often as it comes; a null text has a null label.
     """
     columns_or_fail(texts, text)
     columns_or_fail(patterns, pattern, priority, label)
     side = patterns.select(c(pattern).alias("__p"), c(priority).alias("__prio"), c(label).alias("__label"))
     prepared = prepare_patterns(side, "__p", escape, ignore_case)
-    size = measure(prepared)
-    if size.size > MAX_BROADCAST:
-        raise ValueError("too many patterns for a first match")
+    if strategy == "auto":
+        strategy = choose(measure(prepared))
     ranked = prepared.where("like_pattern is not null").groupBy(*FACTS).agg(F.min(F.struct("__prio", "__label")).alias("__best"))
-    rows = ranked.orderBy("__best", "like_pattern").collect()
     t = F.lower(c(text)) if ignore_case else c(text)
     keep = [c(x) for x in texts.columns if x.lower() != out.lower()]
+    if strategy == "ngram":
+        some = texts.select(t.alias("__key")).where("__key is not null").distinct()
+        best = _matches(some, "__key", ranked, strategy, False).groupBy("__key").agg(F.min("__best").alias("__best"))
+        return texts.withColumn("__t", t).join(best, F.col("__t") == F.col("__key"), "left").select(*keep, F.col("__best.__label").alias(out))
+    rows = ranked.orderBy("__best", "like_pattern").collect()
     labels = [r["__best"]["__label"] for r in rows]
     if not rows:
         return texts.select(*keep, F.lit(None).cast("string").alias(out))
-    if (choose(size) if strategy == "auto" else strategy) == "automaton":
+    if strategy == "automaton":
         # indexes are in order of priority, so the least one names the label
-        found = matched_indexes(texts, t, rows, "__m")
-        best = F.get(F.lit(labels), F.array_min("__m"))
-        return found.select(*keep, best.alias(out))
+        found = matched_indexes(texts, t, rows, "__m").withColumn("__least", F.array_min("__m"))
+        places = texts.sparkSession.createDataFrame(list(enumerate(labels)), "__least int, __label string")
+        return found.join(F.broadcast(places), "__least", "left").select(*keep, F.col("__label").alias(out))
+    if strategy != "nested":
+        raise ValueError(f"unknown strategy {strategy}")
     base = texts.withColumn("__text", t)
     expr = None
     for r, label in zip(rows, labels, strict=True):

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from wildloom.session import c, columns_or_fail
 
-MARK = "\ue000"
+#: Private-use signs for the work on a pattern; where it has them itself they are set aside first.
+PRIVATE = "\ue000\ue001\ue002\ue003\ue004"
 EXACT, LENGTH, LITERAL = "exact", "length", "literal"
 
 
@@ -41,22 +42,25 @@ def spark_like_column(pattern: Column, escape: str | None = None) -> Column:
     """The same as a column expression; a malformed pattern raises when it is evaluated.
 
     Literal signs (escaped ones and bare backslashes) are first marked, then
-    quoted where they would be special. Patterns must not hold U+E000.
+    quoted where they would be special.
     """
     if escape is None:
         return F.replace(pattern, F.lit("\\"), F.lit("\\\\"))
     if len(escape) != 1:
         raise ValueError("escape must be one character")
+    mark, aside, one, two = [x for x in PRIVATE if x != escape][:4]
     e = re.escape(escape)
     pair = f"(?s){e}(.)"
     bad = F.contains(F.regexp_replace(pattern, pair, ""), F.lit(escape))
+    safe = F.replace(F.replace(pattern, F.lit(aside), F.lit(aside + two)), F.lit(mark), F.lit(aside + one))
     if escape == "\\":
-        marked = F.regexp_replace(pattern, pair, MARK + "$1")
+        marked = F.regexp_replace(safe, pair, mark + "$1")
     else:
-        marked = F.regexp_replace(pattern, f"(?s){e}(.)|(\\\\)", MARK + "$1$2")
-    quoted = F.regexp_replace(marked, MARK + r"([%_\\])", r"\\$1")
-    clean = F.replace(quoted, F.lit(MARK), F.lit(""))
-    return F.when(bad, F.raise_error(F.concat(F.lit("pattern ends with its escape sign: "), pattern))).otherwise(clean)
+        marked = F.regexp_replace(safe, f"(?s){e}(.)|(\\\\)", mark + "$1$2")
+    quoted = F.regexp_replace(marked, mark + r"([%_\\])", r"\\$1")
+    clean = F.replace(quoted, F.lit(mark), F.lit(""))
+    back = F.replace(F.replace(clean, F.lit(aside + one), F.lit(mark)), F.lit(aside + two), F.lit(aside))
+    return F.when(bad, F.raise_error(F.concat(F.lit("pattern ends with its escape sign: "), pattern))).otherwise(back)
 
 
 def literals(like: Column) -> Column:

@@ -15,10 +15,10 @@ from wildloom.session import scratch_dir
 
 
 def probe_stream(stream: DataFrame, patterns: DataFrame, text: str, pattern: str, **options) -> DataFrame:
-    """Streaming pairs; options as for ``wildcard_join``. Patterns must be small enough to send to the tasks."""
+    """Streaming pairs; options as for ``wildcard_join``. The static side is measured and its strategy chosen as for tables."""
     if not stream.isStreaming:
         raise ValueError("the texts are not a stream")
-    return wildcard_join(stream, patterns, text, pattern, strategy=options.pop("strategy", "nested"), **options)
+    return wildcard_join(stream, patterns, text, pattern, **options)
 
 
 def windowed_counts(pairs: DataFrame, time: str, by: list[str], width: str = "1 day", late: str = "7 days") -> DataFrame:
