@@ -1,6 +1,8 @@
 import datetime
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wildloom.session import table
@@ -29,7 +31,7 @@ def test_corpus_directory(spark, tmp_path):
 
 def test_expected_values(spark, tmp_path):
     path = str(tmp_path / "e.tsv")
-    tables.write_expected([("a", 1), ("b", 2)], path, "remark")
+    tables.write_expected(spark, [("a", 1), ("b", 2)], path, "remark")
     assert [tuple(r) for r in tables.read_expected(spark, path).collect()] == [("a", "1"), ("b", "2")]
 
 
@@ -60,3 +62,14 @@ def test_csv_keeps_every_text(spark, tmp_path):
     tables.write_csv(df, str(tmp_path / "all"))
     got = sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "all"), tables.ITEMS, line_sep="\n").collect()))
     assert [(a, b) for a, b in zip(got, rows, strict=True) if a != b] == []
+
+
+def test_utf8(spark):
+    from wildloom.functions import is_text, strict_text, valid_text
+
+    df = spark.createDataFrame([(1, bytearray("aé日😀".encode())), (2, bytearray(b"a\xff")), (3, None), (4, bytearray(b"")), (5, bytearray(b"\xe2\x82"))], "id int, b binary")
+    got = {r.id: (r.ok, r.t) for r in df.select("id", is_text(F.col("b")).alias("ok"), valid_text(F.col("b")).alias("t")).collect()}
+    assert got[1] == (True, "aé日😀") and got[2] == (False, "a\ufffd") and got[3] == (None, None) and got[4] == (True, "") and not got[5][0]
+    assert df.where("id in (1, 4)").select(strict_text(F.col("b"))).collect()[0][0] == "aé日😀"
+    with pytest.raises(Exception, match="(?i)utf"):
+        df.where("id = 2").select(strict_text(F.col("b"))).collect()

@@ -8,15 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wildloom.functions import any_like, code_points, first_case, like, literal_positions
+from wildloom.functions import any_like, code_points, first_case, is_text, like, literal_positions, strict_text, valid_text
 from wildloom.operators import hierarchy, hotkeys, orphans, rejects
 from wildloom.operators.search import literal_hits
 from wildloom.operators.wildcard import MAX_BROADCAST, conjunctive_join, first_match, measure, wildcard_join
-from wildloom.plans.patterns import fold_wildcards, literals, prepare_patterns, segments, spark_like_column
+from wildloom.plans.patterns import fold_wildcards, literals, prepare_patterns, segments, skeleton, spark_like_column
 from wildloom.plans.sqltext import like_join_sql
 from wildloom.session import scratch_dir, table
-from wildloom.sources import tables
-from wildloom.streaming.probe import drain, probe_stream
+from wildloom.sources import tables, workload
+from wildloom.streaming.probe import drain, probe_stream, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -310,6 +310,26 @@ def _folded(spark, d):
     return table(spark, d, "topics").select("topic_id", fold_wildcards(spark_like_column(F.col("pattern"))).alias("folded"))
 
 
+@query(
+    "pattern_skeleton",
+    "WITH s AS (SELECT topic_id, CAST(i - 1 AS INT) AS place, parts[i] AS segment FROM (SELECT topic_id, regexp_split_to_array(pattern, '%+') AS parts FROM topics), unnest(range(1, len(parts) + 1)) AS u(i)) "
+    "SELECT topic_id, place, array_to_string(list_filter(regexp_split_to_array(segment, '_+'), lambda x: length(x) > 0), '|') AS literals, array_to_string(list_transform(regexp_split_to_array(segment, '[^_]+'), lambda x: length(x)), ',') AS gaps FROM s",
+)
+def _skeleton(spark, d):
+    s = table(spark, d, "topics").select("topic_id", F.posexplode(skeleton(spark_like_column(F.col("pattern")))).alias("place", "s"))
+    return s.select("topic_id", "place", F.array_join("s.literals", "|").alias("literals"), F.array_join(F.transform("s.gaps", lambda g: g.cast("string")), ",").alias("gaps"))
+
+
+@query(
+    "literal_occurrences",
+    "SELECT literal, count(*) AS n_places, array_to_string(list_sort(list(DISTINCT topic_id)), ',') AS topics FROM (SELECT topic_id, unnest(regexp_split_to_array(pattern, '[%_]')) AS literal FROM topics) WHERE length(literal) > 0 GROUP BY literal",
+)
+def _occurrences(spark, d):
+    p = prepare_patterns(table(spark, d, "topics"), "pattern").select("topic_id", F.explode(literals(F.col("like_pattern"))).alias("literal"))
+    topics = F.concat_ws(",", F.transform(F.array_sort(F.collect_set("topic_id")), lambda x: x.cast("string")))
+    return p.groupBy("literal").agg(F.count(F.lit(1)).alias("n_places"), topics.alias("topics"))
+
+
 @query("generated_join", "SELECT h.id, t.topic_id FROM hackernews h JOIN topics t ON h.title ILIKE t.pattern WHERE h.type = 1")
 def _generated(spark, d):
     _titles(spark, d, "type").where("type = 1").createOrReplaceTempView("wl_texts")
@@ -318,14 +338,6 @@ def _generated(spark, d):
     return spark.sql(like_join_sql("wl_texts", "wl_patterns", ["t.id", "p.topic_id"], "title", "pattern", ignore_case=True, order_by=["t.id", "p.topic_id"], broadcast=small))
 
 
-@query("csv_items", "SELECT id, type, \"by\", time, title, score FROM hackernews WHERE title <> ''")
-def _csv(spark, d):
-    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
-    h = table(spark, d, "hackernews").where("title <> ''").select("id", "type", "by", "time", "title", "score")
-    tables.write_csv(h, path)
-    return tables.read_csv(spark, path, "id int, type smallint, by string, time timestamp_ntz, title string, score int")
-
-
 @query("csv_all_items", "SELECT id, deleted, type, \"by\", time, text, dead, parent, poll, url, score, title, descendants FROM hackernews")
 def _csv_all(spark, d):
     path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
@@ -333,6 +345,54 @@ def _csv_all(spark, d):
     return tables.read_csv(spark, path, tables.ITEMS, line_sep="\n")
 
 
+# Rows, bytes, corpus digest, pairs and their digest of two of the synthetic workloads.
+PUBLISHED = [("long_text_M=1k", 1000, 3498782, "facf65c6cf27d2f4", 1719, "78be4e47d20db721"), ("wildcards_M=100", 2000, 698678, "2f5f992a5ca0f0dd", 5866, "d8b61f584999a0fe")]
+_WORKLOADS = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({t} AS BIGINT), CAST({b} AS BIGINT), '{x}', CAST({k} AS BIGINT), '{y}')" for n, t, b, x, k, y in PUBLISHED) + ") v(name, n_texts, n_bytes, corpus_digest, n_pairs, pairs_digest)"
+_MEASURES = "name string, n_texts long, n_bytes long, corpus_digest string, n_pairs long, pairs_digest string"
+
+
+@query("workload_digests", _WORKLOADS)
+def _workloads(spark, d):
+    rows = []
+    for name, *_ in PUBLISHED:
+        texts, patterns = workload.generate(workload.SPECS[name])
+        pairs = [tuple(r) for r in wildcard_join(*workload.frames(spark, workload.SPECS[name]), "text", "pattern").select("text_id", "pattern_id").collect()]
+        rows.append((name, len(texts), sum(map(len, texts)), workload.corpus_digest(texts, patterns), len(pairs), workload.pairs_digest(pairs)))
+    return spark.createDataFrame(rows, _MEASURES)
+
+
+@query("expected_values", _WORKLOADS)
+def _expected(spark, d):
+    path = f"{scratch_dir(spark)}/expected-{uuid.uuid4().hex}"
+    tables.write_expected(spark, PUBLISHED, path, "name, texts, bytes, corpus, pairs, result")
+    names = [x.split(" ") for x in _MEASURES.split(", ")]
+    return tables.read_expected(spark, path).select(*[F.col(f"_c{i}").cast(k).alias(n) for i, (n, k) in enumerate(names)])
+
+
+CORPUS_PATTERNS = [(1, "%RED!_%"), (2, "_O_ %"), (3, "%ring"), (4, "R__ %"), (5, "%!%%"), (6, "%l% bolt"), (7, None), (8, "blue gear")]
+_CORPUS = "(VALUES " + ", ".join(f"({i}, {'NULL' if x is None else sql_text(x)})" for i, x in CORPUS_PATTERNS) + ") c(pattern_id, pattern)"
+
+
+@query("corpus_directory", f"SELECT CAST(p_partkey AS BIGINT) AS text_id, CAST(pattern_id AS BIGINT) AS pattern_id, pattern_id % 2 = 1 AS labelled FROM part JOIN {_CORPUS} ON p_name ILIKE pattern ESCAPE '!'")
+def _corpus(spark, d):
+    path = f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    texts = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("text_id"), F.col("p_name").alias("text"))
+    patterns = spark.createDataFrame(CORPUS_PATTERNS, "pattern_id long, pattern string")
+    labels = wildcard_join(texts, patterns.where("pattern_id % 2 = 1"), "text", "pattern", escape="!", ignore_case=True).select("text_id", "pattern_id")
+    tables.write_corpus(tables.Corpus(texts, patterns, labels, True, "!"), path)
+    back = tables.read_corpus(spark, path)
+    pairs = wildcard_join(back.texts, back.patterns, "text", "pattern", escape=back.escape, ignore_case=back.ilike).select("text_id", "pattern_id")
+    marked = pairs.join(back.labels.withColumn("labelled", F.lit(True)), ["text_id", "pattern_id"], "left")
+    return marked.withColumn("labelled", F.coalesce("labelled", F.lit(False)))
+
+
+@query("jsonl_items", "SELECT id, deleted, type, \"by\", time, text, dead, parent, poll, url, score, title, descendants FROM hackernews")
+def _jsonl(spark, d):
+    path = f"{scratch_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    tables.write_jsonl(tables.as_items(table(spark, d, "hackernews")), path)
+    return tables.read_jsonl(spark, path, tables.ITEMS)
+
+
 @query("distinct_literals", "SELECT count(DISTINCT x) AS n FROM (SELECT unnest(regexp_split_to_array(pattern, '[%_]')) AS x FROM topics) WHERE length(x) > 0")
 def _distinct(spark, d):
     p = prepare_patterns(table(spark, d, "topics"), "pattern")
@@ -350,6 +410,17 @@ def _lengths(spark, d):
     return table(spark, d, "documents").select("doc_id", code_points(F.col("text")).alias("n_points"), F.octet_length("text").alias("n_bytes"), (F.lower("text") == F.col("text")).alias("is_lower"))
 
 
+@query(
+    "strict_utf8",
+    "SELECT doc_id, text AS strict, length(text) AS n_points, strlen(text) AS n_bytes, true AS valid, false AS valid_broken, text || chr(65533) || '!' AS mended FROM documents WHERE text IS NOT NULL",
+)
+def _utf8(spark, d):
+    whole = F.col("text").cast("binary")
+    broken = F.concat(whole, F.unhex(F.lit("E282")), F.lit("!").cast("binary"))
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", strict_text(whole).alias("strict"), code_points(F.col("text")).cast("long").alias("n_points"), F.octet_length("text").cast("long").alias("n_bytes"), is_text(whole).alias("valid"), is_text(broken).alias("valid_broken"), valid_text(broken).alias("mended"))
+
+
 @query("score_stats", "SELECT type, quantile_disc(score, 0.5) AS median, avg(score) AS mean, count(score) AS n FROM hackernews WHERE score IS NOT NULL GROUP BY type")
 def _stats2(spark, d):
     return table(spark, d, "hackernews").where("score is not null").groupBy("type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score)").cast("int").alias("median"), F.avg("score").alias("mean"), F.count("score").alias("n"))
@@ -362,6 +433,19 @@ def _stream(spark, d):
     return drain(probe_stream(s, table(spark, d, "topics"), "title", "pattern").select("id", "topic_id"))
 
 
+@query(
+    "stream_windowed_counts",
+    "WITH p AS (SELECT h.time, t.topic_id FROM hackernews h JOIN topics t ON h.title LIKE t.pattern) "
+    "SELECT CAST(date_trunc('day', time) AS DATE) AS day, topic_id, count(*) AS n FROM p WHERE date_trunc('day', time) + INTERVAL 1 DAY <= (SELECT max(time) - INTERVAL 7 DAY FROM p) GROUP BY ALL",
+)
+def _windows(spark, d):
+    """Matches per day, of the days that end at least seven days before the newest match: others may still grow."""
+    h = table(spark, d, "hackernews")
+    s = spark.readStream.schema(h.schema).parquet(f"{d}/hackernews.parquet*").where("title is not null").select("id", "title", "time")
+    counts = windowed_counts(probe_stream(s, table(spark, d, "topics"), "title", "pattern"), "time", ["topic_id"])
+    return drain(counts).select(F.to_date("window.start").alias("day"), "topic_id", "n")
+
+
 # --- 1: a few keys holding most records ----------------------------------------------------------
 
 
@@ -427,7 +511,28 @@ def p2_loaded(spark, d):
     return rejects.load_valid(rejects.check_records(table(spark, d, "raw_items")), "record_id")
 
 
-@query("p2_rejected")
+_FIT = "CASE WHEN length({0}) >= 2 AND left({0}, 1) = '\"' AND right({0}, 1) = '\"' THEN NOT contains(replace(substr({0}, 2, length({0}) - 2), '\"\"', ''), '\"') ELSE NOT regexp_matches({0}, '[\"\\r\\n]') END"
+_RULE = {
+    "int": "NOT coalesce(" + _INT + ", false)",
+    "choice": "{0} NOT IN {1}",
+    "time": "NOT (regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') AND try_cast({0} AS TIMESTAMP) IS NOT NULL)",
+    "clean": "NOT " + _CLEAN,
+}
+_FAULTS = ["CASE WHEN payload IS NULL THEN 'no record' END", "CASE WHEN broken THEN 'quoting' END", "CASE WHEN NOT broken AND len(f) <> 13 THEN 'columns:' || len(f) END"]
+for _f in rejects.ITEM_FIELDS:
+    if _f.required:
+        _FAULTS.append(f"CASE WHEN whole AND v_{_f.name} IS NULL THEN 'missing:{_f.name}' END")
+    if _f.kind in _RULE:
+        _FAULTS.append(f"CASE WHEN whole AND v_{_f.name} IS NOT NULL AND " + _RULE[_f.kind].format(f"v_{_f.name}", "(" + ", ".join(map(sql_text, _f.choices)) + ")") + f" THEN 'invalid:{_f.name}' END")
+P2_REASONS = (
+    "WITH a AS (SELECT *, string_split(array_to_string(list_transform(string_split(payload, '\"'), lambda s, i: CASE WHEN i % 2 = 1 THEN replace(s, ',', '<~next~>') ELSE s END), '\"'), '<~next~>') AS f FROM raw_items), "
+    "b AS (SELECT *, (length(payload) - length(replace(payload, '\"', ''))) % 2 = 1 OR NOT list_bool_and(list_transform(f, lambda x: " + _FIT.format("x") + ")) AS broken FROM a), w AS (SELECT *, coalesce(NOT broken AND len(f) = 13, false) AS whole FROM b), "
+    "v AS (SELECT w.*, " + ", ".join(f"CASE WHEN whole THEN nullif(CASE WHEN left(f[{i}], 1) = '\"' THEN replace(substr(f[{i}], 2, length(f[{i}]) - 2), '\"\"', '\"') ELSE f[{i}] END, '') END AS v_{n}" for i, n in enumerate(_NAMES, 1)) + " FROM w), "
+    "r AS (SELECT record_id, load_batch, list_filter([" + ", ".join(_FAULTS) + "], lambda x: x IS NOT NULL) AS faults FROM v) SELECT record_id, load_batch, array_to_string(faults, '; ') AS reason FROM r WHERE len(faults) > 0"
+)
+
+
+@query("p2_rejected", P2_REASONS)
 def p2_rejected(spark, d):
     return rejects.rejected(rejects.check_records(table(spark, d, "raw_items")), "record_id", "load_batch").select("record_id", "load_batch", "reason")
 

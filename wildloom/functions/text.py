@@ -14,3 +14,13 @@ def code_points(text: Column) -> Column:
 def valid_text(data: Column) -> Column:
     """Bytes as text where they are valid UTF-8, with U+FFFD in place of what is not."""
     return F.make_valid_utf8(data.cast("string"))
+
+
+def is_text(data: Column) -> Column:
+    """Whether bytes are valid UTF-8."""
+    return F.is_valid_utf8(data.cast("string"))
+
+
+def strict_text(data: Column) -> Column:
+    """Bytes as text; raises where they are not valid UTF-8."""
+    return F.validate_utf8(data.cast("string"))
