@@ -18,10 +18,13 @@ def like(text: Column, pattern: str, escape: str | None = None, ignore_case: boo
     literal is looked for first where it has at least two characters.
     """
     p = spark_like(pattern, escape)
-    if ignore_case:
-        return text.ilike(p)
     runs = _literal_runs(p)
     anchor = max(runs, key=len, default="")
+    if ignore_case:
+        # ILIKE compares in lower case; letters beyond ASCII are left to it alone
+        if len(anchor) > 1 and anchor.isascii() and "_" in p:
+            return F.contains(F.lower(text), F.lit(anchor.lower())) & text.ilike(p)
+        return text.ilike(p)
     if len(runs) > 1 and len(anchor) > 1:
         return F.contains(text, F.lit(anchor)) & text.like(p)
     return text.like(p)
