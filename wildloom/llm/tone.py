@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ DIM, HIDDEN, GRAMS = 24, 16, 4096
 #: At most so many labelled rows are read for the fit, by id.
 MAX_SAMPLES = 20_000
 KEEP = 60_000
+#: Windows that are scored together; their states fit into a core's cache.
+CHUNK = 512
 #: Harmless stretches per round of the training texts.
 STRETCHES = 1500
 THRESHOLD = 0.5
@@ -140,6 +143,43 @@ def _run(u: np.ndarray, cu: np.ndarray, xs: np.ndarray, mask: np.ndarray, keep:
     return out
 
 
+def _bend(x: np.ndarray) -> None:
+    """:func:`_tanh` in place."""
+    np.clip(x, -3.0, 3.0, out=x)
+    q = x * x
+    x *= q + 27.0
+    q *= 9.0
+    q += 27.0
+    x /= q
+
+
+def _states(u: np.ndarray, cu: np.ndarray, xs: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """:func:`_run` for scoring alone: nothing is kept, and all is done in place."""
+    steps, n, _ = xs.shape
+    h = np.zeros((n, HIDDEN), "f4")
+    out = np.empty((steps, n, HIDDEN), "f4")
+    whole = mask.all((1, 2))
+    for t in range(steps):
+        s = h @ u
+        gates, m = s[:, : 2 * HIDDEN] + xs[t, :, : 2 * HIDDEN], s[:, 2 * HIDDEN :] + cu
+        gates *= 0.5
+        _bend(gates)
+        gates *= 0.5
+        gates += 0.5
+        m *= gates[:, HIDDEN:]
+        m += xs[t, :, 2 * HIDDEN :]
+        _bend(m)
+        new = h - m
+        new *= gates[:, :HIDDEN]
+        new += m
+        if not whole[t]:
+            new -= h
+            new *= mask[t]
+            new += h
+        h = out[t] = new
+    return out
+
+
 def _run_back(u: np.ndarray, xs_shape: tuple, mask: np.ndarray, kept: list, d_out: np.ndarray):
     """Gradients of u, cu and xs of :func:`_run`."""
     du, dcu = np.zeros_like(u), np.zeros(HIDDEN, "f4")
@@ -192,8 +232,12 @@ class Net:
         turn = _turn(lengths, steps)
         cols = np.arange(xf.shape[1])
         kf, kb = ([], []) if keep is not None else (None, None)
-        hf = _run(p["uf"], p["cf"], xf, mask, kf)
-        hb = _run(p["ub"], p["cb"], xb[turn, cols], mask, kb)[turn, cols]
+        if keep is None:
+            hf = _states(p["uf"], p["cf"], xf, mask)
+            hb = _states(p["ub"], p["cb"], xb[turn, cols], mask)[turn, cols]
+        else:
+            hf = _run(p["uf"], p["cf"], xf, mask, kf)
+            hb = _run(p["ub"], p["cb"], xb[turn, cols], mask, kb)[turn, cols]
         h = np.concatenate([hf, hb], 2)
         e = (h @ p["att"])[:, :, 0] + (mask[:, :, 0] - 1) * 1e4
         a = np.exp(e - e.max(0))
@@ -396,6 +440,17 @@ def _train(data: list[tuple[list[str], int]], rng: random.Random, seed: int, epo
 # --- scoring -----------------------------------------------------------------------------------------
 
 
+class _Rows(dict):
+    """Words to rows of inputs; a new word gets one, which the scorer learns before the next windows."""
+
+    def __init__(self, scorer: Scorer):
+        self.scorer = scorer
+
+    def __missing__(self, w: str) -> int:
+        i = self[w] = self.scorer.code(w)
+        return i
+
+
 class Scorer:
     def __init__(self, model: bytes):
         vocabulary, strong, p = pickle.loads(model)
@@ -405,21 +460,18 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.row: dict[str, int] = {}
+        self.row = _Rows(self)
         self.pf = np.zeros((4096, 3 * HIDDEN), "f4")
         self.pb = np.zeros((4096, 3 * HIDDEN), "f4")
         self.fresh: list[tuple[int, str]] = []
         self.plain_row: dict[str, int] = {}
 
     def code(self, w: str) -> int:
-        i = self.row.get(w)
+        s = self.words.plain(w)
+        i = self.plain_row.get(s)
         if i is None:
-            s = self.words.plain(w)
-            i = self.plain_row.get(s)
-            if i is None:
-                i = self.plain_row[s] = len(self.plain_row)
-                self.fresh.append((i, s))
-            self.row[w] = i
+            i = self.plain_row[s] = len(self.plain_row)
+            self.fresh.append((i, s))
         return i
 
     def learn(self) -> None:
@@ -444,11 +496,11 @@ class Scorer:
         """(texts, labels): of the window in which a text is least harmless; a text without words is harmless."""
         if len(self.row) > KEEP:
             self.reset()
-        code = self.code
+        row_of = self.row.__getitem__
         windows: list[tuple[int, ...]] = []
         owner: list[int] = []
         for k, ws in enumerate(texts):
-            ids = [code(w) for w in ws]
+            ids = list(map(row_of, ws))
             for i in range(0, max(1, len(ids) - (WINDOW - STRIDE)) if ids else 0, STRIDE):
                 windows.append(tuple(ids[i : i + WINDOW]))
                 owner.append(k)
@@ -463,14 +515,14 @@ class Scorer:
         back = np.empty(len(uniq), int)
         back[[place[w] for w in uniq]] = np.arange(len(uniq))
         probs = np.empty((len(uniq), len(LABELS)), "f4")
-        for i in range(0, len(uniq), 4096):
-            part = uniq[i : i + 4096]
+        for i in range(0, len(uniq), CHUNK):
+            part = uniq[i : i + CHUNK]
             lengths = np.array(list(map(len, part)))
             steps = int(lengths.max())
             at = np.zeros((len(part), steps), int)
-            at[np.arange(steps) < lengths[:, None]] = np.fromiter((x for w in part for x in w), int)
+            at[np.arange(steps) < lengths[:, None]] = np.fromiter(chain.from_iterable(part), int, int(lengths.sum()))
             at = at.T
-            probs[i : i + 4096] = self.net.forward(self.pf[at], self.pb[at], lengths)
+            probs[i : i + CHUNK] = self.net.forward(self.pf[at], self.pb[at], lengths)
         score = probs[back[which]]
         order = np.lexsort((score[:, 0], np.array(owner)))
         own = np.array(owner)[order]
