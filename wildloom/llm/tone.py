@@ -41,7 +41,8 @@ KEEP = 60_000
 CHUNK = 512
 #: Harmless stretches per round of the training texts.
 STRETCHES = 1500
-THRESHOLD = 0.5
+#: Between false alarms and misses on forms that no fitted sample shares.
+THRESHOLD = 0.6
 
 # Letters of other scripts that look like Latin ones, and signs used for letters.
 _TWINS = str.maketrans("абвгеёзикмнорстухѕіјԁһԛԝαβεηικνορτυχ", "aбbreeзиkmhopctyxsijdhqwabenikvoptux")
@@ -311,7 +312,7 @@ def _swapper(rng: random.Random):
     return lambda t: known.sub(lambda m: rng.choice(kind_of[m.group().lower()]) if rng.random() < 0.6 else m.group(), t)
 
 
-def training_texts(samples: list[tuple[str, str]], rng: random.Random, rounds: int = 14) -> list[tuple[list[str], int]]:
+def training_texts(samples: list[tuple[str, str]], rng: random.Random, rounds: int = 9) -> list[tuple[list[str], int]]:
     """Word lists with labels: the samples, the filled phrases, and both within other harmless sentences."""
     slots = {"i": P.INSULTS, "a": P.ADJECTIVES, "g": P.GROUPS, "v": P.SLURS, "s": P.SEXUAL, "r": P.ROLES, "t": P.THINGS}
     calm = [s for t, v in samples if v == "none" for s in re.split(r"(?<=[.!?])\s+", t) if s]
