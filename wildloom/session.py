@@ -36,6 +36,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, the same for all applications; where it is unset that of :func:`checkpoint_dir`."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)).rstrip("/")
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
