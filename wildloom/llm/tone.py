@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wildloom.llm import tone_phrases as P
-from wildloom.session import c, checkpoint_dir, columns_or_fail, exists
+from wildloom.session import c, columns_or_fail, exists, shared_dir
 
 LABELS = ("none", "abusive", "hateful", "sexual")
 WINDOW, STRIDE = 24, 12
@@ -559,7 +559,7 @@ def train(samples: DataFrame, key: str, text: str, verdict: str, max_samples: in
     name = _digest(pairs)
     if name not in _models:
         spark = samples.sparkSession
-        path = f"{checkpoint_dir(spark).rstrip('/')}/wildloom-models/tone-{name}"
+        path = f"{shared_dir(spark)}/wildloom-models/tone-{name}"
         if not exists(spark, f"{path}/_SUCCESS"):
             spark.createDataFrame([(bytearray(fit(pairs)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
         _models[name] = bytes(spark.read.parquet(path).first()["model"])
