@@ -141,14 +141,14 @@ class Search:
 
 #: Searches that this worker has built, the last used ones; what they hold never changes.
 _built: OrderedDict[str, Search] = OrderedDict()
-KEEP_SEARCHES = 4
+KEEP_SEARCHES = 2
 
 
 def search_for(name: str, facts: list[tuple]) -> Search:
     if name not in _built:
-        _built[name] = Search(facts)
-        while len(_built) > KEEP_SEARCHES:
+        while len(_built) >= KEEP_SEARCHES:
             _built.popitem(last=False)
+        _built[name] = Search(facts)
     _built.move_to_end(name)
     return _built[name]
 
@@ -178,9 +178,9 @@ def fact_rows(prepared: DataFrame) -> list:
     return prepared.where("like_pattern is not null").select(*FACTS).distinct().orderBy("like_pattern").collect()
 
 
-def matched_indexes(texts: DataFrame, text: Column, facts: list, out: str) -> DataFrame:
-    """``texts`` with ``out``: indexes into ``facts`` of the patterns that match. Only the text goes to Python; LIKE verifies in the JVM."""
-    found = texts.withColumn("__probe", text).withColumn("__f", searcher(texts.sparkSession, facts, True)(F.col("__probe")))
+def matched_indexes(texts: DataFrame, text: Column, search, out: str) -> DataFrame:
+    """``texts`` with ``out``: indexes of the patterns that match, by a :func:`searcher` with names. Only the text goes to Python; LIKE verifies in the JVM."""
+    found = texts.withColumn("__probe", text).withColumn("__f", search(F.col("__probe")))
     verified = "transform(filter(arrays_zip(__f.maybe_i, __f.maybe_p), m -> __probe LIKE m.maybe_p), m -> m.maybe_i)"
     return found.withColumn(out, F.expr(f"concat(__f.sure, {verified})")).drop("__f", "__probe")
 
@@ -273,7 +273,7 @@ def wildcard_join(
     if strategy != "automaton":
         raise ValueError(f"unknown strategy {strategy}")
     t = F.lower(c(text)) if ignore_case else c(text)
-    marked = matched_indexes(texts, t, fact_rows(prepared), "__m")
+    marked = matched_indexes(texts, t, searcher(texts.sparkSession, fact_rows(prepared), True), "__m")
     any_hit = F.coalesce(F.size("__m") > 0, F.lit(False))
     return marked.where(any_hit if how == "semi" else ~any_hit).drop("__m")
 
@@ -298,7 +298,8 @@ def conjunctive_join(rows: DataFrame, texts: tuple[str, str], patterns: DataFram
         first = _matches(base, texts[0], prepared, choose(side), False)
         return first.withColumn("__text", c(texts[1])).where(_pair_hit(F.col("__text"))).select(*out)
     facts = fact_rows(prepared)
-    both = matched_indexes(matched_indexes(base, c(texts[0]), facts, "__a"), c(texts[1]), facts, "__b")
+    search = searcher(rows.sparkSession, facts, True)
+    both = matched_indexes(matched_indexes(base, c(texts[0]), search, "__a"), c(texts[1]), search, "__b")
     hits = both.withColumn("__hit", F.explode(F.array_intersect("__a", "__b")))
     return hits.join(F.broadcast(_indexed(prepared, facts)), F.col("__hit") == F.col("like_index")).select(*out)
 
@@ -342,7 +343,7 @@ def first_match(
         return texts.select(*keep, F.lit(None).cast("string").alias(out))
     if strategy == "automaton":
         # indexes are in order of priority, so the least one names the label
-        found = matched_indexes(texts, t, rows, "__m").withColumn("__least", F.array_min("__m"))
+        found = matched_indexes(texts, t, searcher(texts.sparkSession, rows, True), "__m").withColumn("__least", F.array_min("__m"))
         places = texts.sparkSession.createDataFrame(list(enumerate(labels)), "__least int, __label string")
         return found.join(F.broadcast(places), "__least", "left").select(*keep, F.col("__label").alias(out))
     if strategy != "nested":
