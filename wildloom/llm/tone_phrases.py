@@ -1,7 +1,7 @@
 """General phrases that the tone model is trained on beside the labelled samples.
 
-None is taken from a table; lines that had four words in a row in common with a
-corpus, and not with a labelled sample, were left out.
+No line, before words are put into its slots, has four words in a row that a
+corpus holds and no labelled sample does.
 
 Slots: {i} insult, {a} insulting adjective, {g} group of people, {v} slur
 against a group, {s} sexual matter, {r} occupation, {t} thing of the trade.
